@@ -87,9 +87,13 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def visible_text(clean: Column) -> Column:
+    """Text nodes of a page, joined without separators; ``clean`` comes from ``markup``."""
+    return unescape(F.regexp_replace(clean, r"<[^>]*>", ""))
+
+
 def page_text(html: Column) -> Column:
-    """Text nodes of a page, joined without separators."""
-    return unescape(F.regexp_replace(markup(html), r"<[^>]*>", ""))
+    return visible_text(markup(html))
 
 
 def hrefs(clean: Column) -> Column:
@@ -158,7 +162,7 @@ def page_blocked(html: Column) -> Column:
 
 
 def page_label(html: Column) -> Column:
-    """struct(label, score): the best-matching kind of challenge page, or NULL.
+    """struct(score, rank, label): the best-matching kind of challenge page, or NULL.
 
     Score is the share of a kind's patterns found, in percent; the kind listed first
     wins ties.
@@ -173,5 +177,5 @@ def page_label(html: Column) -> Column:
                 F.lit(label).alias("label"),
             )
         )
-    best = F.greatest(*scored)
-    return F.when(best["score"] > 0, F.struct(best["label"].alias("label"), best["score"].alias("score")))
+    # each pattern is evaluated once; the maximum of no entries is NULL
+    return F.array_max(F.filter(F.array(*scored), lambda s: s["score"] > 0))

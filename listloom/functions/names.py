@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .html import ANCHOR, unescape
-from .presence import nullify
 
 # Fixed values -------------------------------------------------------------------
 NOT_NAMES = (
@@ -58,23 +57,22 @@ def plausible_name(text: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def name_confidence(text: Column, place: int) -> Column:
-    """Base score plus bonuses for where and how the name is written."""
-    bonus = 15 if place < 5 else 10 if place < 10 else 5
+def place_score(place: int) -> int:
+    """Base score by position in ``NAME_PLACES``."""
+    return BASE_SCORE + (15 if place < 5 else 10 if place < 10 else 5)
+
+
+def _with_bonus(text: Column, base: Column) -> Column:
     capitals = (F.upper(text) == text) & (F.lower(text) != text) & (F.length(text) > 3)
     marks = text.rlike(r"[&\-'.]")
     framed = text.rlike(r"^\p{Lu}") & text.rlike(r"\p{L}$")
-    score = (
-        F.lit(BASE_SCORE + bonus)
-        + F.when(capitals, 5).otherwise(0)
-        + F.when(marks, 3).otherwise(0)
-        + F.when(framed, 2).otherwise(0)
-    )
+    score = base + F.when(capitals, 5).otherwise(0) + F.when(marks, 3).otherwise(0) + F.when(framed, 2).otherwise(0)
     return F.least(score, F.lit(MAX_SCORE)).cast("int")
 
 
-def _found(text: Column, confidence: Column) -> Column:
-    return F.struct(text.alias("name"), confidence.cast("int").alias("confidence"))
+def name_confidence(text: Column, place: int) -> Column:
+    """Score of a name found at a place, with bonuses for how it is written."""
+    return _with_bonus(text, F.lit(place_score(place)))
 
 
 def _first_within(links: Column, pattern: str) -> Column:
@@ -89,20 +87,27 @@ def name_of_markup(clean: Column, text: Column) -> Column:
     hit of each place counts if it is plausible; then the whole text; then attributes.
     """
     links = F.filter(F.regexp_extract_all(clean, F.lit(ANCHOR), 0), lambda a: a.rlike(PLACE_LINK))
-    seen, options = set(), []
+    hits, seen = [], set()
+
+    def offer(name: Column, base: int) -> None:
+        hits.append(F.struct(name.alias("name"), F.lit(base).alias("base")))
+
     for i, (where, pattern) in enumerate(NAME_PLACES):
-        if (where, pattern) in seen:
-            continue
-        seen.add((where, pattern))
-        if where == "link":
-            raw = _first_within(links, pattern)
-        else:
-            raw = F.regexp_extract(clean, pattern, 1)
-        hit = F.trim(unescape(raw))
-        options.append(F.when(plausible_name(hit), _found(hit, name_confidence(hit, i))))
-    whole = F.trim(text)
-    options.append(F.when(plausible_name(whole), _found(F.substring_index(whole, "\n", 1), F.lit(TEXT_SCORE))))
+        if (where, pattern) not in seen:
+            seen.add((where, pattern))
+            raw = _first_within(links, pattern) if where == "link" else F.regexp_extract(clean, pattern, 1)
+            offer(F.trim(unescape(raw)), place_score(i))
+    offer(F.trim(text), TEXT_SCORE)
     for pattern in ATTRIBUTE_PATTERNS:
-        hit = nullify(F.regexp_extract(clean, pattern, 1))
-        options.append(F.when(plausible_name(hit), _found(hit, F.lit(ATTRIBUTE_SCORE))))
-    return F.coalesce(*options, _found(F.lit(UNKNOWN), F.lit(ATTRIBUTE_SCORE)))
+        offer(F.regexp_extract(clean, pattern, 1), ATTRIBUTE_SCORE)
+    # arrays and lambdas let every pattern run once, however often its hit is looked at
+    first = F.slice(F.filter(F.array(*hits), lambda h: plausible_name(h["name"])), 1, 1)
+    unknown = F.struct(F.lit(UNKNOWN).alias("name"), F.lit(ATTRIBUTE_SCORE).alias("confidence"))
+    return F.coalesce(F.get(F.transform(first, _rated), 0), unknown)
+
+
+def _rated(hit: Column) -> Column:
+    from_place = hit["base"] >= BASE_SCORE
+    name = F.when(hit["base"] == TEXT_SCORE, F.substring_index(hit["name"], "\n", 1)).otherwise(hit["name"])
+    confidence = F.when(from_place, _with_bonus(hit["name"], hit["base"])).otherwise(hit["base"])
+    return F.struct(name.alias("name"), confidence.cast("int").alias("confidence"))

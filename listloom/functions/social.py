@@ -131,12 +131,6 @@ def meta_profile(clean: Column) -> Column:
     return F.coalesce(*options, F.create_map().cast("map<string,string>"))
 
 
-def page_profiles(clean: Column, page_url: Column) -> Column:
-    """X26 with the X27 fallbacks, each used only if all before found nothing."""
-    links, icons, meta = linked_profiles(clean), icon_profiles(clean, page_url), meta_profile(clean)
-    return F.when(F.size(links) > 0, links).when(F.size(icons) > 0, icons).otherwise(meta)
-
-
 def profile_candidates(name: Column, website: Column) -> Column:
     """Likely profile URLs as array(struct(platform, url)); empty without both inputs."""
     parts = {"name": business_slug(name), "domain": domain_label(website)}

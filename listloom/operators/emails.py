@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contacts import CONTACT_FORM, local_format, page_emails, priority_score
-from ..functions.html import markup, page_text
+from ..functions.html import markup, visible_text
 from ..functions.presence import has
 from ..functions.text import domain_or_path
 
@@ -15,7 +15,8 @@ SITE_LIMIT = 10  # fixed value
 
 def emails_of_pages(pages: DataFrame, site: str = "host", with_context: bool = False) -> DataFrame:
     """Every address found on each page, one row per hit, in reading order."""
-    text = pages.select(site, "page_id", markup(F.col("html")).alias("clean"), page_text(F.col("html")).alias("text"))
+    clean = pages.select(site, "page_id", markup(F.col("html")).alias("clean"))
+    text = clean.withColumn("text", visible_text(F.col("clean")))
     hits = text.select(site, "page_id", F.posexplode(page_emails(F.col("clean"), F.col("text"), with_context)).alias("pos", "hit"))
     return hits.select(F.col(site).alias("site"), "page_id", "pos", "hit.*")
 

@@ -54,13 +54,17 @@ def detail_records(pages: DataFrame) -> DataFrame:
 
 def page_names(pages: DataFrame) -> DataFrame:
     """(page_id, name, confidence)."""
-    texts = pages.select("page_id", h.markup(F.col("html")).alias("clean"), h.page_text(F.col("html")).alias("text"))
+    texts = _clean(pages).select("page_id", "clean", h.visible_text(F.col("clean")).alias("text"))
     return texts.select("page_id", name_of_markup(F.col("clean"), F.col("text")).alias("n")).select("page_id", "n.*")
 
 
 def page_social(pages: DataFrame) -> DataFrame:
-    """(page_id, social_media)."""
-    return _clean(pages, "url").select("page_id", social.page_profiles(F.col("clean"), F.col("url")).alias("social_media"))
+    """(page_id, social_media); each fallback runs only where nothing was found so far."""
+    c = F.col("clean")
+    found = _clean(pages, "url").withColumn("found", social.linked_profiles(c))
+    for fallback in (social.icon_profiles(c, F.col("url")), social.meta_profile(c)):
+        found = found.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(fallback))
+    return found.select("page_id", F.col("found").alias("social_media"))
 
 
 def social_presence(df: DataFrame, key: str, profiles: str = "social_media") -> DataFrame:

@@ -60,12 +60,17 @@ def trailing_requests(
 def response_trend(
     log: DataFrame, target_s: float = TARGET_RESPONSE_S, bucket_s: int = 86_400, chunk: int = 100_000
 ) -> DataFrame:
-    """Mean of the last 50 response times, its verdict, and the factor it puts on the delay."""
+    """Mean of the last 50 response times, its verdict, and the factor it puts on the delay.
+
+    Times are summed in whole microseconds, so the mean does not depend on how rows are split.
+    """
     order = [F.col("ts"), F.col("seq")]
-    placed = with_position(log, order, _time_bucket(bucket_s), by=["req_key"])
+    timed = log.withColumn("response_us", F.round(F.col("response_s") * 1e6).cast("bigint"))
+    placed = with_position(timed, order, _time_bucket(bucket_s), by=["req_key"])
     rows = with_chunks(placed, "position", chunk, halo=RESPONSE_SAMPLES - 1)
     frame = Window.partitionBy("req_key", "chunk").orderBy("position").rowsBetween(1 - RESPONSE_SAMPLES, 0)
-    out = rows.withColumns({"samples": F.count("*").over(frame), "mean_s": F.avg("response_s").over(frame)}).filter("not is_halo")
+    mean = F.sum("response_us").over(frame) / F.count("*").over(frame) / F.lit(1e6)
+    out = rows.withColumns({"samples": F.count("*").over(frame), "mean_s": mean}).filter("not is_halo")
     verdict = (
         F.when(F.col("samples") <= MIN_SAMPLES_RATE, "few")
         .when(F.col("mean_s") > target_s * SLOW_FACTOR, "slow")
@@ -74,7 +79,7 @@ def response_trend(
     )
     scaled = (F.col("samples") > MIN_SAMPLES_DELAY) & (F.col("mean_s") > target_s)
     factor = F.when(scaled, F.col("mean_s") / target_s).otherwise(F.lit(1.0))
-    return out.select("seq", "req_key", "samples", F.round("mean_s", 6).alias("mean_s"), verdict.alias("verdict"), F.round(factor, 6).alias("delay_factor"))
+    return out.select("seq", "req_key", "samples", "mean_s", verdict.alias("verdict"), factor.alias("delay_factor"))
 
 
 def failure_runs(log: DataFrame, bucket_s: int = 86_400) -> DataFrame:

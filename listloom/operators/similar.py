@@ -29,6 +29,7 @@ from ..functions.similarity import (
     weighted_score,
 )
 from ..functions.text import clean_phone, clean_string
+from ..session import cut
 from .blocks import to_cells, with_block_size
 from .components import connected_components
 
@@ -177,6 +178,7 @@ def expand_links(links: DataFrame) -> DataFrame:
     As many rows as there are matching pairs, which for large groups of copies is their
     square; use the links themselves for grouping.
     """
+    links = cut(links, "links")
     members = links.filter("kind = 'same_profile'")
     heads = links.filter("kind <> 'same_profile'")
     of_profile = members.select(F.col("a").alias("rep"), F.col("b").alias("seq"))

