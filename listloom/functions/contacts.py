@@ -9,12 +9,14 @@ from .presence import nullify
 from .text import netloc
 
 # Fixed values -------------------------------------------------------------------
+# Each pattern comes with a literal it cannot match without (``AT_SIGNS``, same order).
 EMAIL_PATTERNS = (
     r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     r"[a-zA-Z0-9._%+-]+\[at\][a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     r"[a-zA-Z0-9._%+-]+\(at\)[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     r"[a-zA-Z0-9._%+-]+ @ [a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
 )
+AT_SIGNS = ("@", "[at]", "(at)", " @ ")
 DISGUISES = ("[at]", "(at)", " @ ")
 EXCLUDED_PARTS = (
     "noreply", "no-reply", "donotreply", "info@", "support@",
@@ -100,21 +102,26 @@ def _matches_with_context(text: Column, pattern: str) -> Column:
 
 
 def text_emails(text: Column, with_context: bool = False) -> Column:
-    """Addresses in plain text, by pattern and then by position, unchecked."""
+    """Addresses in plain text, by pattern and then by position, unchecked.
+
+    A pattern is only run on text that holds its at sign, which most text does not.
+    """
     hits = []
-    for pattern in EMAIL_PATTERNS:
+    for pattern, sign in zip(EMAIL_PATTERNS, AT_SIGNS):
         if with_context:
-            hits.append(_matches_with_context(text, pattern))
+            found = _matches_with_context(text, pattern)
         else:
-            found = F.regexp_extract_all(text, F.lit(pattern), 0)
-            hits.append(F.transform(found, lambda m: _hit(reveal(m), "text_pattern", F.lit(None).cast("string"))))
+            matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+            found = F.transform(matches, lambda m: _hit(reveal(m), "text_pattern", F.lit(None).cast("string")))
+        hits.append(F.when(text.contains(sign), found).otherwise(F.array().cast(EMAIL_HIT)))
     return F.flatten(F.array(*hits))
 
 
 def mailto_emails(clean: Column) -> Column:
     """Targets of mail links."""
     found = F.regexp_extract_all(clean, F.lit(MAILTO), 1)
-    return F.transform(found, lambda m: _hit(F.trim(m), "mailto_link", F.lit(None).cast("string")))
+    hits = F.transform(found, lambda m: _hit(F.trim(m), "mailto_link", F.lit(None).cast("string")))
+    return F.when(F.lower(clean).contains("mailto:"), hits).otherwise(F.array().cast(EMAIL_HIT))
 
 
 def meta_emails(clean: Column) -> Column:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .presence import first_present, nullify
+from .presence import first_present
+from .text import count_in_label, number_in_label
 
 # Fixed values -------------------------------------------------------------------
 INVISIBLE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -17,50 +18,55 @@ HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
 
 DETAIL_NOT_NAMES = ("Results", "Search", "Google Maps")
+# Each pattern comes with a lower-case literal it cannot match without.
 DETAIL_HEADINGS = (
-    r'(?is)<h1\s[^>]*class="[^"]*\bDUwDvf\b[^"]*"[^>]*>([^<]*)',
-    r'(?is)<h1\s[^>]*class="[^"]*\blfPIob\b[^"]*"[^>]*>([^<]*)',
-    r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bDUwDvf\b[^"]*"[^>]*>([^<]*)',
-    r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\blfPIob\b[^"]*"[^>]*>([^<]*)',
-    r'(?is)<h1\s[^>]*class="[^"]*\bfontHeadlineLarge\b[^"]*"[^>]*>([^<]*)',
-    r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bfontHeadlineLarge\b[^"]*"[^>]*>([^<]*)',
-    r"(?is)<h1\b[^>]*>([^<]*)",
+    ("duwdvf", r'(?is)<h1\s[^>]*class="[^"]*\bDUwDvf\b[^"]*"[^>]*>([^<]*)'),
+    ("lfpiob", r'(?is)<h1\s[^>]*class="[^"]*\blfPIob\b[^"]*"[^>]*>([^<]*)'),
+    ("duwdvf", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bDUwDvf\b[^"]*"[^>]*>([^<]*)'),
+    ("lfpiob", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\blfPIob\b[^"]*"[^>]*>([^<]*)'),
+    ("fontheadlinelarge", r'(?is)<h1\s[^>]*class="[^"]*\bfontHeadlineLarge\b[^"]*"[^>]*>([^<]*)'),
+    ("fontheadlinelarge", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bfontHeadlineLarge\b[^"]*"[^>]*>([^<]*)'),
+    ("<h1", r"(?is)<h1\b[^>]*>([^<]*)"),
 )
 ADDRESS_TAGS = (
-    r'(?is)<button\s[^>]*data-item-id="[^"]*address[^"]*"[^>]*>([^<]*)',
-    r'(?is)<button\s[^>]*aria-label="[^"]*address[^"]*"[^>]*>([^<]*)',
-    r'(?is)<div\s[^>]*class="[^"]*rogA2c[^"]*"[^>]*>([^<]*)',
+    ("address", r'(?is)<button\s[^>]*data-item-id="[^"]*address[^"]*"[^>]*>([^<]*)'),
+    ("address", r'(?is)<button\s[^>]*aria-label="[^"]*address[^"]*"[^>]*>([^<]*)'),
+    ("roga2c", r'(?is)<div\s[^>]*class="[^"]*rogA2c[^"]*"[^>]*>([^<]*)'),
 )
 RATING_TAGS = (
-    r'(?is)<div\s[^>]*class="[^"]*fontBodyMedium[^"]*"[^>]*>[^<]*<span\s[^>]*aria-hidden="true"[^>]*>([^<]*)',
-    r'(?is)<[a-z0-9]+\s[^>]*role="img"[^>]*aria-label="[^"]*stars[^"]*"[^>]*>([^<]*)',
+    (
+        "fontbodymedium",
+        r'(?is)<div\s[^>]*class="[^"]*fontBodyMedium[^"]*"[^>]*>[^<]*<span\s[^>]*aria-hidden="true"[^>]*>([^<]*)',
+    ),
+    ("stars", r'(?is)<[a-z0-9]+\s[^>]*role="img"[^>]*aria-label="[^"]*stars[^"]*"[^>]*>([^<]*)'),
 )
 REVIEW_TAGS = (
-    r'(?is)<button\s[^>]*aria-label="[^"]*reviews[^"]*"[^>]*>([^<]*)',
-    r'(?is)<button\s[^>]*aria-label="[^"]*review[^"]*"[^>]*>([^<]*)',
+    ("review", r'(?is)<button\s[^>]*aria-label="[^"]*reviews[^"]*"[^>]*>([^<]*)'),
+    ("review", r'(?is)<button\s[^>]*aria-label="[^"]*review[^"]*"[^>]*>([^<]*)'),
 )
 CATEGORY_TAGS = (
-    r'(?is)<button\s[^>]*jsaction="[^"]*category[^"]*"[^>]*>([^<]*)',
-    r'(?is)<button\s[^>]*class="[^"]*category[^"]*"[^>]*>([^<]*)',
+    ("category", r'(?is)<button\s[^>]*jsaction="[^"]*category[^"]*"[^>]*>([^<]*)'),
+    ("category", r'(?is)<button\s[^>]*class="[^"]*category[^"]*"[^>]*>([^<]*)'),
 )
 PRICE_TAGS = (
-    r'(?is)<span\s[^>]*class="[^"]*price[^"]*"[^>]*>([^<]*)',
-    r'(?is)<[a-z0-9]+\s[^>]*aria-label="[^"]*price[^"]*"[^>]*>([^<]*)',
-    r"(?is)<span\b[^>]*>([^<]*₹[^<]*)",
+    ("price", r'(?is)<span\s[^>]*class="[^"]*price[^"]*"[^>]*>([^<]*)'),
+    ("price", r'(?is)<[a-z0-9]+\s[^>]*aria-label="[^"]*price[^"]*"[^>]*>([^<]*)'),
+    ("₹", r"(?is)<span\b[^>]*>([^<]*₹[^<]*)"),
 )
-PHONE_BUTTON = r'(?is)<button\s[^>]*data-item-id="[^"]*phone[^"]*"[^>]*>([^<]*)'
-PHONE_LINK_TEXT = r'(?is)<a\s[^>]*href="tel:[^"]*"[^>]*>([^<]*)'
-PHONE_LINK = r'(?is)<a\s[^>]*href="tel:([^"?]*)'
-PHONE_LABEL = r'(?is)<button\s[^>]*aria-label="[^"]*phone[^"]*"[^>]*>([^<]*)'
-AUTHORITY_TAG = r'(?is)<a\s[^>]*data-item-id="[^"]*authority[^"]*"[^>]*>'
+PHONE_BUTTON = ("phone", r'(?is)<button\s[^>]*data-item-id="[^"]*phone[^"]*"[^>]*>([^<]*)')
+PHONE_LINK_TEXT = ("tel:", r'(?is)<a\s[^>]*href="tel:[^"]*"[^>]*>([^<]*)')
+PHONE_LINK = ("tel:", r'(?is)<a\s[^>]*href="tel:([^"?]*)')
+PHONE_LABEL = ("phone", r'(?is)<button\s[^>]*aria-label="[^"]*phone[^"]*"[^>]*>([^<]*)')
+AUTHORITY_TAG = ("authority", r'(?is)<a\s[^>]*data-item-id="[^"]*authority[^"]*"[^>]*>')
 WHEELCHAIR = (
     r'(?is)<[a-z0-9]+\s[^>]*aria-label="[^"]*wheelchair'
     r'|<[a-z0-9]+\s[^>]*class="[^"]*accessible'
     r"|<div\b[^>]*>[^<]*wheelchair"
 )
+WHEELCHAIR_WORDS = ("wheelchair", "accessible")
 
 MIN_USABLE_CHARS = 1000
-BLOCKED = r"(?i)captcha|unusual traffic"
+BLOCKED = ("captcha", "unusual traffic")
 PAGE_LABELS = (
     ("recaptcha_v2", ("google.com/recaptcha/api2", "recaptcha", "g-recaptcha", "data-sitekey", "recaptcha-token")),
     ("recaptcha_v3", ("recaptcha/api.js", "render=explicit", "recaptcha-v3")),
@@ -101,13 +107,23 @@ def hrefs(clean: Column) -> Column:
     return F.regexp_extract_all(clean, F.lit(HREF), 1)
 
 
-def tag_text(clean: Column, pattern: str) -> Column:
-    """Trimmed leading text of the first tag that matches, '' if none."""
-    return F.trim(unescape(F.regexp_extract(clean, pattern, 1)))
+def tag_text(clean: Column, low: Column, tag: tuple[str, str]) -> Column:
+    """Trimmed leading text of the first tag that matches, '' if none.
+
+    ``low`` is the lower-case page; a cheap search for the tag's literal spares most pages
+    the pattern.
+    """
+    literal, pattern = tag
+    found = F.trim(unescape(F.regexp_extract(clean, pattern, 1)))
+    return F.when(low.contains(literal), found).otherwise(F.lit(""))
+
+
+def first_tag_text(clean: Column, low: Column, tags) -> Column:
+    return first_present(*[tag_text(clean, low, t) for t in tags])
 
 
-def first_tag_text(clean: Column, patterns) -> Column:
-    return first_present(*[tag_text(clean, p) for p in patterns])
+def _first_with(candidates: list[Column], test) -> Column:
+    return F.get(F.filter(F.array(*candidates), test), 0)
 
 
 def detail_name_ok(name: Column) -> Column:
@@ -115,40 +131,55 @@ def detail_name_ok(name: Column) -> Column:
     return ~name.isin(*DETAIL_NOT_NAMES) & (F.length(name) > 2)
 
 
-def detail_name(clean: Column) -> Column:
+def _acceptable_heading(clean: Column, low: Column, literal: str, pattern: str) -> Column:
+    texts = F.transform(F.regexp_extract_all(clean, F.lit(pattern), 1), lambda t: F.trim(unescape(t)))
+    return F.when(low.contains(literal), F.get(F.filter(texts, detail_name_ok), 0))
+
+
+def detail_name(clean: Column, low: Column) -> Column:
     """First acceptable heading of a detail page (F9 over every match of each pattern)."""
-    found = []
-    for p in DETAIL_HEADINGS:
-        texts = F.transform(F.regexp_extract_all(clean, F.lit(p), 1), lambda t: F.trim(unescape(t)))
-        found.append(F.get(F.filter(texts, detail_name_ok), 0))
-    return F.coalesce(*found)
+    return F.coalesce(*[_acceptable_heading(clean, low, literal, p) for literal, p in DETAIL_HEADINGS])
 
 
-def phone_of_page(clean: Column) -> Column:
+def phone_of_page(clean: Column, low: Column) -> Column:
     """Phone from a button's or link's text, else from the ``tel:`` target."""
 
-    def digits_only_if_any(t):
-        return F.when(t.rlike(r"\d"), t)
+    def with_digit(*tags):
+        return _first_with([tag_text(clean, low, t) for t in tags], lambda t: t.rlike(r"\d"))
 
-    return F.coalesce(
-        digits_only_if_any(tag_text(clean, PHONE_BUTTON)),
-        digits_only_if_any(tag_text(clean, PHONE_LINK_TEXT)),
-        nullify(F.regexp_extract(clean, PHONE_LINK, 1)),
-        digits_only_if_any(tag_text(clean, PHONE_LABEL)),
-    )
+    target = F.when(low.contains(PHONE_LINK[0]), F.regexp_extract(clean, PHONE_LINK[1], 1))
+    return F.coalesce(with_digit(PHONE_BUTTON, PHONE_LINK_TEXT), first_present(target), with_digit(PHONE_LABEL))
 
 
-def website_of_page(clean: Column) -> Column:
+def website_of_page(clean: Column, low: Column) -> Column:
     """The authority link, else the first absolute link that leaves the map host."""
-    marked = F.regexp_extract(F.regexp_extract(clean, AUTHORITY_TAG, 0), r'(?i)href="([^"]*)"', 1)
+    literal, pattern = AUTHORITY_TAG
+    marked = F.when(low.contains(literal), F.regexp_extract(F.regexp_extract(clean, pattern, 0), r'(?i)href="([^"]*)"', 1))
     outside = F.filter(hrefs(clean), lambda h: h.startswith("http") & ~h.contains("google"))
-    return F.coalesce(nullify(marked), F.get(outside, 0))
+    return F.coalesce(first_present(marked), F.get(outside, 0))
 
 
-def address_of_page(clean: Column) -> Column:
+def address_of_page(clean: Column, low: Column) -> Column:
     """First address tag with more than five characters."""
-    texts = [tag_text(clean, p) for p in ADDRESS_TAGS]
-    return F.coalesce(*[F.when(F.length(t) > 5, t) for t in texts])
+    return _first_with([tag_text(clean, low, t) for t in ADDRESS_TAGS], lambda t: F.length(t) > 5)
+
+
+def rating_of_page(clean: Column, low: Column) -> Column:
+    """First number in the text of a rating tag."""
+    found = F.transform(F.array(*[tag_text(clean, low, t) for t in RATING_TAGS]), number_in_label)
+    return F.get(F.array_compact(found), 0)
+
+
+def review_count_of_page(clean: Column, low: Column) -> Column:
+    """First whole number in the text of a review tag."""
+    found = F.transform(F.array(*[tag_text(clean, low, t) for t in REVIEW_TAGS]), count_in_label)
+    return F.get(F.array_compact(found), 0)
+
+
+def wheelchair_of_page(clean: Column, low: Column) -> Column:
+    """True if the page mentions wheelchair access, else NULL."""
+    mentioned = low.contains(WHEELCHAIR_WORDS[0]) | low.contains(WHEELCHAIR_WORDS[1])
+    return F.when(mentioned & clean.rlike(WHEELCHAIR), F.lit(True))
 
 
 def page_usable(html: Column) -> Column:
@@ -158,24 +189,25 @@ def page_usable(html: Column) -> Column:
 
 def page_blocked(html: Column) -> Column:
     """a challenge or refusal page rather than content."""
-    return html.rlike(BLOCKED)
+    low = F.lower(html)
+    return low.contains(BLOCKED[0]) | low.contains(BLOCKED[1])
+
+
+def _holds(low: Column, pattern: str) -> Column:
+    """A label pattern in lower-case text; a dot stands for any character."""
+    literal = pattern.split(".")[0]
+    return low.contains(pattern) if literal == pattern else low.contains(literal) & low.rlike(pattern)
 
 
-def page_label(html: Column) -> Column:
+def page_label(low: Column) -> Column:
     """struct(score, rank, label): the best-matching kind of challenge page, or NULL.
 
-    Score is the share of a kind's patterns found, in percent; the kind listed first
-    wins ties.
+    ``low`` is the lower-case page. Score is the share of a kind's patterns found, in
+    percent; the kind listed first wins ties.
     """
     scored = []
     for i, (label, patterns) in enumerate(PAGE_LABELS):
-        hits = sum((html.rlike("(?i)" + p).cast("int") for p in patterns[1:]), html.rlike("(?i)" + patterns[0]).cast("int"))
-        scored.append(
-            F.struct(
-                (hits / F.lit(float(len(patterns))) * 100).alias("score"),
-                F.lit(-i).alias("rank"),
-                F.lit(label).alias("label"),
-            )
-        )
-    # each pattern is evaluated once; the maximum of no entries is NULL
+        hits = sum((_holds(low, p).cast("int") for p in patterns), F.lit(0))
+        share = hits / F.lit(float(len(patterns))) * 100
+        scored.append(F.struct(share.alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label")))
     return F.array_max(F.filter(F.array(*scored), lambda s: s["score"] > 0))

@@ -17,24 +17,25 @@ NOT_NAMES = (
     r"^[•·●]",
 )
 MIN_NAME, MAX_NAME = 2, 100
-# The fifteen places a name is looked for, in order; a ``link`` pattern is searched
-# within anchors that lead to a place page.
+# The fifteen places a name is looked for, in order, each with a lower-case literal it
+# cannot match without; a ``link`` pattern is searched within anchors that lead to a place
+# page.
 NAME_PLACES = (
-    ("link", r"(?is)<h3\b[^>]*>([^<]*)"),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bfontHeadlineSmall\b[^"]*"[^>]*>([^<]*)'),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bqBF1Pd\b[^"]*"[^>]*>([^<]*)'),
-    ("page", r'(?is)<h3\s[^>]*class="[^"]*\bfontHeadlineSmall\b[^"]*"[^>]*>([^<]*)'),
-    ("page", r'(?is)<div\s[^>]*role="article"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bNv2PK\b[^"]*"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
-    ("page", r"(?is)<[a-z0-9]+\s[^>]*data-place-id\b[^>]*>.*?<h3\b[^>]*>([^<]*)"),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*headline[^"]*"[^>]*>([^<]*)'),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*fontHeadline[^"]*"[^>]*>([^<]*)'),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*businessName[^"]*"[^>]*>([^<]*)'),
-    ("link", r"(?is)<h3\b[^>]*>([^<]*)"),
-    ("page", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*headline[^"]*"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
-    ("link", r"(?is)<h3\b[^>]*>([^<]*)"),
-    ("page", r"(?is)<h3\b[^>]*>([^<]{3,})"),
-    ("page", r"(?is)<[a-z0-9]+\b[^>]*>([^<·★]{3,99})<"),
+    ("link", "maps/place", r"(?is)<h3\b[^>]*>([^<]*)"),
+    ("page", "fontheadlinesmall", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bfontHeadlineSmall\b[^"]*"[^>]*>([^<]*)'),
+    ("page", "qbf1pd", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bqBF1Pd\b[^"]*"[^>]*>([^<]*)'),
+    ("page", "fontheadlinesmall", r'(?is)<h3\s[^>]*class="[^"]*\bfontHeadlineSmall\b[^"]*"[^>]*>([^<]*)'),
+    ("page", 'role="article"', r'(?is)<div\s[^>]*role="article"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
+    ("page", "nv2pk", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*\bNv2PK\b[^"]*"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
+    ("page", "data-place-id", r"(?is)<[a-z0-9]+\s[^>]*data-place-id\b[^>]*>.*?<h3\b[^>]*>([^<]*)"),
+    ("page", "headline", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*headline[^"]*"[^>]*>([^<]*)'),
+    ("page", "fontheadline", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*fontHeadline[^"]*"[^>]*>([^<]*)'),
+    ("page", "businessname", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*businessName[^"]*"[^>]*>([^<]*)'),
+    ("link", "maps/place", r"(?is)<h3\b[^>]*>([^<]*)"),
+    ("page", "headline", r'(?is)<[a-z0-9]+\s[^>]*class="[^"]*headline[^"]*"[^>]*>.*?<h3\b[^>]*>([^<]*)'),
+    ("link", "maps/place", r"(?is)<h3\b[^>]*>([^<]*)"),
+    ("page", "<h3", r"(?is)<h3\b[^>]*>([^<]{3,})"),
+    ("page", "<", r"(?is)<[a-z0-9]+\b[^>]*>([^<·★]{3,99})<"),
 )
 PLACE_LINK = r'(?i)^<a\s[^>]*href="[^"]*maps/place'
 ATTRIBUTE_PATTERNS = (
@@ -80,11 +81,11 @@ def _first_within(links: Column, pattern: str) -> Column:
     return F.coalesce(F.get(F.filter(heads, lambda h: h != ""), 0), F.lit(""))
 
 
-def name_of_markup(clean: Column, text: Column) -> Column:
+def name_of_markup(clean: Column, low: Column, text: Column) -> Column:
     """struct(name, confidence) from a card's or page's markup.
 
-    ``clean`` comes from ``html.markup`` and ``text`` from ``html.page_text``. The first
-    hit of each place counts if it is plausible; then the whole text; then attributes.
+    ``clean`` comes from ``html.markup``, ``low`` is its lower case and ``text`` comes from
+    ``html.visible_text``. The first hit of each place counts if it is plausible; then the whole text; then attributes.
     """
     links = F.filter(F.regexp_extract_all(clean, F.lit(ANCHOR), 0), lambda a: a.rlike(PLACE_LINK))
     hits, seen = [], set()
@@ -92,11 +93,11 @@ def name_of_markup(clean: Column, text: Column) -> Column:
     def offer(name: Column, base: int) -> None:
         hits.append(F.struct(name.alias("name"), F.lit(base).alias("base")))
 
-    for i, (where, pattern) in enumerate(NAME_PLACES):
+    for i, (where, literal, pattern) in enumerate(NAME_PLACES):
         if (where, pattern) not in seen:
             seen.add((where, pattern))
             raw = _first_within(links, pattern) if where == "link" else F.regexp_extract(clean, pattern, 1)
-            offer(F.trim(unescape(raw)), place_score(i))
+            offer(F.when(low.contains(literal), F.trim(unescape(raw))), place_score(i))
     offer(F.trim(text), TEXT_SCORE)
     for pattern in ATTRIBUTE_PATTERNS:
         offer(F.regexp_extract(clean, pattern, 1), ATTRIBUTE_SCORE)

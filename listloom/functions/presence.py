@@ -36,5 +36,8 @@ def nullify(col: Column) -> Column:
 
 
 def first_present(*cols: Column) -> Column:
-    """L3: the first non-empty of several string candidates, in order."""
-    return F.coalesce(*[nullify(c) for c in cols])
+    """L3: the first non-empty of several string candidates, in order.
+
+    Each candidate is evaluated once, where ``coalesce`` over ``nullify`` would repeat it.
+    """
+    return F.get(F.filter(F.array(*cols), lambda c: c != ""), 0)

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .contacts import join_url
-from .html import ANCHOR, hrefs
 from .presence import nullify
 from .text import business_slug, domain_label
 
@@ -48,6 +47,7 @@ PLATFORM_LINKS = {
     "reddit": (r"(?:https?:)?\/\/(?:www\.)?reddit\.com\/(?:r|user)\/([a-zA-Z0-9_]+)",),
     "medium": (r"(?:https?:)?\/\/(?:www\.)?medium\.com\/@([a-zA-Z0-9.]+)",),
 }
+META_MARK = "al:"
 # A class name stands for its longer spellings too, as it is matched as a substring.
 ICON_CLASSES = {
     "facebook": ("fa-facebook", "icon-facebook"),
@@ -97,9 +97,8 @@ def _first_like(values: Column, pattern: str) -> Column:
     return F.get(F.filter(values, lambda v: v.rlike(pattern)), 0)
 
 
-def linked_profiles(clean: Column, platforms=PLATFORM_LINKS) -> Column:
-    """Platform -> first link that leads there; links are extracted once."""
-    links = hrefs(clean)
+def linked_profiles(links: Column, platforms=PLATFORM_LINKS) -> Column:
+    """Platform -> first of a page's links (``html.hrefs``) that leads there."""
     found = []
     for platform, patterns in platforms.items():
         firsts = [_first_like(links, p) for p in patterns]
@@ -107,9 +106,13 @@ def linked_profiles(clean: Column, platforms=PLATFORM_LINKS) -> Column:
     return _without_nulls(found)
 
 
-def icon_profiles(clean: Column, page_url: Column) -> Column:
+def mentions_icon(low: Column) -> Column:
+    """Cheap test on the lower-case page before anchors are searched for icons."""
+    return low.contains("fa-") | low.contains("icon-")
+
+
+def icon_profiles(anchors: Column, page_url: Column) -> Column:
     """Platform -> target of the first anchor that wraps the platform's icon."""
-    anchors = F.regexp_extract_all(clean, F.lit(ANCHOR), 0)
     found = []
     for platform, classes in ICON_CLASSES.items():
         options = []

@@ -113,8 +113,12 @@ def dedup_key(place_id, phone, name, address, website, lat, lng) -> Column:
 
 
 def phone_in_text(text) -> Column:
-    """First phone number in free text, patterns tried in order."""
-    return first_present(*[F.regexp_extract(_col(text), p, 0) for p in PHONE_PATTERNS])
+    """First phone number in free text, patterns tried in order.
+
+    Every pattern ends in four digits, so text without such a run is not searched.
+    """
+    t = _col(text)
+    return F.when(t.rlike(r"\d{4}"), first_present(*[F.regexp_extract(t, p, 0) for p in PHONE_PATTERNS]))
 
 
 def rating_in_text(text) -> Column:

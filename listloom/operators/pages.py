@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as h
 from ..functions import social
 from ..functions.names import name_of_markup
-from ..functions.text import coordinates_of_url, count_in_label, number_in_label, place_key_of_url
+from ..functions.text import coordinates_of_url, place_key_of_url
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:
@@ -19,12 +19,15 @@ def usable_pages(pages: DataFrame) -> DataFrame:
 
 def labelled_pages(pages: DataFrame) -> DataFrame:
     """(page_id, label, score) of pages that look like a challenge."""
-    found = pages.select("page_id", h.page_label(F.col("html")).alias("l"))
+    low = pages.select("page_id", F.lower("html").alias("low"))
+    found = low.select("page_id", h.page_label(F.col("low")).alias("l"))
     return found.filter("l is not null").select("page_id", "l.label", F.round("l.score", 4).alias("score"))
 
 
 def _clean(pages: DataFrame, *cols: str) -> DataFrame:
-    return pages.select("page_id", *cols, h.markup(F.col("html")).alias("clean"))
+    """Pages without scripts, styles and comments (``clean``), also in lower case (``low``)."""
+    clean = pages.select("page_id", *cols, h.markup(F.col("html")).alias("clean"))
+    return clean.withColumn("low", F.lower("clean"))
 
 
 def detail_records(pages: DataFrame) -> DataFrame:
@@ -32,18 +35,18 @@ def detail_records(pages: DataFrame) -> DataFrame:
 
     Pages that are not place pages give a record of NULLs.
     """
-    c, url = F.col("clean"), F.col("place_url")
+    c, low, url = F.col("clean"), F.col("low"), F.col("place_url")
     lat, lng = coordinates_of_url(url)
     fields = {
-        "name": h.detail_name(c),
-        "phone": h.phone_of_page(c),
-        "website": h.website_of_page(c),
-        "address": h.address_of_page(c),
-        "category": h.first_tag_text(c, h.CATEGORY_TAGS),
-        "rating": F.coalesce(*[number_in_label(h.tag_text(c, p)) for p in h.RATING_TAGS]),
-        "reviews": F.coalesce(*[count_in_label(h.tag_text(c, p)) for p in h.REVIEW_TAGS]),
-        "price_range": h.first_tag_text(c, h.PRICE_TAGS),
-        "wheelchair_accessible": F.when(c.rlike(h.WHEELCHAIR), F.lit(True)),
+        "name": h.detail_name(c, low),
+        "phone": h.phone_of_page(c, low),
+        "website": h.website_of_page(c, low),
+        "address": h.address_of_page(c, low),
+        "category": h.first_tag_text(c, low, h.CATEGORY_TAGS),
+        "rating": h.rating_of_page(c, low),
+        "reviews": h.review_count_of_page(c, low),
+        "price_range": h.first_tag_text(c, low, h.PRICE_TAGS),
+        "wheelchair_accessible": h.wheelchair_of_page(c, low),
         "place_id": place_key_of_url(url),
         "latitude": lat,
         "longitude": lng,
@@ -54,17 +57,22 @@ def detail_records(pages: DataFrame) -> DataFrame:
 
 def page_names(pages: DataFrame) -> DataFrame:
     """(page_id, name, confidence)."""
-    texts = _clean(pages).select("page_id", "clean", h.visible_text(F.col("clean")).alias("text"))
-    return texts.select("page_id", name_of_markup(F.col("clean"), F.col("text")).alias("n")).select("page_id", "n.*")
+    texts = _clean(pages).withColumn("text", h.visible_text(F.col("clean")))
+    named = texts.select("page_id", name_of_markup(F.col("clean"), F.col("low"), F.col("text")).alias("n"))
+    return named.select("page_id", "n.*")
 
 
 def page_social(pages: DataFrame) -> DataFrame:
     """(page_id, social_media); each fallback runs only where nothing was found so far."""
-    c = F.col("clean")
-    found = _clean(pages, "url").withColumn("found", social.linked_profiles(c))
-    for fallback in (social.icon_profiles(c, F.col("url")), social.meta_profile(c)):
-        found = found.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(fallback))
-    return found.select("page_id", F.col("found").alias("social_media"))
+    found = _clean(pages, "url").withColumn("links", h.hrefs(F.col("clean")))
+    found = found.withColumn("found", social.linked_profiles(F.col("links")))
+    missing = F.size("found") == 0
+    with_icons = missing & social.mentions_icon(F.col("low"))
+    found = found.withColumn("anchors", F.when(with_icons, F.regexp_extract_all("clean", F.lit(h.ANCHOR), 0)))
+    icons = F.when(F.col("anchors").isNotNull(), social.icon_profiles(F.col("anchors"), F.col("url")))
+    found = found.withColumn("found", F.when(missing, F.coalesce(icons, F.col("found"))).otherwise(F.col("found")))
+    meta = F.when(F.col("low").contains(social.META_MARK), social.meta_profile(F.col("clean")))
+    return found.select("page_id", F.when(missing, F.coalesce(meta, F.col("found"))).otherwise(F.col("found")).alias("social_media"))
 
 
 def social_presence(df: DataFrame, key: str, profiles: str = "social_media") -> DataFrame:

@@ -25,6 +25,8 @@ RATE_UP, RATE_DOWN, MIN_RATE = 1.05, 0.9, 5.0
 FAILURE_EXPIRY = "1 hour"
 # --------------------------------------------------------------------------------
 
+_STEP = ["req_key", "chunk", "scale", "low", "high"]
+
 
 def _micros(ts="ts"):
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -125,18 +127,24 @@ def rate_trace(
     """
     max_rate, min_rate = float(max_rate), float(min_rate)
 
-    def step(rate, ok):
-        return min(rate * RATE_UP, max_rate) if ok else max(rate * RATE_DOWN, min_rate)
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        scale, low, high = 1.0, min_rate, max_rate
-        for ok in pdf.sort_values("position")["ok"]:
-            if ok:
-                scale, low, high = scale * RATE_UP, low * RATE_UP, min(high * RATE_UP, max_rate)
-            else:
-                scale, low, high = scale * RATE_DOWN, max(low * RATE_DOWN, min_rate), max(high * RATE_DOWN, min_rate)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"req_key": [first.req_key], "chunk": [first.chunk], "scale": [scale], "low": [low], "high": [high]})
+    def reduce_chunks(batches):
+        """One (scale, low, high) per chunk; rows come ordered, chunks may span batches."""
+        last, state = None, None
+        for pdf in batches:
+            done = []
+            for key, chunk_no, ok in zip(pdf["req_key"], pdf["chunk"], pdf["ok"]):
+                if (key, chunk_no) != last:
+                    if last is not None:
+                        done.append((*last, *state))
+                    last, state = (key, chunk_no), (1.0, min_rate, max_rate)
+                scale, low, high = state
+                if ok:
+                    state = (scale * RATE_UP, low * RATE_UP, min(high * RATE_UP, max_rate))
+                else:
+                    state = (scale * RATE_DOWN, max(low * RATE_DOWN, min_rate), max(high * RATE_DOWN, min_rate))
+            yield pd.DataFrame(done, columns=_STEP)
+        if last is not None:
+            yield pd.DataFrame([(*last, *state)], columns=_STEP)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -146,26 +154,30 @@ def rate_trace(
             rate = min(high, max(low, scale * rate))
         return pd.DataFrame({"req_key": pdf["req_key"], "chunk": pdf["chunk"], "start_rate": starts})
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        rate, rates = pdf["start_rate"].iloc[0], []
-        for ok in pdf["ok"]:
-            rate = step(rate, ok)
-            rates.append(rate)
-        return pd.DataFrame({"seq": pdf["seq"], "req_key": pdf["req_key"], "rate": rates})
+    def trace(batches):
+        last, rate = None, None
+        for pdf in batches:
+            rates = []
+            for key, chunk_no, ok, start in zip(pdf["req_key"], pdf["chunk"], pdf["ok"], pdf["start_rate"]):
+                if (key, chunk_no) != last:
+                    last, rate = (key, chunk_no), start
+                rate = min(rate * RATE_UP, max_rate) if ok else max(rate * RATE_DOWN, min_rate)
+                rates.append(rate)
+            yield pd.DataFrame({"seq": pdf["seq"], "req_key": pdf["req_key"], "rate": rates})
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("req_key", "chunk").sortWithinPartitions("req_key", "chunk", "position")
 
     key_type = log.schema["req_key"].dataType.simpleString()
     placed = with_position(log.select("seq", "req_key", "ts", "ok"), [F.col("ts"), F.col("seq")], _time_bucket(bucket_s), by=["req_key"])
     rows = with_chunks(placed, "position", chunk).select("seq", "req_key", "ok", "position", "chunk")
     later = rows.filter("chunk > 0").select("req_key").distinct()
-    steps = (
-        rows.join(later, "req_key", "left_semi")
-        .groupBy("req_key", "chunk")
-        .applyInPandas(reduce_chunk, f"req_key {key_type}, chunk bigint, scale double, low double, high double")
+    steps = in_order(rows.join(later, "req_key", "left_semi")).mapInPandas(
+        reduce_chunks, f"req_key {key_type}, chunk bigint, scale double, low double, high double"
     )
     starts = steps.groupBy("req_key").applyInPandas(chain, f"req_key {key_type}, chunk bigint, start_rate double")
     started = rows.join(starts, ["req_key", "chunk"], "left").withColumn("start_rate", F.coalesce("start_rate", F.lit(max_rate)))
-    traced = started.groupBy("req_key", "chunk").applyInPandas(trace, f"seq bigint, req_key {key_type}, rate double")
+    traced = in_order(started).mapInPandas(trace, f"seq bigint, req_key {key_type}, rate double")
     return traced.withColumn("rate", F.round("rate", 6))
 
 

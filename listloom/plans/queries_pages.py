@@ -27,7 +27,8 @@ _PAGE_TEXT = _unescape("regexp_replace(m, '<[^>]*>', '', 'g')")
 TEXTS = CLEAN + f", texts AS (SELECT *, {_PAGE_TEXT} AS t FROM clean)\n"
 
 
-def _tag(pattern: str, m: str = "m") -> str:
+def _tag(tag: tuple[str, str], m: str = "m") -> str:
+    pattern = tag[1]
     return f"trim({_unescape(f'regexp_extract({m}, {lit(pattern)}, 1)')})"
 
 
@@ -93,7 +94,7 @@ def x36(spark, sf):
 _DETAIL_NAME = "coalesce(" + ", ".join(
     f"list_filter(list_transform(regexp_extract_all(m, {lit(p)}, 1), lambda h: trim({_unescape('h')})),"
     f" lambda h: h NOT IN ({', '.join(lit(n) for n in DETAIL_NOT_NAMES)}) AND length(h) > 2)[1]"
-    for p in DETAIL_HEADINGS
+    for _, p in DETAIL_HEADINGS
 ) + ")"
 
 
@@ -102,10 +103,10 @@ def _digit_text(pattern: str) -> str:
 
 
 _PHONE_OF_PAGE = (
-    f"coalesce({_digit_text(PHONE_BUTTON)}, {_digit_text(PHONE_LINK_TEXT)}, nullif(regexp_extract(m, {lit(PHONE_LINK)}, 1), ''), {_digit_text(PHONE_LABEL)})"
+    f"coalesce({_digit_text(PHONE_BUTTON)}, {_digit_text(PHONE_LINK_TEXT)}, nullif(regexp_extract(m, {lit(PHONE_LINK[1])}, 1), ''), {_digit_text(PHONE_LABEL)})"
 )
 _WEBSITE = (
-    f"coalesce(nullif(regexp_extract(regexp_extract(m, {lit(AUTHORITY_TAG)}, 0), '(?i)href=\"([^\"]*)\"', 1), ''),"
+    f"coalesce(nullif(regexp_extract(regexp_extract(m, {lit(AUTHORITY_TAG[1])}, 0), '(?i)href=\"([^\"]*)\"', 1), ''),"
     f" list_filter(regexp_extract_all(m, {lit(HREF)}, 1), lambda h: h LIKE 'http%' AND h NOT LIKE '%google%')[1])"
 )
 _ADDRESS = "coalesce(" + ", ".join(f"CASE WHEN length({_tag(p)}) > 5 THEN {_tag(p)} END" for p in ADDRESS_TAGS) + ")"
@@ -127,8 +128,8 @@ def x16(spark, sf):
 
 @query("f9_detail_names", CLEAN + f"SELECT page_id, {_DETAIL_NAME} AS name FROM clean")
 def f9(spark, sf):
-    p = pages_x(spark, sf).select("page_id", html.markup(F.col("html")).alias("m"))
-    return p.select("page_id", html.detail_name(F.col("m")).alias("name"))
+    p = pages_x(spark, sf).select("page_id", html.markup(F.col("html")).alias("m")).withColumn("low", F.lower("m"))
+    return p.select("page_id", html.detail_name(F.col("m"), F.col("low")).alias("name"))
 
 
 @query(
@@ -162,7 +163,7 @@ def _confidence(x: str, place: int) -> str:
 def _names_sql() -> str:
     links = f"list_filter(regexp_extract_all(m, {lit(ANCHOR)}, 0), lambda a: regexp_matches(a, {lit(names.PLACE_LINK)}))"
     cols, cases, scores = [], [], []
-    for i, (where, pattern) in enumerate(names.NAME_PLACES):
+    for i, (where, _, pattern) in enumerate(names.NAME_PLACES):
         if where == "link":
             raw = f"coalesce(list_filter(list_transform({links}, lambda a: regexp_extract(a, {lit(pattern)}, 1)), lambda h: h <> '')[1], '')"
         else:
