@@ -38,7 +38,7 @@ def record_id(name, phone, address) -> Column:
 def clean_phone(phone) -> Column:
     """Digits only; a leading US 1 dropped; fewer than ten digits gives NULL."""
     digits = F.regexp_replace(_col(phone), r"[^\p{Nd}]", "")
-    local = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
+    local = F.regexp_replace(digits, r"^1(.{10})$", "$1")
     return F.when(F.length(local) >= 10, local)
 
 

@@ -44,7 +44,8 @@ def _item(field: str, sub, value, pos):
 
 
 def _list_items(field: str):
-    values = F.coalesce(F.col(field), F.array().cast("array<string>"))
+    # one position per value and row, so that the lowest seq also settles the position
+    values = F.array_distinct(F.coalesce(F.col(field), F.array().cast("array<string>")))
     return F.transform(values, lambda v, i: _item(field, F.lit(""), v, i))
 
 
@@ -73,7 +74,7 @@ def merged_fields(keyed: DataFrame) -> DataFrame:
     values = (
         _items(keyed)
         .groupBy("dedup_key", "field", "sub", "value")
-        .agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first"), F.max("seq").alias("last"))
+        .agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min_by("pos", "seq").alias("pos"), F.max("seq").alias("last"))
     )
     weight = (
         F.when(F.col("field") == LARGEST_FIELD, F.col("value").try_cast("double"))
@@ -82,7 +83,7 @@ def merged_fields(keyed: DataFrame) -> DataFrame:
         .when(F.col("field") == MAP_FIELD, F.col("last").cast("double"))
         .otherwise(F.lit(0.0))
     )
-    order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), "first")
+    order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), "first", "pos")
     top = (
         values.withColumn("weight", weight)
         .withColumn("rank", F.row_number().over(order))
@@ -113,10 +114,9 @@ def merged_media(keyed: DataFrame, field: str) -> DataFrame:
     Kept in long form since a group's list has no bound; order by the last two columns.
     """
     return (
-        keyed.select("dedup_key", "seq", F.posexplode(field).alias("pos", "value"))
+        keyed.select("dedup_key", "seq", F.posexplode(F.array_distinct(field)).alias("pos", "value"))
         .groupBy("dedup_key", "value")
-        .agg(F.min(F.struct("seq", "pos")).alias("first"))
-        .select("dedup_key", "value", F.col("first.seq").alias("first_seq"), F.col("first.pos").alias("first_pos"))
+        .agg(F.min("seq").alias("first_seq"), F.min_by("pos", "seq").alias("first_pos"))
     )
 
 

@@ -20,8 +20,10 @@ def usable_pages(pages: DataFrame) -> DataFrame:
 def labelled_pages(pages: DataFrame) -> DataFrame:
     """(page_id, label, score) of pages that look like a challenge."""
     low = pages.select("page_id", F.lower("html").alias("low"))
-    found = low.select("page_id", h.page_label(F.col("low")).alias("l"))
-    return found.filter("l is not null").select("page_id", "l.label", F.round("l.score", 4).alias("score"))
+    # inline, not a filter: a filter would be pushed below and compute the label twice
+    best = F.array_compact(F.array(h.page_label(F.col("low"))))
+    found = low.select("page_id", F.inline(best))
+    return found.select("page_id", "label", F.round("score", 4).alias("score"))
 
 
 def _clean(pages: DataFrame, *cols: str) -> DataFrame:
