@@ -96,9 +96,11 @@ def _scored(pairs: DataFrame, phone_equal: Column, threshold: float) -> DataFram
     return scored.withColumn("score", F.round(score, 4)).filter(F.col("score") >= threshold)
 
 
-def _pairs_in_small_blocks(p: DataFrame, keys: list[str], phone_equal: Column, threshold: float) -> DataFrame:
+def _pairs_in_small_blocks(p: DataFrame, keys: list[str], same_phone: bool, threshold: float) -> DataFrame:
     pairs = _sides(p, "l_", keys).join(_sides(p, "r_", keys), keys).filter("l_rep < r_rep")
-    return _scored(pairs, phone_equal, threshold).select("l_rep", "r_rep", "score")
+    if not same_phone:
+        pairs = pairs.filter("not coalesce(l_n_phone = r_n_phone, false)")
+    return _scored(pairs, F.lit(same_phone), threshold).select("l_rep", "r_rep", "score")
 
 
 def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold: float) -> DataFrame:
@@ -132,12 +134,9 @@ def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold:
 
 
 def _block_pairs(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, small: int) -> DataFrame:
+    """Matches within blocks, among pairs whose phones are equal or are not, as asked."""
     blocks = with_block_size(p, keys)
-    if same_phone:
-        equal = F.lit(True)
-    else:
-        equal = F.coalesce(F.col("l_n_phone") == F.col("r_n_phone"), F.lit(False))
-    few = _pairs_in_small_blocks(blocks.filter(F.col("block_n") <= small), keys, equal, threshold)
+    few = _pairs_in_small_blocks(blocks.filter(F.col("block_n") <= small), keys, same_phone, threshold)
     many = _pairs_in_cells(blocks.filter(F.col("block_n") > small), keys, same_phone, threshold)
     return few.unionByName(many)
 
