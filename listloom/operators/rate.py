@@ -22,7 +22,7 @@ TARGET_RESPONSE_S = 2.0
 SLOW_FACTOR, FAST_FACTOR = 1.5, 0.7
 MIN_DELAY_S, MAX_DELAY_S, MAX_BACKOFF = 1.0, 5.0, 10.0
 RATE_UP, RATE_DOWN, MIN_RATE = 1.05, 0.9, 5.0
-FAILURE_EXPIRY = "1 hour"
+FAILURE_EXPIRY_S = 3600
 # --------------------------------------------------------------------------------
 
 _STEP = ["req_key", "chunk", "scale", "low", "high"]
@@ -187,14 +187,31 @@ def tumbling_counts(log: DataFrame, width: str = "60 seconds") -> DataFrame:
     return log.groupBy("req_key", w.alias("w")).agg(F.count("*").alias("requests")).select("req_key", F.col("w.start").alias("window_start"), "requests")
 
 
-def failure_sessions(log: DataFrame, gap: str = FAILURE_EXPIRY) -> DataFrame:
-    """Failure counter that lives until no failure came for ``gap``."""
-    s = F.session_window("ts", gap)
+def failure_sessions(log: DataFrame, gap_s: int = FAILURE_EXPIRY_S, bucket_s: int = 86_400) -> DataFrame:
+    """Failure counter that lives until no failure came for ``gap_s``.
+
+    Failures are first joined into segments within time buckets; segments, of which a key
+    has no more than buckets and sessions together, are then joined across buckets.
+    """
+    gap = gap_s * 1_000_000
+
+    def numbered(df: DataFrame, part: list[str], start: str, end: str, name: str) -> DataFrame:
+        order = Window.partitionBy(*part).orderBy(start)
+        joins = F.coalesce(F.col(start) - F.lag(end).over(order) < gap, F.lit(False))
+        fresh = df.withColumn("fresh", F.when(joins, 0).otherwise(1))
+        return fresh.withColumn(name, F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    failures = log.filter(~F.col("ok")).select("req_key", "ts", _micros().alias("us"), _time_bucket(bucket_s).alias("bucket"))
+    segments = (
+        numbered(failures, ["req_key", "bucket"], "us", "us", "segment")
+        .groupBy("req_key", "bucket", "segment")
+        .agg(F.min("us").alias("start"), F.max("us").alias("end"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    )
     return (
-        log.filter(~F.col("ok"))
-        .groupBy("req_key", s.alias("s"))
-        .agg(F.count("*").alias("failures"), F.max("ts").alias("last_failure"))
-        .select("req_key", F.col("s.start").alias("first_failure"), "last_failure", "failures")
+        numbered(segments, ["req_key"], "start", "end", "session")
+        .groupBy("req_key", "session")
+        .agg(F.min("first").alias("first_failure"), F.max("last").alias("last_failure"), F.sum("n").alias("failures"))
+        .drop("session")
     )
 
 

@@ -91,7 +91,7 @@ sessions AS (SELECT req_key, min(ts) AS first_failure, max(ts) AS last_failure,
 
 @query("t9_failure_sessions", _SESSIONS.format(gap="12 HOUR") + "SELECT * FROM sessions")
 def t9(spark, sf):
-    return rate.failure_sessions(requests(spark, sf), "12 hours")
+    return rate.failure_sessions(requests(spark, sf), _HOURS_12)
 
 
 @query("t10_totals", REQ + "SELECT req_key, count(*) AS requests FROM requests GROUP BY req_key")

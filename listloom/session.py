@@ -15,7 +15,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _local_dirs: dict[str, str] = {}

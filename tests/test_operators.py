@@ -177,6 +177,20 @@ def test_rate_trace(log, chunk):
             assert got[r[0]] == pytest.approx(now, abs=1e-6)
 
 
+@pytest.mark.parametrize("bucket", [20, 86_400])
+def test_failure_sessions(log, bucket):
+    df, per_key = log
+    got = sorted((r.req_key, r.first_failure, r.last_failure, r.failures) for r in rate.failure_sessions(df, gap_s=30, bucket_s=bucket).collect())
+    want = []
+    for key, rows in per_key.items():
+        for t in [r[2] for r in rows if not r[3]]:
+            if want and want[-1][0] == key and t - want[-1][2] < dt.timedelta(seconds=30):
+                want[-1] = (key, want[-1][1], t, want[-1][3] + 1)
+            else:
+                want.append((key, t, t, 1))
+    assert got == sorted(want)
+
+
 # -- competitors -----------------------------------------------------------------
 
 
