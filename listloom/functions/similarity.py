@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +43,57 @@ def ratio_of(a: str | None, b: str | None) -> int | None:
     return int(math.floor(200.0 * lcs_length(a, b) / (len(a) + len(b)) + 0.5))
 
 
+def _distinct(values) -> tuple[list[str], np.ndarray]:
+    codes, found = pd.factorize(pd.Series(values, dtype=object).fillna(""))
+    return list(found), codes
+
+
+def ratios_of(a: list, b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``ratio_of(a[i], b[j])`` for whole index arrays, 0 where it is NULL.
+
+    The same bit-parallel steps over arrays of 64-bit words; each distinct pair of strings
+    is compared once, and pairs of two strings longer than a word one by one.
+    """
+    texts_a, code_a = _distinct(a)
+    texts_b, code_b = _distinct(b)
+    pairs, back = np.unique(code_a[i].astype(np.int64) * max(1, len(texts_b)) + code_b[j], return_inverse=True)
+    left, right = pairs // max(1, len(texts_b)), pairs % max(1, len(texts_b))
+    out = np.zeros(len(pairs), dtype=np.int64)
+    len_a = np.array([len(t) for t in texts_a], dtype=np.int64)
+    len_b = np.array([len(t) for t in texts_b], dtype=np.int64)
+    fits = (len_a[left] <= 64) & (len_a[left] > 0) & (len_b[right] > 0)
+    for k in np.flatnonzero(~fits):
+        out[k] = ratio_of(texts_a[left[k]], texts_b[right[k]]) or 0
+    letters = {ch: n for n, ch in enumerate(sorted({ch for t in texts_a if len(t) <= 64 for ch in t}), 1)}
+    where = np.zeros((len(texts_a), len(letters) + 1), dtype=np.uint64)
+    for n, t in enumerate(texts_a):
+        if len(t) <= 64:
+            for pos, ch in enumerate(t):
+                where[n, letters[ch]] |= np.uint64(1 << pos)
+    spelled = np.zeros((len(texts_b), int(len_b.max(initial=0))), dtype=np.int32)
+    for n, t in enumerate(texts_b):
+        spelled[n, : len(t)] = [letters.get(ch, 0) for ch in t]
+    chosen = np.flatnonzero(fits)
+    for start in range(0, len(chosen), 1 << 18):
+        part = chosen[start : start + (1 << 18)]
+        x, y = left[part], right[part]
+        row = np.full(len(part), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for step in range(int(len_b[y].max())):
+            mask = where[x, spelled[y, step]]
+            hit = row & mask
+            row = (row + hit) | (row & ~mask)
+        unused = np.uint64(64) - len_a[x].astype(np.uint64)
+        lcs = np.bitwise_count((~row << unused) >> unused).astype(np.int64)
+        out[part] = np.floor(200.0 * lcs / (len_a[x] + len_b[y]) + 0.5).astype(np.int64)
+    return out[back]
+
+
 @F.pandas_udf(T.IntegerType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """X32 as a column: ``ratio_of`` over Arrow batches."""
-    return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="Int32")
+    """X32 as a column: ``ratio_of`` over Arrow batches; NULL if either side is empty."""
+    rows = np.arange(len(a))
+    got = pd.Series(ratios_of(a.to_list(), b.to_list(), rows, rows), dtype="Int32")
+    return got.mask(((a.fillna("") == "") | (b.fillna("") == "")).to_numpy())
 
 
 def ratio_bound(a: Column, b: Column) -> Column:

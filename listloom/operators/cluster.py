@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 
@@ -48,32 +51,72 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
 
-def _cells(d: DataFrame, eps: float, part: int) -> DataFrame:
-    """Rows (ca, cb, ia, ib, side, rep, v): every two vectors within ``eps`` meet in one cell.
+@dataclass
+class _Balls:
+    """Pivots and, per ball, its size, radius and lowest id: at most ``MAX_PIVOTS`` of each."""
 
-    Vectors go to their nearest pivot. By the triangle inequality a vector can only have
-    a neighbour in another pivot's ball if its distance to that pivot is at most the
-    ball's radius plus the search radius; all other pairs of balls are never compared.
-    A ball of any size is cut into parts of about ``part`` rows. Only pivots and one
-    (size, radius) per ball reach the driver, at most ``MAX_PIVOTS`` of each.
-    """
-    spark = d.sparkSession
-    total = d.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(total / part)))
-    chosen = d.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
-    if not chosen:
-        return None
-    pivots = spark.sparkContext.broadcast(_unit(pd.Series([list(r.v) for r in chosen])))
+    pivots: Any  # broadcast
+    size: dict[int, int]
+    radius: dict[int, float]
+    first: dict[int, Any]
 
+
+def _nearest(balls_pivots):
     @F.pandas_udf("struct<ball:int,dist:double>")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        dist = _distances(_unit(v), pivots.value)
+        dist = _distances(_unit(v), balls_pivots.value)
         ball = dist.argmin(axis=1)
         return pd.DataFrame({"ball": ball.astype("int32"), "dist": dist[np.arange(len(ball)), ball]})
 
-    stats = d.select(nearest("v").alias("p")).groupBy("p.ball").agg(F.count("*").alias("n"), F.max("p.dist").alias("r")).collect()
-    radius = {r.ball: r.r for r in stats}
-    parts = {r.ball: max(1, math.ceil(r.n / part)) for r in stats}
+    return nearest
+
+
+def _balls(d: DataFrame, part: int) -> _Balls | None:
+    """Vectors go to their nearest pivot; pivots are picked by hash, so dense regions get more."""
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(d.count() / part)))
+    chosen = d.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
+    if not chosen:
+        return None
+    pivots = d.sparkSession.sparkContext.broadcast(_unit(pd.Series([list(r.v) for r in chosen])))
+    near = d.select("rep", _nearest(pivots)("v").alias("p"))
+    stats = near.groupBy("p.ball").agg(F.count("*").alias("n"), F.max("p.dist").alias("r"), F.min("rep").alias("first")).collect()
+    return _Balls(pivots, {r.ball: r.n for r in stats}, {r.ball: r.r for r in stats}, {r.ball: r["first"] for r in stats})
+
+
+def _sure_pairs(balls: _Balls, eps: float) -> set[tuple[int, int]]:
+    """Pairs of balls (a <= b) so close that any two of their vectors are neighbours."""
+    reach = math.sqrt(2.0 * eps) - _SLACK
+    apart = _distances(balls.pivots.value, balls.pivots.value)
+    r = balls.radius
+    return {(a, b) for a in r for b in r if a <= b and (apart[a, b] if a != b else 0.0) + r[a] + r[b] <= reach}
+
+
+def _sure_links(d: DataFrame, balls: _Balls, sure: set[tuple[int, int]]) -> DataFrame:
+    """Links that hold the vectors of sure pairs together: one per vector, one per ball pair."""
+    rep_type = d.schema["rep"].dataType
+    between = [(balls.first[a], balls.first[b]) for a, b in sure if a != b]
+    schema = T.StructType([T.StructField("a", rep_type), T.StructField("b", rep_type)])
+    of_balls = d.sparkSession.createDataFrame(between, schema)
+    starred = sorted({x for pair in sure for x in pair})
+    if not starred:
+        return of_balls
+    firsts = F.create_map(*[F.lit(x) for ball in starred for x in (ball, balls.first[ball])])
+    near = d.select("rep", _nearest(balls.pivots)("v").alias("p"))
+    members = near.select("rep", F.try_element_at(firsts, "p.ball").alias("first")).filter("first <> rep")
+    return members.select(F.col("first").cast(rep_type).alias("a"), F.col("rep").alias("b")).unionByName(of_balls)
+
+
+def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[int, int]]) -> DataFrame:
+    """Rows (ca, cb, ia, ib, side, rep, v): every two vectors within ``eps`` meet in one cell,
+    but for the pairs of balls in ``skip``.
+
+    By the triangle inequality a vector can only have a neighbour in another pivot's ball
+    if its distance to that pivot is at most the ball's radius plus the search radius; all
+    other pairs of balls are never compared. A ball of any size is cut into parts of about
+    ``part`` rows.
+    """
+    pivots, radius = balls.pivots, balls.radius
+    parts = {ball: max(1, math.ceil(n / part)) for ball, n in balls.size.items()}
     reach = math.sqrt(2.0 * eps) + _SLACK
 
     def spread(batches):
@@ -86,10 +129,11 @@ def _cells(d: DataFrame, eps: float, part: int) -> DataFrame:
             for k, (rep, v, mark) in enumerate(zip(pdf["rep"], pdf["v"], pdf["mark"])):
                 h = int(home[k])
                 own = int(mark) % parts[h]
-                for other in range(parts[h]):
-                    out.append((h, h, min(own, other), max(own, other), own, rep, v))
+                if (h, h) not in skip:
+                    for other in range(parts[h]):
+                        out.append((h, h, min(own, other), max(own, other), own, rep, v))
                 for b, r in radius.items():
-                    if b == h or dist[k, b] > r + reach:
+                    if b == h or dist[k, b] > r + reach or (min(b, h), max(b, h)) in skip:
                         continue
                     for other in range(parts[b]):
                         if h < b:
@@ -149,20 +193,16 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def _links(d: DataFrame, eps: float, part: int, forest: bool) -> DataFrame:
-    cells = _cells(d, eps, part)
-    if cells is None:
-        rep_type = d.schema["rep"].dataType.simpleString()
-        return d.sparkSession.createDataFrame([], f"a {rep_type}, b {rep_type}, cosine double")
-    return _compare(cells, eps, forest)
-
-
 def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
     """(a, b, cosine), a < b, for distinct vectors within cosine distance ``eps``.
 
     Exact: no pair is missed. Copies are represented by their first row (``copy_links``).
     """
-    return _links(distinct_vectors(vectors, id_col, vector), eps, part, forest=False)
+    d = distinct_vectors(vectors, id_col, vector)
+    balls = _balls(d, part)
+    if balls is None:
+        return d.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"))
+    return _compare(_cells(d, balls, eps, part, set()), eps, forest=False)
 
 
 def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
@@ -170,10 +210,17 @@ def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_
 
     With two samples every vector that has a neighbour is a core point, so clusters are
     the connected components of the neighbour graph; a cluster is named by its lowest id.
-    Cells return a spanning forest of their links, so a dense group yields as many links
-    as it has members.
+    Balls so tight or close that all their vectors must be neighbours are linked without
+    any comparison; other cells return a spanning forest of their links. A dense group thus
+    yields about as many links as it has members.
     """
-    links = _links(distinct_vectors(vectors, id_col, vector), eps, part, forest=True).select("a", "b")
-    groups = connected_components(links.unionByName(copy_links(vectors, id_col, vector)))
+    d = distinct_vectors(vectors, id_col, vector)
+    links = copy_links(vectors, id_col, vector)
+    balls = _balls(d, part)
+    if balls is not None:
+        sure = _sure_pairs(balls, eps)
+        compared = _compare(_cells(d, balls, eps, part, sure), eps, forest=True)
+        links = links.unionByName(compared.select("a", "b")).unionByName(_sure_links(d, balls, sure))
+    groups = connected_components(links)
     labels = groups.select(F.col("node").alias(id_col), F.col("component").alias("cluster"))
     return vectors.select(id_col).join(labels, id_col, "left").select(id_col, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))

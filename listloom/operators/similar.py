@@ -15,6 +15,7 @@ such a string is left out of the join key of (b) and compared instead.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..functions.similarity import (
     MATCH_THRESHOLD,
     WEIGHTS,
     ratio_bound,
-    ratio_of,
+    ratios_of,
     similarity_ratio,
     weighted_score,
 )
@@ -35,6 +36,7 @@ from .components import connected_components
 
 SMALL_BLOCK = 64
 CELL_PART = 2000
+_STRIP = 128
 _ROUNDS_UP_FROM = 100
 _TEXTS = ("name", "address", "category")
 _COMPARED = [*(f"n_{t}" for t in _TEXTS), "n_phone"]
@@ -103,30 +105,43 @@ def _pairs_in_small_blocks(p: DataFrame, keys: list[str], same_phone: bool, thre
     return _scored(pairs, F.lit(same_phone), threshold).select("l_rep", "r_rep", "score")
 
 
+def _length_bounds(left: pd.Series, right: pd.Series, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a = left.str.len().fillna(0).to_numpy(dtype=float)[i]
+    b = right.str.len().fillna(0).to_numpy(dtype=float)[j]
+    both = (a > 0) & (b > 0)
+    return np.where(both, np.floor(200.0 * np.minimum(a, b) / np.where(both, a + b, 1.0) + 0.5), 0.0)
+
+
 def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold: float) -> DataFrame:
     """Exact comparison within large blocks, one bounded cell per task step."""
 
+    weights = [WEIGHTS[t] for t in _TEXTS]
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = pdf["part_a"].iloc[0] != pdf["part_b"].iloc[0]
-        rows = list(pdf[["rep", "n_name", "n_address", "n_category", "n_phone", "part_no"]].itertuples(index=False, name=None))
-        left = [r for r in rows if r[5] == pdf["part_a"].iloc[0]]
-        right = [r for r in rows if r[5] == pdf["part_b"].iloc[0]] if split else left
-        out = []
-        rest = [WEIGHTS["address"] * 100 + WEIGHTS["category"] * 100, WEIGHTS["category"] * 100, 0.0]
-        for i, x in enumerate(left):
-            for y in right if split else left[i + 1 :]:
-                equal = x[4] is not None and x[4] == y[4]
-                if equal != same_phone:
-                    continue
-                score = 100.0 * WEIGHTS["phone"] if equal else 0.0
-                for f, weight, more in ((1, WEIGHTS["name"], rest[0]), (2, WEIGHTS["address"], rest[1]), (3, WEIGHTS["category"], rest[2])):
-                    score += weight * (ratio_of(x[f], y[f]) or 0)
-                    if score + more < threshold - 1e-9:
-                        break
-                else:
-                    if round(score, 4) >= threshold:
-                        out.append((min(x[0], y[0]), max(x[0], y[0]), round(score, 4)))
-        return pd.DataFrame(out, columns=["l_rep", "r_rep", "score"])
+        first, second = pdf["part_a"].iloc[0], pdf["part_b"].iloc[0]
+        left = pdf[pdf["part_no"] == first].reset_index(drop=True)
+        right = pdf[pdf["part_no"] == second].reset_index(drop=True)
+        found = []
+        for start in range(0, len(left), _STRIP):
+            i, j = np.meshgrid(np.arange(start, min(start + _STRIP, len(left))), np.arange(len(right)), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            keep = np.ones(len(i), dtype=bool) if first != second else i < j
+            phones = left["n_phone"].to_numpy(dtype=object)[i] == right["n_phone"].to_numpy(dtype=object)[j]
+            phones &= left["n_phone"].notna().to_numpy()[i]
+            keep &= phones == same_phone
+            i, j = i[keep], j[keep]
+            # start from upper bounds by length, then put in the true ratios one by one
+            parts = [_length_bounds(left[f"n_{t}"], right[f"n_{t}"], i, j) * w for t, w in zip(_TEXTS, weights)]
+            base = 100.0 * WEIGHTS["phone"] if same_phone else 0.0
+            for k, t in enumerate(_TEXTS):
+                likely = base + sum(parts) >= threshold - 1e-9
+                i, j, parts = i[likely], j[likely], [p[likely] for p in parts]
+                parts[k] = ratios_of(left[f"n_{t}"].to_list(), right[f"n_{t}"].to_list(), i, j) * weights[k]
+            score = np.round(base + sum(parts), 4)
+            good = score >= threshold
+            a, b = left["rep"].to_numpy()[i[good]], right["rep"].to_numpy()[j[good]]
+            found.append(pd.DataFrame({"l_rep": np.minimum(a, b), "r_rep": np.maximum(a, b), "score": score[good]}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["l_rep", "r_rep", "score"])
 
     rep_type = p.schema["rep"].dataType.simpleString()
     cells = to_cells(p, "rep", CELL_PART)

@@ -1,5 +1,6 @@
 """Hand tables for column functions, and properties."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from listloom.functions import contacts, html, names, presence, quality, social, text
-from listloom.functions.similarity import lcs_length, ratio_of, similarity_ratio
+from listloom.functions.similarity import lcs_length, ratio_of, ratios_of, similarity_ratio
 
 
 def column(spark, values, dtype="string"):
@@ -227,3 +228,10 @@ def test_lcs_equals_table(a, b):
 def test_ratio_udf(spark):
     df = spark.createDataFrame([(0, "kitten", "sitting"), (1, None, "x"), (2, "x", "x")], "i int, a string, b string")
     assert run(df, similarity_ratio("a", "b")) == [62, None, 100]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdé 1", max_size=70), min_size=1, max_size=12), st.lists(st.text(alphabet="abxé 1", max_size=140), min_size=1, max_size=12))
+def test_ratio_arrays(a, b):
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a)), np.arange(len(b))))
+    assert list(ratios_of(a, b, i, j)) == [ratio_of(a[x], b[y]) or 0 for x, y in zip(i, j)]
