@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import by_cell
 from .components import connected_components
 
 # Fixed values -------------------------------------------------------------------
@@ -171,7 +172,7 @@ def _compare(cells: DataFrame, eps: float, forest: bool) -> DataFrame:
             a, b, s = a[kept], b[kept], s[kept]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(s, 6)})
 
-    return cells.groupBy("ca", "cb", "ia", "ib").applyInPandas(run, f"a {rep_type}, b {rep_type}, cosine double")
+    return by_cell(cells, ["ca", "cb", "ia", "ib"]).applyInPandas(run, f"a {rep_type}, b {rep_type}, cosine double")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:

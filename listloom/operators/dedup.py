@@ -123,12 +123,13 @@ def merged_media(keyed: DataFrame, field: str) -> DataFrame:
 def remove_duplicates(df: DataFrame) -> DataFrame:
     """D1 with A4 and A5: survivors in which merged values replace those of the first copy.
 
-    Records without a duplicate stay as they are.
+    Records without a duplicate stay as they are, and only the others are taken apart.
     """
     keyed = with_dedup_key(df)
-    merged = merged_fields(keyed)
+    repeated = keyed.groupBy("dedup_key").count().filter("count > 1").select("dedup_key")
+    merged = merged_fields(keyed.join(repeated, "dedup_key", "left_semi"))
     fields = [c for c in merged.columns if c not in ("dedup_key", "copies") and c in df.columns]
-    m = merged.filter("copies > 1").select("dedup_key", "copies", *[F.col(c).alias("m_" + c) for c in fields])
+    m = merged.select("dedup_key", "copies", *[F.col(c).alias("m_" + c) for c in fields])
     joined = first_per_key(keyed).join(m, "dedup_key", "left")
     has_copies = F.col("copies").isNotNull()
     out = []

@@ -31,7 +31,7 @@ from ..functions.similarity import (
 )
 from ..functions.text import clean_phone, clean_string
 from ..session import cut
-from .blocks import to_cells, with_block_size
+from .blocks import by_cell, to_cells, with_block_size
 from .components import connected_components
 
 SMALL_BLOCK = 64
@@ -145,7 +145,7 @@ def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold:
 
     rep_type = p.schema["rep"].dataType.simpleString()
     cells = to_cells(p, "rep", CELL_PART)
-    return cells.groupBy(*keys, "part_a", "part_b").applyInPandas(compare, f"l_rep {rep_type}, r_rep {rep_type}, score double")
+    return by_cell(cells, [*keys, "part_a", "part_b"]).applyInPandas(compare, f"l_rep {rep_type}, r_rep {rep_type}, score double")
 
 
 def _block_pairs(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, small: int) -> DataFrame:
