@@ -17,15 +17,17 @@ def with_block_size(df: DataFrame, block: list[str]) -> DataFrame:
     return df.join(sizes, block)
 
 
-def by_cell(df: DataFrame, keys: list[str]):
-    """Rows grouped by cell, over a fixed number of tasks.
-
-    A cell is little data and much work, so AQE, which joins tasks by their bytes, would put
-    too many cells into one; a stated number of partitions is left as it is.
-    """
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows hashed by ``keys`` over a stated number of tasks, for steps that turn little data
+    into much work: AQE merges tasks by their bytes, but leaves a stated number alone."""
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(4 * tasks, *keys).groupBy(*keys)
+    return df.repartition(4 * tasks, *keys)
+
+
+def by_cell(df: DataFrame, keys: list[str]):
+    """Rows grouped by cell, the cells spread over many tasks."""
+    return spread(df, keys).groupBy(*keys)
 
 
 def to_cells(big: DataFrame, id_col: str, part: int) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import EARTH_RADIUS_M, haversine_m
+from .blocks import spread
 
 COMPETITORS = 10  # fixed value
 _AXES = ("cx", "cy", "cz")
 _PLACE = ["category", "lat", "lng"]
+_FINEST_M = 0.5
+_ROUNDING_M = 0.02
 
 
 def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITORS, levels: int = 14) -> DataFrame:
@@ -32,18 +35,21 @@ def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITO
     )
     by_spot = Window.partitionBy(*_PLACE).orderBy("seq")
     members = rows.withColumn("at", F.row_number().over(by_spot)).filter(F.col("at") <= k + 1)
+    while levels > 1 and radius_m / 2 ** (levels - 1) < _FINEST_M:
+        levels -= 1
     edge = radius_m / 2 ** (levels - 1)
     la, ln = F.radians("lat"), F.radians("lng")
     spots = (
         rows.groupBy(*_PLACE)
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min("seq").alias("first"))
         .withColumns(
             {
-                "cx": F.floor(EARTH_RADIUS_M * F.cos(la) * F.cos(ln) / edge),
-                "cy": F.floor(EARTH_RADIUS_M * F.cos(la) * F.sin(ln) / edge),
-                "cz": F.floor(EARTH_RADIUS_M * F.sin(la) / edge),
+                "x": EARTH_RADIUS_M * F.cos(la) * F.cos(ln),
+                "y": EARTH_RADIUS_M * F.cos(la) * F.sin(ln),
+                "z": EARTH_RADIUS_M * F.sin(la),
             }
         )
+        .withColumns({f"c{a}": F.floor(F.col(a) / edge) for a in "xyz"})
     )
 
     def at_all_levels(d: DataFrame) -> DataFrame:
@@ -58,23 +64,41 @@ def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITO
         .groupBy(*_PLACE)
         .agg(F.max("level").alias("finest"))
     )
+    # the cube of the finest level holds k others, none farther than its diagonal
+    diagonal = F.sqrt(F.lit(3.0)) * radius_m / F.pow(F.lit(2.0), F.col("finest")) + _ROUNDING_M
     search = (
         spots.drop("n")
         .join(finest, _PLACE, "left")
         .withColumn("level", F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0)))
-        .select(F.col("category"), F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), "level", *[F.expr(f"shiftright({a}, {levels - 1} - level)").alias(a) for a in _AXES])
+        .select(
+            "category", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"), "level",
+            F.least(F.coalesce(diagonal, F.lit(radius_m)), F.lit(radius_m)).alias("reach"),
+            *[F.col(a).alias("q_" + a) for a in "xyz"],
+            *[F.expr(f"shiftright({a}, {levels - 1} - level)").alias(a) for a in _AXES],
+        )
     )
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     for a in _AXES:
         search = search.withColumn("d", F.explode(near)).withColumn(a, F.col(a) + F.col("d")).drop("d")
+    # straight-line distance, never above the one along the ground: cheap, and drops most pairs
+    chord = sum(((F.col("q_" + a) - F.col(a)) * (F.col("q_" + a) - F.col(a)) for a in "xyz"), F.lit(0.0))
     distance = haversine_m(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng"))
     pairs = (
-        search.join(leveled, ["category", "level", *_AXES])
-        .select("category", "q_lat", "q_lng", "lat", "lng", F.round(distance, 2).alias("distance_m"))
+        spread(search, ["category", "level", *_AXES])
+        .join(leveled, ["category", "level", *_AXES])
+        .filter(chord <= (F.col("reach") + _ROUNDING_M) * (F.col("reach") + _ROUNDING_M))
+        .select("category", "q_lat", "q_lng", "lat", "lng", "first", F.round(distance, 2).alias("distance_m"))
         .filter(F.col("distance_m") <= radius_m)
     )
-    offered = pairs.join(members, _PLACE).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("category", "q_lat", "q_lng").orderBy("distance_m", "seq"))
+    # the nearest k + 1 spots hold the nearest k + 1 members; cut before anything is shuffled
+    by_query = Window.partitionBy("category", "q_lat", "q_lng")
+    near_spots = (
+        pairs.withColumn("spot_rank", F.row_number().over(by_query.orderBy("distance_m", "first")))
+        .filter(F.col("spot_rank") <= k + 1)
+        .drop("spot_rank", "first")
+    )
+    offered = near_spots.join(members, _PLACE).withColumn(
+        "rank", F.row_number().over(by_query.orderBy("distance_m", "seq"))
     )
     best = (
         offered.filter(F.col("rank") <= k + 1)
