@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as driver
+from listloom.plans import catalog
 from tests.compare import differences
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -23,3 +24,8 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_driver_lists_them_all():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLES) <= set(driver.oracle_sql())
