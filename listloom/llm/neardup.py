@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import by_cell, to_cells
 from ..operators.components import connected_components
 from ..session import cut
-from .tables import checked_broadcast
+from .tables import checked_broadcast, slices
 from .text import LOWERED, NOT_SPACE, Words, mix, sequence_hash
 
 SHINGLE = 5
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_digest, bands) of every row of (doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, bands = [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
@@ -96,7 +96,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(star, node, shingles) for the rows of ``wanted`` (star, node)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text"), k))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
