@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from . import decontaminate, neardup
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,35 @@ def query(name: str, sql: str | None = None):
 @query("op6_minhash_near_dedup")
 def op6(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP8_SQL = rf"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  sizes AS (SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+  windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+              FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sizes)),
+  docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+  lengths AS (SELECT DISTINCT k FROM windows),
+  places AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+             FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, lengths WHERE len(w) >= k)),
+  hits AS (SELECT p.r, p.i, p.k, x.item_id FROM places p JOIN windows x ON x.k = p.k AND x.s = p.s),
+  hit_words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r),
+  hit_items AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h ON h.r = d.r LEFT JOIN hit_items i ON i.r = d.r
+"""
+
+
+@query("op8_suffix_array_decontamination", OP8_SQL)
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_matches(docs, read(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m.item_id.cast("string")), lambda i: i.isNotNull())))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
