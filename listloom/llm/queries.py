@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, neardup, packing, token_count, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,32 @@ def op8(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+CATEGORIES = ["quality", "toxic"]
+
+
+@query("op5_toxicity_chain")
+def op5(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, read(spark, sf_dir, "labels"), CATEGORIES)
+    scored = toxicity.score(docs, chain)
+    return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    counted = token_count.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op9_lexical_packing")
+def op9(spark, sf_dir):
+    pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
