@@ -34,8 +34,8 @@ MAX_LABELLED = 10_000
 FEATURES = 512
 FOLDS = 5
 PREFIXES = (4, 5, 6)
-PENALTY = 2e-4
-STEPS = 200
+PENALTY = 2e-5
+STEPS = 400
 THRESHOLD = 0.5
 
 
