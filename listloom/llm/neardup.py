@@ -8,8 +8,9 @@
 * In a bucket every class is linked to the least class only: stars, one edge a member. Edges are
   confirmed on full sets.
 * A star can miss a link between two members that are far from its centre. So members of one
-  bucket that are still in different components after the stars are compared as well: in cells
-  of bounded size, where only pairs with enough equal bands leave the task. No partner is dropped.
+  bucket that are still in different components after the stars are compared as well, all with
+  all, in cells of bounded size; only links leave a cell. No partner is dropped. This part is
+  quadratic in the size of a group of documents that resemble each other but are not linked.
 
 Results: null and empty texts, and texts without words, have the empty set and stay alone.
 Fewer words than a shingle form one shingle. Repeated rows are rows of one set; rows with a null
@@ -37,11 +38,13 @@ PERCENT = 85
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Two sets of the similarity asked for share about 17 of 32 bands; fewer than this, one pair in 10 million.
-LEAST_BANDS = 3
+#: Two sets of the similarity asked for agree in about 109 of 128 bins; in fewer than this, one pair in a million.
+LEAST_BINS = 88
 #: Buckets up to this size are compared pair by pair; larger ones as stars.
 SMALL_BUCKET = 6
-CELL_PART = 1000
+#: What a part of a cell holds at most (a single longer set makes its part longer).
+CELL_DOCS = 500
+CELL_SHINGLES = 1 << 20
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 _ORDER = np.argsort(np.random.default_rng(6).random((BINS, BINS)), axis=1)
@@ -61,14 +64,20 @@ def shingle_sets(column, k: int = SHINGLE):
             yield sequence_hash(words.hashes[lo:hi], n) if n else runs[:0]
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """The bucket keys of a sorted, non-empty set."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Each bin's value for a sorted, non-empty set."""
     at = np.searchsorted(shingles, _EDGES)
     filled = at < np.append(at[1:], len(shingles))
     least = shingles[np.minimum(at, len(shingles) - 1)]
     if len(empty := np.flatnonzero(~filled)):
         order = _ORDER[empty]
         least[empty] = least[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+    return least
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """The bucket keys of a sorted, non-empty set."""
+    least = signature(shingles)
     return mix((least.reshape(BANDS, ROWS) * _SALT[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _SALT[:, ROWS])
 
 
@@ -145,32 +154,54 @@ def _candidates(members: DataFrame, percent: int) -> DataFrame:
     return stars.unionByName(pairs).distinct()
 
 
-def _left_over(members: DataFrame, reps: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large buckets whose ends are in different components and share enough bands.
+def _left_over(docs: DataFrame, members: DataFrame, component: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between members of large buckets that the stars left in different components: (a, b).
 
-    Members of the centre's component meet the others too: only pairs within one component,
-    which can't change the result, are left out.
+    Buckets that hold several components, and share members, form blocks. A block is cut into
+    parts of at most ``CELL_DOCS`` documents and about ``CELL_SHINGLES`` shingles, and each two
+    parts meet in one cell. There signatures are compared, likely pairs are counted on full
+    sets, and only links that join two components leave the cell.
     """
-    big = members.filter(f"members > {SMALL_BUCKET}").select("bucket", "node", "n")
-    known = big.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("block_n")).filter("lo <> hi")
-    rows = known.join(split.select("bucket", "block_n"), "bucket").join(reps.select("node", "bands"), "node")
+    big = members.filter(f"members > {SMALL_BUCKET}").select("bucket", "node")
+    known = big.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    split = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).filter("lo <> hi")
+    star = cut(known.join(split.select("bucket", "head"), "bucket").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "blocks")
+    if star.isEmpty():
+        return None
+    blocks = cut(connected_components(star).select(F.col("component").alias("star"), "node"), "blocks")
+    sets = cut(_full_sets(docs, blocks, k), "sets").select(F.col("star").alias("block"), "node", "shingles")
+    sizes = sets.groupBy("block").agg(F.count("*").alias("docs"), F.sum(F.size("shingles")).alias("shingles"))
+    parts = F.greatest(F.col("docs"), CELL_DOCS * F.ceil(F.col("shingles") / CELL_SHINGLES))
+    labelled = sets.join(sizes.select("block", parts.alias("block_n")), "block").join(component, "node", "left")
+    rows = labelled.withColumn("component", F.coalesce("component", "node"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = pdf["part_a"].iloc[0], pdf["part_b"].iloc[0]
-        left, right = pdf[pdf["part_no"] == first], pdf[pdf["part_no"] == second]
+        pdf = pdf.reset_index(drop=True)
+        sets = [x.astype(np.int64).view(np.uint64) for x in pdf["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        flat, at = np.concatenate(sets), np.cumsum(sizes) - sizes
+        marks = np.stack([signature(x) for x in sets]).astype(np.uint8)
+        label, node, part = pdf["component"].to_numpy().copy(), pdf["node"].to_numpy(), pdf["part_no"].to_numpy()
+        two = pdf["part_a"].iloc[0] != pdf["part_b"].iloc[0]
         out = []
-        if len(left) and len(right):
-            bands = np.stack(right["bands"].to_numpy())
-            nodes, sizes, parts = (right[c].to_numpy() for c in ("node", "n", "component"))
-            for node, n, part, own in zip(left["node"], left["n"], left["component"], left["bands"]):
-                good = (parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                good[good] = (bands[good] == own).sum(axis=1) >= LEAST_BANDS
-                out.append(pd.DataFrame({"a": np.minimum(nodes[good], node), "b": np.maximum(nodes[good], node)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    cells = by_cell(to_cells(rows, "node", CELL_PART), ["bucket", "part_a", "part_b"])
-    return cells.applyInPandas(compare, "a long, b long").distinct()
+        for i, own in enumerate(sets):
+            other = (part > part[i]) if two else (np.arange(len(sets)) > i)
+            likely = np.flatnonzero(other & (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+            likely = likely[(marks[likely] == marks[i]).sum(axis=1) >= LEAST_BINS]
+            for j in np.array_split(likely, 1 + int(sizes[likely].sum()) // CELL_SHINGLES):
+                n = sizes[j]
+                upto = np.cumsum(n)
+                theirs = flat[np.repeat(at[j] - (upto - n), n) + np.arange(int(n.sum()))]
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                shared = np.add.reduceat(own[place] == theirs, upto - n) if len(j) else n
+                for t in j[100 * shared >= percent * (n + len(own) - shared)].tolist():
+                    if label[t] != label[i]:
+                        out.append((min(node[i], node[t]), max(node[i], node[t])))
+                        label[label == label[t]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    cells = by_cell(to_cells(rows, "node", CELL_DOCS), ["block", "part_a", "part_b"])
+    return cells.applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -186,10 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     members = _members(reps)
     links = cut(_confirmed(docs, _candidates(members, percent), k, percent), "links")
     component = connected_components(links)
-    more = cut(_left_over(members, reps, component, percent), "pairs")
-    if not more.isEmpty():
-        found = _confirmed(docs, more, k, percent).select("a", "b")
-        component = connected_components(links.unionByName(found))
+    more = _left_over(docs, members, component, k, percent)
+    if more is not None:
+        component = connected_components(links.unionByName(more))
     of_set = reps.join(component, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
     out = known.filter("doc_id is not null").join(of_set, "set_digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     alone = known.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
