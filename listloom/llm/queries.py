@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, token_count, toxicity
+from . import chat, decontaminate, neardup, packing, sharding, token_count, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,31 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_external_shuffle_sharding")
+def op1(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    sharded = sharding.shuffle_into_shards(docs)
+    return sharded.select(
+        "doc_id", sharding.record_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+OP10_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+  p AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+          '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
+          md5(string_agg(md5(role) || md5(text), '' ORDER BY turn NULLS FIRST) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING)) AS h
+        FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST)),
+  whole AS (SELECT h, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE place = n GROUP BY h),
+  stay AS (SELECT conv_id, copies FROM whole WHERE h NOT IN (SELECT h FROM p WHERE place < n))
+SELECT p.conv_id, (place - 1) // 256 AS segment, count(*) AS n_turns, copies, string_agg(line, '' ORDER BY place) AS text
+FROM p JOIN stay USING (conv_id) GROUP BY p.conv_id, (place - 1) // 256, copies
+"""
+
+
+@query("op10_snapshot_collapse", OP10_SQL)
+def op10(spark, sf_dir):
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
