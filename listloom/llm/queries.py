@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, neardup, packing, sharding, token_count, toxicity
+from ..session import work_path
+from . import chat, decontaminate, neardup, packing, sharding, token_count, toxicity, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,20 @@ FROM p JOIN stay USING (conv_id) GROUP BY p.conv_id, (place - 1) // 256, copies
 @query("op10_snapshot_collapse", OP10_SQL)
 def op10(spark, sf_dir):
     return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+  d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+  m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS target FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> target THEN target END AS refers_to
+FROM m
+"""
+
+
+@query("op3_warc_archive", OP3_SQL)
+def op3(spark, sf_dir):
+    path = work_path(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
