@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import chat, decontaminate, neardup, packing, sharding, token_count, toxicity, warc
+from . import chat, decontaminate, extract, neardup, packing, sharding, token_count, toxicity, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op3(spark, sf_dir):
     path = work_path(spark, "archive")
     warc.write_archive(read(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_block_rules_extraction")
+def op4(spark, sf_dir):
+    return extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
