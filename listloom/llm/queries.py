@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import chat, decontaminate, extract, neardup, packing, sharding, token_count, toxicity, warc
+from . import ann, chat, decontaminate, extract, neardup, packing, sharding, token_count, toxicity, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op3(spark, sf_dir):
 @query("op4_block_rules_extraction")
 def op4(spark, sf_dir):
     return extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op2_vantage_point_trees")
+def op2(spark, sf_dir):
+    return ann.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
