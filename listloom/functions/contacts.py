@@ -48,6 +48,10 @@ ADDRESS = (
 )
 # --------------------------------------------------------------------------------
 
+# The same matches, but a local part is only tried where it begins (after the last match or a
+# character that can't belong to it) and never given back, so long runs cost one pass.
+_LINEAR_PATTERNS = tuple(r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + p.replace("+-]+", "+-]++", 1) for p in EMAIL_PATTERNS)
+
 EMAIL_HIT = "array<struct<address:string,source:string,context:string>>"
 
 
@@ -56,11 +60,9 @@ def email_domain(address: Column) -> Column:
 
 
 def well_formed(address: Column) -> Column:
-    return (
-        address.rlike(ADDRESS)
-        & (F.length(address) <= 254)
-        & (F.length(F.regexp_extract(address, "^([^@]*)", 1)) <= 64)
-    )
+    # lengths first: the pattern's repeated groups recurse
+    fits = (F.length(address) <= 254) & (F.length(F.substring_index(address, "@", 1)) <= 64)
+    return F.when(fits, address.rlike(ADDRESS)).when(address.isNotNull(), F.lit(False))
 
 
 def usable_email(address: Column, disposable=DISPOSABLE_DOMAINS) -> Column:
@@ -89,11 +91,18 @@ def _matches_with_context(text: Column, pattern: str) -> Column:
     """Each match with up to 50 characters on both sides."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    # one pass: where each match begins, from the lengths of the pieces and matches before it
+    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("length"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    placed = F.aggregate(
+        steps,
+        zero,
+        lambda a, s: F.struct((a["at"] + s["gap"] + s["length"]).alias("at"), F.array_append(a["starts"], a["at"] + s["gap"]).alias("starts")),
+        lambda a: a["starts"],
+    )
 
     def one(match, i):
-        before = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, n: a + n)
-        earlier = F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, m: a + F.length(m))
-        start = before + earlier
+        start = F.get(placed, i)
         left = F.least(start, F.lit(CONTEXT_CHARS))
         width = left + F.length(match) + F.lit(CONTEXT_CHARS)
         return _hit(reveal(match), "text_pattern", F.substring(text, start - left + 1, width))
@@ -107,7 +116,7 @@ def text_emails(text: Column, with_context: bool = False) -> Column:
     A pattern is only run on text that holds its at sign, which most text does not.
     """
     hits = []
-    for pattern, sign in zip(EMAIL_PATTERNS, AT_SIGNS):
+    for pattern, sign in zip(_LINEAR_PATTERNS, AT_SIGNS):
         if with_context:
             found = _matches_with_context(text, pattern)
         else:

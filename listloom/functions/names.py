@@ -41,6 +41,8 @@ PLACE_LINK = r'(?i)^<a\s[^>]*href="[^"]*maps/place'
 ATTRIBUTE_PATTERNS = (
     r'aria-label="([^"]+)"',
     r'data-name="([^"]+)"',
+    r'data-business-name="([^"]+)"',
+    r'data-place-name="([^"]+)"',
     r">([^<]{3,50})</h3>",
     r"<div[^>]*>([^<]{3,50})</div>",
 )

@@ -30,8 +30,15 @@ def feature_text(name, category, description) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in (name, category, description)])
 
 
+def with_direction(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The rows whose vector has a cosine with others: not null, not zero, all components finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.filter(F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0))
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per distinct vector: its lowest id (``rep``) and number of copies."""
+    vectors = with_direction(vectors, vector)
     return vectors.groupBy(F.col(vector).alias("v")).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
 
 

@@ -80,12 +80,13 @@ def merged_fields(keyed: DataFrame) -> DataFrame:
         F.when(F.col("field") == LARGEST_FIELD, F.col("value").try_cast("double"))
         .when(F.col("field") == LONGEST_FIELD, F.length("value").cast("double"))
         .when(F.col("field").isin(*MOST_COMMON_FIELDS), F.col("n").cast("double"))
-        .when(F.col("field") == MAP_FIELD, F.col("last").cast("double"))
         .otherwise(F.lit(0.0))
     )
-    order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), "first", "pos")
+    # the newest value of a map entry wins; seq is compared as it is, being too long for a double
+    newest = F.when(F.col("field") == MAP_FIELD, F.col("last"))
+    order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), F.col("newest").desc(), "first", "pos")
     top = (
-        values.withColumn("weight", weight)
+        values.withColumns({"weight": weight, "newest": newest})
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= LIST_LIMIT)
         .filter(F.col("field").isin(*LIST_FIELDS) | (F.col("rank") == 1))

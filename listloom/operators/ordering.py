@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys meet; the keys appear once."""
+    other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_position(df: DataFrame, order: list, bucket: Column, by: list[str] = (), name: str = "position") -> DataFrame:
     """Adds the 1-based position of each row in ``order``, per ``by`` key or overall.
 
     ``bucket`` must never fall as ``order`` rises (a day, a range of ids). Rows are
     numbered within (key, bucket) and shifted by the size of the buckets before, so a
-    hot key is spread over its buckets. Only bucket counts are summed per key. Keys and
-    buckets must not be NULL.
+    hot key is spread over its buckets. Only bucket counts are summed per key. NULL is a key
+    and a bucket like any other; the NULL bucket comes first.
     """
     keys = [*by, "__bucket"]
     rows = df.withColumn("__bucket", bucket)
@@ -22,7 +29,7 @@ def with_position(df: DataFrame, order: list, bucket: Column, by: list[str] = ()
         .agg(F.count("*").alias("__n"))
         .select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     )
-    joined = rows.join(shifts, keys)
+    joined = join_null_safe(rows, shifts, keys)
     within = Window.partitionBy(*keys).orderBy(*order)
     return joined.withColumn(name, F.col("__shift") + F.row_number().over(within)).drop("__bucket", "__shift")
 

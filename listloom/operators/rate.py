@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import with_chunks, with_position
+from .ordering import join_null_safe, with_chunks, with_position
 
 # Fixed values -------------------------------------------------------------------
 WINDOW_S = 60
@@ -25,7 +25,7 @@ RATE_UP, RATE_DOWN, MIN_RATE = 1.05, 0.9, 5.0
 FAILURE_EXPIRY_S = 3600
 # --------------------------------------------------------------------------------
 
-_STEP = ["req_key", "chunk", "scale", "low", "high"]
+_STEP = ["key", "chunk", "scale", "low", "high"]
 
 
 def _micros(ts="ts"):
@@ -104,7 +104,7 @@ def failure_runs(log: DataFrame, bucket_s: int = 86_400) -> DataFrame:
     upto = Window.partitionBy("req_key", "grp").orderBy("bucket")
     carry = carry.withColumn("out", F.sum("tail").over(upto))
     carry = carry.select("req_key", "bucket", F.coalesce(F.lag("out").over(by_bucket), F.lit(0)).alias("carried"))
-    joined = rows.join(carry, ["req_key", "bucket"])
+    joined = join_null_safe(rows, carry, ["req_key", "bucket"])
     streak = F.col("run") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0)
     return joined.select("seq", "req_key", "ts", "ok", streak.cast("bigint").alias("failures"))
 
@@ -132,7 +132,7 @@ def rate_trace(
         last, state = None, None
         for pdf in batches:
             done = []
-            for key, chunk_no, ok in zip(pdf["req_key"], pdf["chunk"], pdf["ok"]):
+            for key, chunk_no, ok in zip(pdf["key"], pdf["chunk"], pdf["ok"]):
                 if (key, chunk_no) != last:
                     if last is not None:
                         done.append((*last, *state))
@@ -152,33 +152,34 @@ def rate_trace(
         for scale, low, high in zip(pdf["scale"], pdf["low"], pdf["high"]):
             starts.append(rate)
             rate = min(high, max(low, scale * rate))
-        return pd.DataFrame({"req_key": pdf["req_key"], "chunk": pdf["chunk"], "start_rate": starts})
+        return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "start_rate": starts})
 
     def trace(batches):
         last, rate = None, None
         for pdf in batches:
             rates = []
-            for key, chunk_no, ok, start in zip(pdf["req_key"], pdf["chunk"], pdf["ok"], pdf["start_rate"]):
+            for key, chunk_no, ok, start in zip(pdf["key"], pdf["chunk"], pdf["ok"], pdf["start_rate"]):
                 if (key, chunk_no) != last:
                     last, rate = (key, chunk_no), start
                 rate = min(rate * RATE_UP, max_rate) if ok else max(rate * RATE_DOWN, min_rate)
                 rates.append(rate)
-            yield pd.DataFrame({"seq": pdf["seq"], "req_key": pdf["req_key"], "rate": rates})
+            yield pd.DataFrame({"seq": pdf["seq"], "key": pdf["key"], "rate": rates})
 
     def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition("req_key", "chunk").sortWithinPartitions("req_key", "chunk", "position")
-
-    key_type = log.schema["req_key"].dataType.simpleString()
-    placed = with_position(log.select("seq", "req_key", "ts", "ok"), [F.col("ts"), F.col("seq")], _time_bucket(bucket_s), by=["req_key"])
-    rows = with_chunks(placed, "position", chunk).select("seq", "req_key", "ok", "position", "chunk")
-    later = rows.filter("chunk > 0").select("req_key").distinct()
-    steps = in_order(rows.join(later, "req_key", "left_semi")).mapInPandas(
-        reduce_chunks, f"req_key {key_type}, chunk bigint, scale double, low double, high double"
-    )
-    starts = steps.groupBy("req_key").applyInPandas(chain, f"req_key {key_type}, chunk bigint, start_rate double")
-    started = rows.join(starts, ["req_key", "chunk"], "left").withColumn("start_rate", F.coalesce("start_rate", F.lit(max_rate)))
-    traced = in_order(started).mapInPandas(trace, f"seq bigint, req_key {key_type}, rate double")
-    return traced.withColumn("rate", F.round("rate", 6))
+        return df.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "position")
+
+    # keys travel as text with a mark, so that a NULL key is a value in pandas as well
+    key_type = log.schema["req_key"].dataType
+    marked = log.select("seq", F.coalesce(F.concat(F.lit("k"), F.col("req_key").cast("string")), F.lit("-")).alias("key"), "ts", "ok")
+    placed = with_position(marked, [F.col("ts"), F.col("seq")], _time_bucket(bucket_s), by=["key"])
+    rows = with_chunks(placed, "position", chunk).select("seq", "key", "ok", "position", "chunk")
+    later = rows.filter("chunk > 0").select("key").distinct()
+    steps = in_order(rows.join(later, "key", "left_semi")).mapInPandas(reduce_chunks, "key string, chunk bigint, scale double, low double, high double")
+    starts = steps.groupBy("key").applyInPandas(chain, "key string, chunk bigint, start_rate double")
+    started = rows.join(starts, ["key", "chunk"], "left").withColumn("start_rate", F.coalesce("start_rate", F.lit(max_rate)))
+    traced = in_order(started).mapInPandas(trace, "seq bigint, key string, rate double")
+    key = F.when(F.col("key") != "-", F.expr("substring(key, 2)")).cast(key_type)
+    return traced.select("seq", key.alias("req_key"), F.round("rate", 6).alias("rate"))
 
 
 def tumbling_counts(log: DataFrame, width: str = "60 seconds") -> DataFrame:

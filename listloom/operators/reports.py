@@ -122,12 +122,16 @@ def campaign_funnel(events: DataFrame) -> DataFrame:
 
 
 def rating_distribution(reviews: DataFrame) -> DataFrame:
-    """Review count and star -> count map per business, in one aggregation."""
-    stars = [F.count(F.when(F.col("rating") == s, 1)).alias(f"s{s}") for s in range(1, 6)]
-    per = reviews.groupBy("business_id").agg(F.count("*").alias("reviews_count"), *stars)
-    entries = F.array(*[F.struct(F.lit(s).alias("key"), F.col(f"s{s}").alias("value")) for s in range(1, 6)])
-    dist = F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
-    return per.select("business_id", "reviews_count", dist.alias("rating_distribution"))
+    """Review count and rating -> count map per business, over all ratings there are.
+
+    Reviews without a rating count, but have no entry.
+    """
+    per = reviews.groupBy("business_id", "rating").agg(F.count("*").alias("n"))
+    entry = F.when(F.col("rating").isNotNull(), F.struct("rating", "n"))
+    return per.groupBy("business_id").agg(
+        F.sum("n").alias("reviews_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("rating_distribution"),
+    )
 
 
 def recent_reviews(reviews: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 The score is the sum of four weighted parts, so at a threshold of 80 two records can only
 match if (a) their phones are equal, or (b) name, address and category all reach 100.
+Scores are whole multiples of 0.1; they are rounded to four decimals before any comparison
+with the threshold, so no floating-point sum decides a match, whatever the size of the block.
 Both are equi joins that miss no pair:
 
 * rows equal in all four compared fields form one *profile*; it is compared once;
@@ -91,7 +93,8 @@ def _sides(p: DataFrame, side: str, keys: list[str]) -> DataFrame:
 def _scored(pairs: DataFrame, phone_equal: Column, threshold: float) -> DataFrame:
     """Adds ``score`` to pairs with l_ and r_ columns; the length bound prunes before the UDF."""
     bounds = {t: ratio_bound(F.col(f"l_n_{t}"), F.col(f"r_n_{t}")) for t in _TEXTS}
-    likely = pairs.filter(weighted_score(bounds["name"], bounds["address"], phone_equal, bounds["category"]) >= threshold)
+    bound = weighted_score(bounds["name"], bounds["address"], phone_equal, bounds["category"])
+    likely = pairs.filter(F.round(bound, 4) >= threshold)
     ratios = {t: similarity_ratio(F.col(f"l_n_{t}"), F.col(f"r_n_{t}")) for t in _TEXTS}
     scored = likely.withColumns({f"s_{t}": c for t, c in ratios.items()})
     score = weighted_score(F.col("s_name"), F.col("s_address"), phone_equal, F.col("s_category"))
@@ -134,7 +137,7 @@ def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold:
             parts = [_length_bounds(left[f"n_{t}"], right[f"n_{t}"], i, j) * w for t, w in zip(_TEXTS, weights)]
             base = 100.0 * WEIGHTS["phone"] if same_phone else 0.0
             for k, t in enumerate(_TEXTS):
-                likely = base + sum(parts) >= threshold - 1e-9
+                likely = np.round(base + sum(parts), 4) >= threshold
                 i, j, parts = i[likely], j[likely], [p[likely] for p in parts]
                 parts[k] = ratios_of(left[f"n_{t}"].to_list(), right[f"n_{t}"].to_list(), i, j) * weights[k]
             score = np.round(base + sum(parts), 4)

@@ -187,7 +187,7 @@ def t3_json(spark, sf):
     return _saved(spark, sf, "json")
 
 
-@query("t4_every_tenth", BIZ + "SELECT seq, name FROM biz WHERE seq > 0 AND (seq - 1) % 10 = 0")
+@query("t4_every_tenth", BIZ + "SELECT seq, name FROM (SELECT *, row_number() OVER (ORDER BY seq) AS arrival FROM biz) x WHERE arrival % 10 = 1")
 def t4(spark, sf):
     return _saved(spark, sf, "sample").select("seq", "name")
 
@@ -212,12 +212,27 @@ def t6(spark, sf):
     return spark.read.schema(_STREAM_SCHEMA).parquet(f"{out}/table").drop("batch")
 
 
-@query("t7_running_counters", BIZ + "SELECT 'all' AS scope, count(*) AS received FROM biz")
+@query("t7_running_counters", BIZ + "SELECT 'all' AS scope, count(*) AS received, count(*) AS saved FROM biz")
 def t7(spark, sf):
     stream = jobs.log_stream(spark, _record_log(spark, sf), _STREAM_SCHEMA, files_per_batch=1)
-    out = work_path(spark, "counters")
+    out, live = work_path(spark, "counters"), work_path(spark, "live")
     _drained(jobs.save_results(jobs.running_counters(stream), out, out + "-progress", "update", available_now=True))
-    return jobs.latest(spark.read.parquet(out), ["scope"]).select("scope", "received")
+    _drained(jobs.save_live(stream, live, live + "-progress", formats=("table",), sample=False, available_now=True))
+    saved = F.lit(jobs.saved_count(spark, live)).alias("saved")
+    return jobs.latest(spark.read.parquet(out), ["scope"]).select("scope", "received", saved)
+
+
+@query("t2_timed_flush", _STREAM_SQL)
+def t2(spark, sf):
+    """The stream runs on its own five-second trigger until it has caught up."""
+    stream = jobs.log_stream(spark, _record_log(spark, sf), _STREAM_SCHEMA, files_per_batch=4)
+    out = work_path(spark, "live")
+    run = jobs.save_live(stream, out, out + "-progress", formats=("table",))
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.schema(_STREAM_SCHEMA).parquet(f"{out}/table").drop("batch")
 
 
 def _request_stream(spark, sf):

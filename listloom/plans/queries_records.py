@@ -210,9 +210,9 @@ def s12(spark, sf):
 # -- filters ---------------------------------------------------------------------
 
 
-@query("f1_query", BIZ + "SELECT seq, name, category, city FROM biz WHERE category = 'building' AND city = 'CHINA' ORDER BY seq LIMIT 100")
+@query("f1_query", BIZ + "SELECT seq, name, category, city FROM biz WHERE category = 'building' AND city = 'NATION_11' ORDER BY seq LIMIT 100")
 def f1(spark, sf):
-    wanted = {"category": "building", "city": "CHINA", "no_such_column": 1}
+    wanted = {"category": "building", "city": "NATION_11", "no_such_column": 1}
     return store.query_records(biz(spark, sf), wanted).select("seq", "name", "category", "city")
 
 
@@ -235,9 +235,9 @@ def f4(spark, sf):
     return found.select("seq", "rating", "reviews", "category")
 
 
-@query("f5_exclude_keywords", BIZ + "SELECT seq, description FROM biz WHERE NOT coalesce(regexp_matches(description, '(?i)china|machinery'), false)")
+@query("f5_exclude_keywords", BIZ + "SELECT seq, description FROM biz WHERE NOT coalesce(regexp_matches(description, '(?i)nation_1|machinery'), false)")
 def f5(spark, sf):
-    return store.without_keywords(biz(spark, sf), "description", ["china", "Machinery"]).select("seq", "description")
+    return store.without_keywords(biz(spark, sf), "description", ["Nation_1", "Machinery"]).select("seq", "description")
 
 
 @query(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quality import nested_as_json
+from ..operators.ordering import with_serial
 from ..schema import RECORD
 
 # Fixed values -------------------------------------------------------------------
@@ -23,22 +24,28 @@ FLUSH_SECONDS = 5
 SAMPLE_EVERY = 10
 WINDOW_S = 60
 REQUESTS_PER_MINUTE = 30
+FILES_PER_BATCH = 1000
 # --------------------------------------------------------------------------------
 
+_CORRUPT = "_corrupt_record"
 _CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""}
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType = RECORD, files_per_batch: int | None = None) -> DataFrame:
-    """The record log as it grows."""
-    reader = spark.readStream.schema(schema)
+    """The record log as it grows; unreadable lines are left out, as ``records.read_log`` does."""
+    full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return reader.json(path).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
-def request_stream(spark: SparkSession, path: str, schema: T.StructType, delay: str = "10 minutes") -> DataFrame:
-    """The request log as a stream with event time ``ts``; rows later than ``delay`` are dropped."""
-    raw = spark.readStream.schema(schema).parquet(path)
+def request_stream(spark: SparkSession, path: str, schema: T.StructType, delay: str = "10 minutes", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The request log as a stream with event time ``ts``; rows later than ``delay`` are dropped.
+
+    A backlog is read in batches of at most ``files_per_batch`` files.
+    """
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
@@ -53,9 +60,26 @@ def distinct_records(stream: DataFrame, within: str | None = None, event_time: s
     return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["_id"])
 
 
-def every_nth(df: DataFrame, n: int = SAMPLE_EVERY, seq: str = "seq") -> DataFrame:
-    """T4: records 1, n + 1, 2n + 1, ... by serial number."""
-    return df.filter(F.pmod(F.col(seq) - 1, F.lit(n)) == 0)
+def every_nth(df: DataFrame, before: int = 0, n: int = SAMPLE_EVERY, seq: str = "seq") -> DataFrame:
+    """T4: the first, (n + 1)-th, (2n + 1)-th, ... record to arrive, ``before`` having arrived earlier.
+
+    Records of one batch arrive in ``seq`` order.
+    """
+    numbered = with_serial(df, seq, name="__arrival")
+    return numbered.filter(F.pmod(F.col("__arrival") + (before - 1), F.lit(n)) == 0).drop("__arrival")
+
+
+def _arrived(spark: SparkSession, folder: str, before_batch: int) -> int:
+    """Records of all batches before a given one; a repeated batch finds the same number."""
+    if before_batch == 0:
+        return 0
+    done = spark.read.schema("upto long").parquet(f"{folder}/arrivals/batch={before_batch - 1}")
+    return done.first().upto
+
+
+def saved_count(spark: SparkSession, folder: str) -> int:
+    """Records saved so far by ``save_live``, exactly."""
+    return spark.read.schema("upto long, batch long").parquet(f"{folder}/arrivals").agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
 
 
 def _start(stream: DataFrame, write, checkpoint: str, available_now: bool, mode: str = "append"):
@@ -78,8 +102,11 @@ def save_live(
                 batch.write.mode("overwrite").json(f"{folder}/json/{part}")
             if "table" in formats:
                 batch.write.mode("overwrite").parquet(f"{folder}/table/{part}")
+            before = _arrived(batch.sparkSession, folder, batch_id)
             if sample:
-                every_nth(batch).write.mode("overwrite").parquet(f"{folder}/sample/{part}")
+                every_nth(batch, before).write.mode("overwrite").parquet(f"{folder}/sample/{part}")
+            # last, so that what is counted has been saved
+            batch.agg((F.count("*") + before).alias("upto")).write.mode("overwrite").parquet(f"{folder}/arrivals/{part}")
         finally:
             batch.unpersist()
 
@@ -103,7 +130,10 @@ def latest(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_counters(stream: DataFrame) -> DataFrame:
-    """Records seen and saved so far; use ``update`` mode."""
+    """Records received so far, and about how many different ones; use ``update`` mode.
+
+    ``saved_count`` is the exact number of those saved.
+    """
     return stream.groupBy(F.lit("all").alias("scope")).agg(
         F.count("*").alias("received"), F.approx_count_distinct("_id").alias("approx_distinct")
     )

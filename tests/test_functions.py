@@ -1,5 +1,7 @@
 """Hand tables for column functions, and properties."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -235,3 +237,17 @@ def test_ratio_udf(spark):
 def test_ratio_arrays(a, b):
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a)), np.arange(len(b))))
     assert list(ratios_of(a, b, i, j)) == [ratio_of(a[x], b[y]) or 0 for x, y in zip(i, j)]
+
+
+def test_long_junk_is_searched_in_one_pass(spark):
+    junk = spark.createDataFrame([("f" * 1_000_000,), ("x a@b.com-x@d.org y",)], "t string")
+    start = time.perf_counter()
+    got = [[h.address for h in r[0]] for r in junk.select(contacts.text_emails(F.concat("t", F.lit(" @")), True)).collect()]
+    assert got == [[], ["a@b.com", "-x@d.org"]]
+    assert time.perf_counter() - start < 20
+
+
+def test_long_addresses_do_not_recurse(spark):
+    rows = [("a@" + "b." * 20_000 + "com",), ("a@b.com",), (None,)]
+    got = spark.createDataFrame(rows, "e string").select(contacts.usable_email(F.col("e"))).collect()
+    assert [r[0] for r in got] == [False, True, False]

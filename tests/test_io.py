@@ -160,6 +160,24 @@ def test_opened_counters_across_batches(spark, tmp_path):
     assert [((r.opened - base).total_seconds(), r.requests, r.over_limit) for r in rows] == [(0, 3, 1), (60, 2, 0), (200, 3, 1), (261, 1, 0)]
 
 
+def test_broken_lines_leave_no_record(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    write(src, "f.jsonl", [record(1), "{broken", "", record(5), record(9)])
+    drain(jobs.save_live(jobs.log_stream(spark, src), out, cp, available_now=True))
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/table").collect()) == [1, 5, 9]
+    assert jobs.saved_count(spark, out) == 3
+
+
+def test_sample_counts_arrivals_over_batches(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    for n in range(3):
+        write(src, f"f{n}.jsonl", [record(1000 * n + 7 * i) for i in range(1, 9)])
+        drain(jobs.save_live(jobs.log_stream(spark, src), out, cp, available_now=True))
+    arrived = [1000 * n + 7 * i for n in range(3) for i in range(1, 9)]
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/sample").collect()) == arrived[::10]
+    assert jobs.saved_count(spark, out) == 24
+
+
 def test_running_counters(spark, tmp_path):
     src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
     for n in range(3):

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from listloom.functions.similarity import ratio_of
-from listloom.operators import cluster, competitors, components, dedup, ordering, rate, similar, store, taxonomy
+from listloom.operators import cluster, competitors, components, dedup, ordering, rate, reports, similar, store, taxonomy
 from listloom.operators.emails import distinct_emails, ranked_emails
 from listloom.plans.views import businesses
+from tests.conftest import values
 
 # -- dedup -----------------------------------------------------------------------
 
@@ -369,6 +370,54 @@ def test_upsert_modes_differ_on_null(spark):
     assert fill == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
 
 
+def test_category_paths_of_any_depth(spark):
+    n = 130
+    rows = [(i, i - 1 if i else None, f"c{i}") for i in range(n)] + [(900, 901, "x"), (901, 900, "y"), (902, 901, "z")]
+    tree = spark.createDataFrame(rows, "id int, parent_id int, name string")
+    got = {r.id: r for r in taxonomy.category_paths(tree).collect()}
+    assert sorted(got) == list(range(n))
+    assert got[n - 1].level == n - 1 and got[n - 1].path == "/".join(f"c{i}" for i in range(n))
+    assert sorted(r.id for r in taxonomy.unrooted(tree).collect()) == [900, 901, 902]
+
+
+def test_similar_links_do_not_depend_on_block_size(spark):
+    def links(pairs, small):
+        schema = "seq bigint, name string, address string, category string, primary_phone string"
+        rows = [(i + 1, *x, "2125550100") for i, x in enumerate(pairs)]
+        return values(similar.similar_links(spark.createDataFrame(rows, schema), small_block=small), "a", "b", "score")
+
+    triple = [("abcdefghij", "abc", "c" * 25), ("abcdefghijkl", "abcdefghij", "c" * 26)]
+    assert links(triple, 64) == links(triple, 1) == [(1, 2, 80.0)]
+
+
+def test_newest_map_value_with_long_seq(spark):
+    big = 2**53
+    rows = [(s, "k", {"fb": v}) for s, v in ((big, "old"), (big + 1, "new"))]
+    df = spark.createDataFrame(rows, "seq bigint, dedup_key string, social_media map<string,string>")
+    df = df.withColumns({c: F.array().cast("array<string>") for c in dedup.LIST_FIELDS})
+    got = dedup.merged_fields(df.withColumns({"rating": F.lit(None).cast("double"), "description": F.lit(None).cast("string")}))
+    assert got.first().social_media == {"fb": "new"}
+
+
+def test_rating_distribution_of_any_rating(spark):
+    rows = [(1, 4.5), (1, 4.5), (1, 0.0), (1, None), (2, 7.0)]
+    got = values(reports.rating_distribution(spark.createDataFrame(rows, "business_id int, rating double")), "business_id", "reviews_count", "rating_distribution")
+    assert got == [(1, 4, {0.0: 1, 4.5: 2}), (2, 1, {7.0: 1})]
+
+
+def test_null_keys_stay_in_rate_analytics(spark):
+    rows = [(i, k, dt.datetime(2024, 1, 1 + i % 3, 0, i), i % 4 != 0, 1.0) for i, k in enumerate([None, 5, None, None, 5, None])]
+    log = spark.createDataFrame(rows, "seq bigint, req_key bigint, ts timestamp, ok boolean, response_s double")
+    for got in (rate.response_trend(log), rate.failure_runs(log), rate.rate_trace(log, chunk=2)):
+        assert sorted((r.seq, r.req_key) for r in got.collect()) == [(r[0], r[1]) for r in rows]
+
+
+def test_vectors_without_a_direction_are_noise(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [float("nan"), 1.0])]
+    got = values(cluster.cluster(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), "vec_id", "cluster")
+    assert got == [(1, -1), (2, -1), (3, -1), (4, 4), (5, 4), (6, -1)]
+
+
 def test_category_paths_depth_cycle_orphan(spark):
     rows = [(i, i - 1 if i else None, f"n{i}") for i in range(20)] + [(100, 101, "c1"), (101, 100, "c2"), (200, 999, "o"), (300, 300, "self")]
     got = {r.id: r for r in taxonomy.category_paths(spark.createDataFrame(rows, "id int, parent_id int, name string")).collect()}
