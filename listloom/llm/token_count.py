@@ -4,9 +4,10 @@ The tokenizer is a SentencePiece BPE model without normalisation, none of whose
 space behind another character or a line feed. So no merge crosses from a character to a
 following space, or into or out of a line feed: texts are cut there, and a text's count is the
 sum of its pre-tokens' counts. Lengths are looked up on the map side in two tiers: a compact
-table of frequent pre-tokens, found in a hash sample of the documents and sent to every task,
-and a cache in each worker, which asks the library for what neither knows. No pre-token of the
-counted texts is shuffled, and the tables change the time it takes, never a count.
+table of frequent pre-tokens, sent to every task, and a cache in each worker, which asks the
+library for what neither knows. The table is made from the most frequent pre-tokens of every
+slice of all documents, counted before they leave the task; no pre-token itself is shuffled,
+and what the table holds changes the time it takes, never a count.
 
 Results: null and empty texts have no bytes and no tokens. Repeated rows, null ids and other
 columns pass through; an input column named like a result is replaced.
@@ -27,9 +28,8 @@ from .tables import append, slices
 from .text import utf8
 
 LIMIT = 4096
-#: Frequent pre-tokens sent to the tasks, and the share of documents (one in so many) they are looked for in.
+#: Frequent pre-tokens sent to the tasks, and those a slice of the documents puts forward.
 FREQUENT = 1 << 16
-SAMPLE = 64
 _TOP = 4096
 
 
@@ -76,8 +76,8 @@ def _lengths(path: str):
     return lambda texts: [len(ids) - 2 for ids in _model(path).encode(texts, num_threads=1)]
 
 
-def frequent(docs: DataFrame, model: str, share: int = SAMPLE, size: int = FREQUENT) -> Slots:
-    """The first tier: lengths of the most frequent pre-tokens of one in ``share`` documents."""
+def frequent(docs: DataFrame, model: str, size: int = FREQUENT) -> Slots:
+    """The first tier: lengths of the most frequent pre-tokens."""
 
     def count(batches):
         cache = Cache(_lengths(model))
@@ -88,8 +88,7 @@ def frequent(docs: DataFrame, model: str, share: int = SAMPLE, size: int = FREQU
             values = cache.get(keys[top], lambda i: _texts(joined, begin)(at[top][i]))
             yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(values), pa.array(n[top])], names=["key", "length", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-    counted = sample.mapInArrow(count, "key long, length long, n long").groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "key long, length long, n long").groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "key").limit(size).collect()
     table = Slots(17)
     rows.reverse()  # of two in one slot the more frequent stays
