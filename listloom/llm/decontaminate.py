@@ -27,7 +27,7 @@ WINDOW = 10
 #: Leading words by which a position enters the suffix array.
 ANCHOR = 3
 #: Benchmark text held by a task at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Longest suffix array; a batch with more matching positions is several shards.
 SHARD_SUFFIXES = 1 << 19
 
