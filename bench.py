@@ -21,7 +21,7 @@ HEADLINE = [
     "j1_upsert_overwrite", "j4_enrich_places", "j12_business_tags", "j14_change_log", "j8_competitors",
     "j3_similar_links", "c3_neighbour_pairs", "w3_trailing_requests", "w4_response_trend", "w5_failure_runs",
     "w7_rate_trace", "t9_failure_sessions", "a9_run_metrics", "x34_x35_quality", "t1_t3_stream_to_table",
-    "export_lineitem_csv",
+    "export_lineitem_csv", "export_records_csv", "c1_clusters_wide", "c4_duplicate_groups",
 ]
 
 
@@ -51,6 +51,17 @@ def export_lineitem(spark, sf_dir):
     return rows.select("l_orderkey")
 
 
+def export_records(spark, sf_dir):
+    """Export speed of nested business records: flattened CSV."""
+    from listloom.plans.views import businesses
+    from listloom.session import work_path
+    from listloom.sources.records import write_csv
+
+    rows = businesses(spark, sf_dir)
+    write_csv(rows, work_path(spark, "bench-csv"))
+    return rows.select("seq")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -59,7 +70,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from listloom.plans.catalog import QUERIES as registered
 
-    queries = {**registered, "export_lineitem_csv": export_lineitem}
+    queries = {**registered, "export_lineitem_csv": export_lineitem, "export_records_csv": export_records}
 
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}

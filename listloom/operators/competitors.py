@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import EARTH_RADIUS_M, haversine_m
-from .blocks import spread
+from ..session import cut
 
 COMPETITORS = 10  # fixed value
 _AXES = ("cx", "cy", "cz")
@@ -27,7 +27,8 @@ def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITO
     nearest within two edges, so it searches the 27 cubes of the next coarser level; the
     finest such level is used. Only few points per cube search coarser than their
     neighbourhood is dense, so the pairs examined grow with the points, not their square.
-    Businesses at one spot are searched once and offer their first ``k + 1`` members.
+    Businesses at one spot are searched once and offer their first ``k + 1`` members. Spots are
+    written once; the join of queries and spots is left to AQE, which splits crowded cubes.
     """
     rows = (
         df.filter("coordinates.lat <> 0 and coordinates.lng <> 0 and category is not null")
@@ -52,6 +53,8 @@ def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITO
         .withColumns({f"c{a}": F.floor(F.col(a) / edge) for a in "xyz"})
     )
 
+    spots = cut(spots, "spots")
+
     def at_all_levels(d: DataFrame) -> DataFrame:
         each = d.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
         return each.withColumns({a: F.expr(f"shiftright({a}, {levels - 1} - level)") for a in _AXES})
@@ -84,8 +87,7 @@ def find_competitors(df: DataFrame, radius_m: float = 5000.0, k: int = COMPETITO
     chord = sum(((F.col("q_" + a) - F.col(a)) * (F.col("q_" + a) - F.col(a)) for a in "xyz"), F.lit(0.0))
     distance = haversine_m(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng"))
     pairs = (
-        spread(search, ["category", "level", *_AXES])
-        .join(leveled, ["category", "level", *_AXES])
+        search.join(leveled, ["category", "level", *_AXES])
         .filter(chord <= (F.col("reach") + _ROUNDING_M) * (F.col("reach") + _ROUNDING_M))
         .select("category", "q_lat", "q_lng", "lat", "lng", "first", F.round(distance, 2).alias("distance_m"))
         .filter(F.col("distance_m") <= radius_m)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -14,13 +14,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
     Components in MapReduce and Beyond" (2014): log-squared rounds, links never grow in
     number. Neighbour minima are plain aggregations, so a node with very many links is
-    combined map-side. Each round is written to the shared folder, which ends its lineage.
+    combined map-side. Each round is written to the shared folder, which ends its lineage;
+    the round before is deleted.
     """
     e = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
     e = cut(e, "links")
     last = None
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)), "links")
+        before, e = e, cut(_small_star(_large_star(e)), "links")
+        discard(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.presence import present
 from ..functions.text import dedup_key
+from ..session import cut
 
 # Fixed values -------------------------------------------------------------------
 LIST_FIELDS = ("phone_numbers", "emails", "amenities")
@@ -124,9 +125,10 @@ def merged_media(keyed: DataFrame, field: str) -> DataFrame:
 def remove_duplicates(df: DataFrame) -> DataFrame:
     """D1 with A4 and A5: survivors in which merged values replace those of the first copy.
 
-    Records without a duplicate stay as they are, and only the others are taken apart.
+    Records without a duplicate stay as they are, and only the others are taken apart. Keyed
+    records are written once, so that keys are made once and each step reads its own columns.
     """
-    keyed = with_dedup_key(df)
+    keyed = cut(with_dedup_key(df), "keyed")
     repeated = keyed.groupBy("dedup_key").count().filter("count > 1").select("dedup_key")
     merged = merged_fields(keyed.join(repeated, "dedup_key", "left_semi"))
     fields = [c for c in merged.columns if c not in ("dedup_key", "copies") and c in df.columns]

@@ -34,9 +34,16 @@ def with_position(df: DataFrame, order: list, bucket: Column, by: list[str] = ()
     return joined.withColumn(name, F.col("__shift") + F.row_number().over(within)).drop("__bucket", "__shift")
 
 
-def with_serial(df: DataFrame, seq: str = "seq", span: int = 1_000_000, name: str = "s_no") -> DataFrame:
-    """Serial number from 1 in ``seq`` order over a whole table of any size."""
-    return with_position(df, [F.col(seq)], F.floor(F.col(seq) / span), name=name)
+def with_serial(df: DataFrame, seq: str = "seq", span: int = 1_000_000, name: str = "s_no", most: int = 1_000_000) -> DataFrame:
+    """Serial number from 1 in ``seq`` order over a whole table of any size.
+
+    Buckets span ``span`` numbers; where numbers are so sparse that there would be more than about
+    ``most`` buckets, whose counts one task adds up, they span a thousand times as many, and so on.
+    """
+    wider = [span * 1000**i for i in range(5)]
+    counts = df.agg(*[F.approx_count_distinct(F.floor(F.col(seq) / w)) for w in wider]).first()
+    fits = [w for w, n in zip(wider, counts) if n <= most]
+    return with_position(df, [F.col(seq)], F.floor(F.col(seq) / (fits or wider[-1:])[0]), name=name)
 
 
 def with_chunks(df: DataFrame, position: str, size: int, halo: int = 0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Request-log analytics per key (W3-W7, T8-T10 on stored logs).
 
 A key may hold a third of the log, so no window here spans a whole key: rows are cut
-into time buckets or position chunks, and what a bucket needs from its past is either
+into time buckets, as narrow as the busiest key demands, or position chunks, and what a bucket needs from its past is either
 repeated (a halo) or carried through a table with one row per bucket.
 """
 
@@ -23,6 +23,8 @@ SLOW_FACTOR, FAST_FACTOR = 1.5, 0.7
 MIN_DELAY_S, MAX_DELAY_S, MAX_BACKOFF = 1.0, 5.0, 10.0
 RATE_UP, RATE_DOWN, MIN_RATE = 1.05, 0.9, 5.0
 FAILURE_EXPIRY_S = 3600
+BUCKET_WIDTHS_S = (86_400, 3600, 300, 60)
+BUCKET_ROWS = 1_000_000
 # --------------------------------------------------------------------------------
 
 _STEP = ["key", "chunk", "scale", "low", "high"]
@@ -36,14 +38,29 @@ def _time_bucket(seconds: int):
     return F.floor(_micros() / (seconds * 1_000_000))
 
 
+def bucket_seconds(log: DataFrame, rows: int = BUCKET_ROWS) -> int:
+    """The widest of a few bucket widths in which no key has more than ``rows`` requests, or the least.
+
+    Any width gives the same result; it decides how much of a hot key one task gets.
+    """
+    least = BUCKET_WIDTHS_S[-1]
+    counts = log.groupBy("req_key", _time_bucket(least).alias("t")).agg(F.count("*").alias("n"))
+    # F.floor gives whole numbers, so wider buckets are made of the least ones
+    for width in BUCKET_WIDTHS_S[:-1]:
+        wide = counts.groupBy("req_key", F.floor(F.col("t") * least / width).alias("t")).agg(F.sum("n").alias("n"))
+        if (wide.agg(F.max("n")).first()[0] or 0) <= rows:
+            return width
+    return least
+
+
 def trailing_requests(
-    log: DataFrame, limit: int = REQUESTS_PER_MINUTE, window_s: int = WINDOW_S, bucket_s: int = 86_400
+    log: DataFrame, limit: int = REQUESTS_PER_MINUTE, window_s: int = WINDOW_S, bucket_s: int | None = None
 ) -> DataFrame:
     """Requests of the key in the trailing window, over the limit or not, and the wait it causes.
 
     Requests at the same instant count together.
     """
-    bucket_s = max(bucket_s, window_s)
+    bucket_s = max(bucket_s or bucket_seconds(log), window_s)
     width, span = window_s * 1_000_000, bucket_s * 1_000_000
     own = F.floor(F.col("us") / span)
     needed_next = F.col("us") >= (own + 1) * span - width
@@ -60,7 +77,7 @@ def trailing_requests(
 
 
 def response_trend(
-    log: DataFrame, target_s: float = TARGET_RESPONSE_S, bucket_s: int = 86_400, chunk: int = 100_000
+    log: DataFrame, target_s: float = TARGET_RESPONSE_S, bucket_s: int | None = None, chunk: int = 100_000
 ) -> DataFrame:
     """Mean of the last 50 response times, its verdict, and the factor it puts on the delay.
 
@@ -68,7 +85,7 @@ def response_trend(
     """
     order = [F.col("ts"), F.col("seq")]
     timed = log.withColumn("response_us", F.round(F.col("response_s") * 1e6).cast("bigint"))
-    placed = with_position(timed, order, _time_bucket(bucket_s), by=["req_key"])
+    placed = with_position(timed, order, _time_bucket(bucket_s or bucket_seconds(log)), by=["req_key"])
     rows = with_chunks(placed, "position", chunk, halo=RESPONSE_SAMPLES - 1)
     frame = Window.partitionBy("req_key", "chunk").orderBy("position").rowsBetween(1 - RESPONSE_SAMPLES, 0)
     mean = F.sum("response_us").over(frame) / F.count("*").over(frame) / F.lit(1e6)
@@ -84,8 +101,9 @@ def response_trend(
     return out.select("seq", "req_key", "samples", "mean_s", verdict.alias("verdict"), factor.alias("delay_factor"))
 
 
-def failure_runs(log: DataFrame, bucket_s: int = 86_400) -> DataFrame:
+def failure_runs(log: DataFrame, bucket_s: int | None = None) -> DataFrame:
     """Consecutive failures of the key up to and including each request."""
+    bucket_s = bucket_s or bucket_seconds(log)
     order = [F.col("ts"), F.col("seq")]
     per = Window.partitionBy("req_key", "bucket")
     fail = F.when(F.col("ok"), 0).otherwise(1)
@@ -117,7 +135,7 @@ def suggested_delay(runs: DataFrame, min_s: float = MIN_DELAY_S, max_s: float =
 
 
 def rate_trace(
-    log: DataFrame, max_rate: float = REQUESTS_PER_MINUTE, min_rate: float = MIN_RATE, bucket_s: int = 86_400, chunk: int = 50_000
+    log: DataFrame, max_rate: float = REQUESTS_PER_MINUTE, min_rate: float = MIN_RATE, bucket_s: int | None = None, chunk: int = 50_000
 ) -> DataFrame:
     """Allowed rate after each request: up 5% on success, down 10% on failure, clamped.
 
@@ -171,7 +189,7 @@ def rate_trace(
     # keys travel as text with a mark, so that a NULL key is a value in pandas as well
     key_type = log.schema["req_key"].dataType
     marked = log.select("seq", F.coalesce(F.concat(F.lit("k"), F.col("req_key").cast("string")), F.lit("-")).alias("key"), "ts", "ok")
-    placed = with_position(marked, [F.col("ts"), F.col("seq")], _time_bucket(bucket_s), by=["key"])
+    placed = with_position(marked, [F.col("ts"), F.col("seq")], _time_bucket(bucket_s or bucket_seconds(log)), by=["key"])
     rows = with_chunks(placed, "position", chunk).select("seq", "key", "ok", "position", "chunk")
     later = rows.filter("chunk > 0").select("key").distinct()
     steps = in_order(rows.join(later, "key", "left_semi")).mapInPandas(reduce_chunks, "key string, chunk bigint, scale double, low double, high double")
@@ -188,13 +206,13 @@ def tumbling_counts(log: DataFrame, width: str = "60 seconds") -> DataFrame:
     return log.groupBy("req_key", w.alias("w")).agg(F.count("*").alias("requests")).select("req_key", F.col("w.start").alias("window_start"), "requests")
 
 
-def failure_sessions(log: DataFrame, gap_s: int = FAILURE_EXPIRY_S, bucket_s: int = 86_400) -> DataFrame:
+def failure_sessions(log: DataFrame, gap_s: int = FAILURE_EXPIRY_S, bucket_s: int | None = None) -> DataFrame:
     """Failure counter that lives until no failure came for ``gap_s``.
 
     Failures are first joined into segments within time buckets; segments, of which a key
     has no more than buckets and sessions together, are then joined across buckets.
     """
-    gap = gap_s * 1_000_000
+    gap, bucket_s = gap_s * 1_000_000, bucket_s or bucket_seconds(log)
 
     def numbered(df: DataFrame, part: list[str], start: str, end: str, name: str) -> DataFrame:
         order = Window.partitionBy(*part).orderBy(start)

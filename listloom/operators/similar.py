@@ -55,9 +55,9 @@ def normalized(df: DataFrame) -> DataFrame:
     )
 
 
-def profiles(df: DataFrame) -> DataFrame:
-    """One row per distinct combination of compared fields: ``rep`` is its lowest seq."""
-    return normalized(df).groupBy(*_COMPARED).agg(F.min("seq").alias("rep"), F.count("*").alias("members"))
+def profiles(rows: DataFrame) -> DataFrame:
+    """One row per distinct combination of compared fields of ``normalized`` rows: ``rep`` is its lowest seq."""
+    return rows.groupBy(*_COMPARED).agg(F.min("seq").alias("rep"), F.count("*").alias("members"))
 
 
 def _self_score(p: DataFrame) -> Column:
@@ -67,11 +67,9 @@ def _self_score(p: DataFrame) -> Column:
     return full("n_name", "name") + full("n_address", "address") + full("n_phone", "phone") + full("n_category", "category")
 
 
-def member_links(df: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """Rows of one profile linked to its first row, where such rows match at all."""
-    n = normalized(df)
-    first = n.groupBy(*_COMPARED).agg(F.min("seq").alias("rep"))
-    first = first.select(*[F.col(c).alias("f_" + c) for c in _COMPARED], "rep").withColumn("__key", F.xxhash64(*["f_" + c for c in _COMPARED]))
+def member_links(n: DataFrame, p: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """``normalized`` rows of one profile linked to its first row, where such rows match at all."""
+    first = p.filter("members > 1").select(*[F.col(c).alias("f_" + c) for c in _COMPARED], "rep").withColumn("__key", F.xxhash64(*["f_" + c for c in _COMPARED]))
     same = [F.col(c).eqNullSafe(F.col("f_" + c)) for c in _COMPARED]
     cond = F.col("k") == F.col("__key")
     for s in same:
@@ -168,9 +166,10 @@ def similar_links(df: DataFrame, threshold: float = MATCH_THRESHOLD, small_block
     """
     if threshold < 80:
         raise ValueError("below 80 two records may match on name and address alone: no exact block exists")
-    p = profiles(df)
+    n = cut(normalized(df), "normalized")
+    p = cut(profiles(n), "profiles")
     by_phone = _block_pairs(p.filter("n_phone is not null"), ["n_phone"], True, threshold, small_block)
-    out = [member_links(df, threshold), _links(by_phone, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair")]
+    out = [member_links(n, p, threshold), _links(by_phone, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair")]
     if threshold <= 80:
         full = p.filter(" and ".join(f"n_{t} is not null" for t in _TEXTS))
         long = F.greatest(*[F.length(f"n_{t}") for t in _TEXTS]) >= _ROUNDS_UP_FROM

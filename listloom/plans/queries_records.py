@@ -158,13 +158,19 @@ def s8(spark, sf):
 @query(
     "s9_export_all",
     BIZ + """SELECT f AS format, count(*) AS rows_written, CAST(sum(seq) AS BIGINT) AS seq_sum
-    FROM biz, unnest(['csv', 'json', 'table']) t(f) GROUP BY f""",
+    FROM biz, unnest(['csv', 'json', 'table']) t(f) GROUP BY f
+    UNION ALL SELECT 'report', least(count(*), 100), CAST(least(count(*), 100) * (least(count(*), 100) + 1) // 2 AS BIGINT) FROM biz""",
 )
 def s9(spark, sf):
-    data = businesses(spark, sf).select("seq", "name", "emails", "social_media")
+    data = businesses(spark, sf).select("seq", "name", "phone", "website", "address", "rating", "emails", "social_media")
     paths = records.export_all(data, work_path(spark, "export"), map_keys=_MAP_KEYS)
-    csv = records.read_csv(spark, paths["csv"], ["seq"]).withColumn("seq", F.when(F.col("seq") == "", 0).otherwise(F.col("seq")).cast("bigint"))
-    back = {"csv": csv, "json": spark.read.schema("seq bigint").json(paths["json"]), "table": spark.read.parquet(paths["table"])}
+    number = F.when(F.col("seq") == "", 0).otherwise(F.col("seq")).cast("bigint").alias("seq")
+    back = {
+        "csv": records.read_csv(spark, paths["csv"], ["seq"]).select(number),
+        "json": spark.read.schema("seq bigint").json(paths["json"]),
+        "table": spark.read.parquet(paths["table"]).select(number),
+        "report": records.read_csv(spark, paths["report"], ["row_no"]).select(F.col("row_no").cast("bigint").alias("seq")),
+    }
     parts = [d.agg(F.lit(f).alias("format"), F.count("*").alias("rows_written"), F.sum("seq").alias("seq_sum")) for f, d in back.items()]
     return store.union_records(*parts)
 
@@ -504,7 +510,7 @@ def j3(spark, sf):
 )
 def x33(spark, sf):
     """Scores of all profiles that share a phone, whatever their level."""
-    p = similar.profiles(businesses(spark, sf)).filter("n_phone is not null")
+    p = similar.profiles(similar.normalized(businesses(spark, sf))).filter("n_phone is not null")
     links = similar._block_pairs(p, ["n_phone"], True, 0.0, similar.SMALL_BLOCK)
     return links.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), "score")
 

@@ -50,7 +50,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Ends the lineage of iterative jobs; the files outlive any executor.
+    Ends the lineage of iterative jobs; the files outlive any executor. ``discard`` deletes
+    them once nothing that is still to be computed reads them.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
@@ -58,6 +59,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has returned."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/listloom/".split(":", 1)[-1].lstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if the optimizer proves it small, else unchanged.
 

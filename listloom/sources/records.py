@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 
 from ..functions.quality import flatten, nested_as_json
 from ..functions.text import record_id
+from ..operators.reports import report_rows
 from ..schema import RECORD
 
 # Fixed values -------------------------------------------------------------------
 CHECKPOINT_NUMBER = r"_checkpoint_(\d+)\.jsonl"
-EXPORT_FORMATS = ("csv", "json", "table")
+EXPORT_FORMATS = ("csv", "json", "table", "report")
 # --------------------------------------------------------------------------------
 
 _CORRUPT = "_corrupt_record"
@@ -113,7 +114,10 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def export_all(df: DataFrame, folder: str, formats=EXPORT_FORMATS, map_keys=None) -> dict[str, str]:
-    """One dataset in every configured format, computed once; returns format -> path."""
+    """One dataset in every configured format, computed once; returns format -> path.
+
+    ``table`` is the flattened table of S7 as Parquet, ``report`` the numbered rows of S11 as CSV.
+    """
     unknown = set(formats) - set(EXPORT_FORMATS)
     if unknown:
         raise ValueError(f"unknown formats {sorted(unknown)}")
@@ -125,7 +129,9 @@ def export_all(df: DataFrame, folder: str, formats=EXPORT_FORMATS, map_keys=None
         if "json" in written:
             write_json(df, written["json"])
         if "table" in written:
-            df.write.mode("overwrite").parquet(written["table"])
+            flatten(df, map_keys).write.mode("overwrite").parquet(written["table"])
+        if "report" in written:
+            write_csv(report_rows(df), written["report"])
     finally:
         df.unpersist()
     return written

@@ -405,6 +405,22 @@ def test_rating_distribution_of_any_rating(spark):
     assert got == [(1, 4, {0.0: 1, 4.5: 2}), (2, 1, {7.0: 1})]
 
 
+def test_buckets_narrow_with_the_busiest_key(spark):
+    hot = [(i, 1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(3000)]
+    rows = hot + [(5000 + i, 2 + i % 50, dt.datetime(2024, 1, 1 + i % 20)) for i in range(6000)]
+    log = spark.createDataFrame(rows, "seq bigint, req_key bigint, ts timestamp")
+    assert [rate.bucket_seconds(log, n) for n in (5000, 400, 10)] == [86_400, 300, 60]
+
+
+def test_sparse_numbers_do_not_make_a_bucket_each(spark):
+    rows = [(i * 10**12 + 3,) for i in range(2000)]
+    df = spark.createDataFrame(rows, "seq bigint")
+    got = ordering.with_serial(df, span=1000, most=100)
+    assert values(got, "seq", "s_no") == [(r[0], i + 1) for i, r in enumerate(rows)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "1000000000000" in plan  # the span was widened
+
+
 def test_null_keys_stay_in_rate_analytics(spark):
     rows = [(i, k, dt.datetime(2024, 1, 1 + i % 3, 0, i), i % 4 != 0, 1.0) for i, k in enumerate([None, 5, None, None, 5, None])]
     log = spark.createDataFrame(rows, "seq bigint, req_key bigint, ts timestamp, ok boolean, response_s double")

@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
-from listloom.operators import dedup, rate
+from listloom.operators import competitors, dedup, rate
+from listloom.plans import catalog
 from listloom.plans.views import businesses, view
 
-QUERIES = driver.queries()
+QUERIES = catalog.QUERIES
 USES_PYTHON = {"w7_rate_trace", "x32_string_ratio", "x33_similarity_score"}
 WRITES = re.compile(r"^(s\d|t\d|c1|c3|c4|j3)")  # run jobs of their own before the plan exists
 
@@ -42,6 +42,17 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
     assert re.search(r"ReadSchema: struct<user_id:bigint>", plan)
 
 
+def test_duplicates_read_their_records_once(spark, sf_dir):
+    plan = plan_of(dedup.remove_duplicates(businesses(spark, sf_dir)))
+    # only the keyed records that were written, none of the tables they are made from
+    assert "customer.parquet" not in plan and "orders.parquet" not in plan and "keyed-" in plan
+
+
+def test_crowded_cubes_may_be_split(spark, sf_dir):
+    plan = plan_of(competitors.find_competitors(businesses(spark, sf_dir)))
+    assert "REPARTITION" not in plan and plan.count("spots-") > 1
+
+
 def test_summary_is_one_pass(spark, sf_dir):
     plan = plan_of(QUERIES["a2_contact_counts"](spark, sf_dir))
     assert "Exchange SinglePartition" in plan and "Window" not in plan
