@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import by_cell, to_cells
 from ..operators.components import connected_components
 from ..session import cut
-from .tables import checked_broadcast, slices
+from .tables import checked_broadcast, slices, whole_texts
 from .text import LOWERED, NOT_SPACE, Words, mix, sequence_hash
 
 SHINGLE = 5
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                 names=["doc_id", "n_shingles", "set_digest", "bands"],
             )
+            del batch
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>")
 
@@ -112,6 +113,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("stars"), batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["stars", "node", "shingles"]
             )
+            del batch
 
     # one row a text, whatever the number of its stars
     lists = cut(wanted.groupBy("node").agg(F.collect_set("star").alias("stars")), "stars")
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     Documents with 100 * common shingles >= percent * all shingles are linked; ``component_id``
     is the least doc_id reachable. Rows that share an id count as one document with several texts.
     """
-    docs = docs.select("doc_id", "text")
+    docs = whole_texts(docs.select("doc_id", "text"))
     known = cut(signatures(docs, k), "signatures")
     classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("set_digest")
     reps = cut(classes.agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")), "classes")

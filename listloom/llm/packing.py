@@ -16,6 +16,7 @@ the library does by default.
 from __future__ import annotations
 
 import os
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .tables import slices
+from .tables import slices, whole_texts
 
 WINDOW = 2048
 END_ID = 1
@@ -35,11 +36,13 @@ _SPECIAL = "<|endoftext|>"
 _OUT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _single(tokenizer):
+def _single(path: str):
     """Encodes one pre-token: tiktoken with the tokenizer's own vocabulary, which is quicker for short
     texts, if the ids follow the order of the merges (so that a piece's id is its rank)."""
     import tiktoken
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(path)
     vocab = tokenizer.get_vocab(with_added_tokens=False)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(printable)]
@@ -57,14 +60,18 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.encode = _single(self.tokenizer)
+        self.path, self.encode = path, _single(path)
         self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.cache = pretokens.Cache(self._make)
         self.cache.forget = self._forget
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, for texts that are not cut here; loaded when the first one comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.cache.all, self.used = {}, 0
         self.cache.slots = pretokens.Slots(18)
@@ -223,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     ``tokenizer``: path of a tokenizers file, which every executor must have.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = whole_texts(docs.select(F.col("doc_id").cast("long"), "text"))
     shards = max(1, -(-docs.count() // shard_pieces))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(shards)))
     schema = "shard long, rest boolean, doc_id long, start long, doc_tokens long, ids binary"
@@ -240,6 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 if full < n:
                     rows.append((shard, True, doc, full, n, ids[full:].tobytes()))
             yield _batch(rows, schema)
+            del batch, rows
 
     def sequences(batches):
         starts = word_starts(tokenizer)

@@ -116,7 +116,7 @@ class Slots:
 class Cache:
     """What ``make`` gives for pre-tokens (a number each), by hash: slots first, then a dictionary."""
 
-    def __init__(self, make: Callable[[list], list[int]], bits: int = 18, most: int = 400_000):
+    def __init__(self, make: Callable[[list], list[int]], bits: int = 18, most: int = 250_000):
         self.make, self.most = make, most
         self.slots, self.all = Slots(bits), {}
 

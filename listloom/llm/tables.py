@@ -24,12 +24,28 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of an Arrow batch between Spark and a worker; Spark's own default of 10,000 whole texts is held
+#: several times over, on both sides.
+BATCH_ROWS = 1024
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, after setting its session's Arrow batches to ``BATCH_ROWS`` rows if they are larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 #: Text bytes a task works on at a time: its numpy arrays take about thirty times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches in slices of about ``limit`` text bytes (one row may be longer)."""
+    """The rows of Arrow batches in slices of about ``limit`` text bytes (one row may be longer).
+
+    A batch is let go before the next is fetched; users of a slice drop it after use.
+    """
     for batch in batches:
         if batch.num_rows:
             size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -37,6 +53,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 yield batch.slice(lo, hi - lo)
+        del batch
 
 
 def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list], added: str, column: str = "text") -> DataFrame:
@@ -53,5 +70,6 @@ def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list], added: str, colu
         for batch in slices(batches, column):
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept] + list(fn(batch))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            del batch, columns
 
-    return df.mapInArrow(run, schema)
+    return whole_texts(df).mapInArrow(run, schema)

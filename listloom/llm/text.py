@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _U = np.uint64
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)

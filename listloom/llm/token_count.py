@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Cache, Slots, byte_hashes
-from .tables import append, slices
+from .tables import append, slices, whole_texts
 from .text import utf8
 
 LIMIT = 4096
@@ -88,7 +88,7 @@ def frequent(docs: DataFrame, model: str, size: int = FREQUENT) -> Slots:
             values = cache.get(keys[top], lambda i: _texts(joined, begin)(at[top][i]))
             yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(values), pa.array(n[top])], names=["key", "length", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "key long, length long, n long").groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
+    counted = whole_texts(docs).select("text").mapInArrow(count, "key long, length long, n long").groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "key").limit(size).collect()
     table = Slots(17)
     rows.reverse()  # of two in one slot the more frequent stays

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import append, slices
+from .tables import append, slices, whole_texts
 from .text import ALNUM, HashTable, Words, mix
 
 MAX_LABELLED = 10_000
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled:
     ys = [f"y{i}" for i in range(len(categories))]
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
     # the side sent to all tasks has max_labelled rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(y).alias(y) for y in ys])
+    rows = whole_texts(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.max(y).alias(y) for y in ys])
     rows = cut(rows, "labelled")
     totals = rows.agg(F.count("*"), *[F.sum(y) for y in ys]).first()
     n, ones = totals[0], [t or 0 for t in totals[1:]]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tables import checked_broadcast
+from .tables import checked_broadcast, whole_texts
 
 REVISIT_BYTES = 1000
 SHARD_BYTES = 32 << 20
@@ -141,7 +141,7 @@ class _Roller:
 def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes (page_id, url, html) to the new folder ``path``, one that all executors reach; returns the manifest."""
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html")
+    pages = whole_texts(pages.select("page_id", "url", "html"))
     low, bits, ranges = _ranges(pages, shard_bytes)
     rows = typed(pages).withColumn("cell", F.coalesce(F.shiftright(F.col("page_id") - low, bits), F.lit(-1)).cast("long"))
     if len(ranges):
