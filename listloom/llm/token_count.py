@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .pretokens import Cache, Slots, byte_hashes
 from .tables import append, slices, whole_texts
 from .text import utf8
@@ -88,10 +89,18 @@ def frequent(docs: DataFrame, model: str, size: int = FREQUENT) -> Slots:
             values = cache.get(keys[top], lambda i: _texts(joined, begin)(at[top][i]))
             yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(values), pa.array(n[top])], names=["key", "length", "n"])
 
-    counted = whole_texts(docs).select("text").mapInArrow(count, "key long, length long, n long").groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "key").limit(size).collect()
+    parts = whole_texts(docs).select("text").mapInArrow(count, "key long, length long, n long")
+    counted = cut(parts.groupBy("key").agg(F.max("length").alias("length"), F.sum("n").alias("n")), "frequent")
+    # by powers of two: the least count that leaves no more than ``size`` of them
+    level = F.floor(F.log2("n"))
+    least, held = 0, 0
+    for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("distinct")).orderBy(F.desc("level")).collect():  # 64 rows at most
+        held += row["distinct"]
+        if held > size:
+            least = row["level"] + 1
+            break
+    rows = counted.filter(level >= least).orderBy("n", "key").collect()  # of two in one slot the more frequent stays
     table = Slots(17)
-    rows.reverse()  # of two in one slot the more frequent stays
     table.put(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64), np.array([r.length for r in rows], dtype=np.int64))
     return table
 
