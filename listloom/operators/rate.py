@@ -43,6 +43,8 @@ def bucket_seconds(log: DataFrame, rows: int = BUCKET_ROWS) -> int:
 
     Any width gives the same result; it decides how much of a hot key one task gets.
     """
+    if log.count() <= rows:
+        return BUCKET_WIDTHS_S[0]
     least = BUCKET_WIDTHS_S[-1]
     counts = log.groupBy("req_key", _time_bucket(least).alias("t")).agg(F.count("*").alias("n"))
     # F.floor gives whole numbers, so wider buckets are made of the least ones
