@@ -152,6 +152,22 @@ def test_recall_of_the_query(spark, sf_dir):
     assert len(exact & got) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("shape", ["clustered", "low rank", "low rank, equal norms"])
+def test_recall_where_vectors_cluster_or_fill_few_dimensions(spark, shape):
+    rnd = np.random.default_rng(5)
+    if shape == "clustered":
+        x = rnd.normal(size=(20, 8))[rnd.integers(0, 20, 1500)] + 0.05 * rnd.normal(size=(1500, 8))
+    else:
+        x = rnd.normal(size=(1500, 4)) @ rnd.normal(size=(4, 64))
+    if shape == "low rank, equal norms":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    exact = {e[:1] + e[2:3] for e in brute_nearest(rows, 20)}
+    for shard_rows in (ann.SHARD_ROWS, 400):
+        got = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=shard_rows).collect()}
+        assert got == exact
+
+
 def test_larger_factors_prune_more():
     rnd = np.random.default_rng(4)
     points = rnd.normal(size=(20, 8))[rnd.integers(0, 20, 2000)] + 0.05 * rnd.normal(size=(2000, 8))
