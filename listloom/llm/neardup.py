@@ -2,14 +2,17 @@
 
 * One pass over the texts hashes each document's set of word shingles, puts the hashes into
   128 bins by their leading bits and keeps each bin's least one. An empty bin takes the value of
-  the first filled bin in a fixed random order of its own (optimal densification). 32 bands of 4
-  bins are the bucket keys; at a similarity of 0.85 all of them differ with a chance of about 1e-10.
+  the first filled bin in a fixed random order of its own (optimal densification). Bands of up to 4
+  bins are the bucket keys; their number follows ``percent`` (``band_rows``), so that all of them differ
+  with a chance of 1e-7 at most: 32 bands at 85 (5e-11) and at 80 (5e-8), 64 below 79, 128 below 48.
+  Below 12 percent the chance is larger.
 * Equal sets are one class before any bucket is formed, so groups of copies cost nothing here.
 * In a bucket every class is linked to the least class only: stars, one edge a member. Edges are
   confirmed on full sets.
 * A star can miss a link between two members that are far from its centre. So members of one
   bucket that are still in different components after the stars are compared as well, all with
-  all, in cells of bounded size; only links leave a cell. No partner is dropped. This part is
+  all, in cells of bounded size; only links leave a cell. No partner is dropped: before full sets
+  are counted, pairs are ruled out only by upper bounds of what they can share. This part is
   quadratic in the size of a group of documents that resemble each other but are not linked.
 
 Results: null and empty texts, and texts without words, have the empty set and stay alone.
@@ -36,10 +39,13 @@ from .text import LOWERED, NOT_SPACE, Words, mix, sequence_hash
 SHINGLE = 5
 PERCENT = 85
 BINS = 128
+#: Bins of a band at most, and the chance with which a pair just similar enough may miss all bands.
 ROWS = 4
-BANDS = BINS // ROWS
-#: Two sets of the similarity asked for agree in about 109 of 128 bins; in fewer than this, one pair in a million.
+MISS = 1e-7
+#: Equal bins that all but one in a million pairs of a similarity of 0.85 have. Nothing is filtered by it.
 LEAST_BINS = 88
+#: Bits of the maps that bound what two sets of a cell share, at least and at most.
+MAP_BITS = 1 << 10, 1 << 15
 #: Buckets up to this size are compared pair by pair; larger ones as stars.
 SMALL_BUCKET = 6
 #: What a part of a cell holds at most (a single longer set makes its part longer).
@@ -48,7 +54,7 @@ CELL_SHINGLES = 1 << 20
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 _ORDER = np.argsort(np.random.default_rng(6).random((BINS, BINS)), axis=1)
-_SALT = np.random.default_rng(66).integers(1, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.random.default_rng(66).integers(1, 2**63, (BINS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column, k: int = SHINGLE):
@@ -75,13 +81,30 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Bins of a band: as many as keep the chance of a miss at this similarity below ``MISS``."""
+    fits = [n for n in (ROWS, ROWS // 2) if (1 - (percent / 100) ** n) ** (BINS // n) <= MISS]
+    return fits[0] if fits else 1
+
+
+def bands_of(shingles: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """The bucket keys of a sorted, non-empty set."""
-    least = signature(shingles)
-    return mix((least.reshape(BANDS, ROWS) * _SALT[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _SALT[:, ROWS])
+    least, salt = signature(shingles).reshape(BINS // rows, rows), _SALT[: BINS // rows]
+    return mix((least * salt[:, :rows]).sum(axis=1, dtype=np.uint64) + salt[:, ROWS])
+
+
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, which cells of the hash range it has hashes in: a row of bits packed to 64."""
+    bits = min(max(MAP_BITS[0], 1 << (4 * max(map(len, sets))).bit_length()), MAP_BITS[1])
+    maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
+    for row, s in zip(maps, sets):
+        marked = np.zeros(bits, dtype=bool)
+        marked[(s >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+        row[:] = np.packbits(marked)
+    return maps.view(np.uint64)
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_digest, bands) of every row of (doc_id, text)."""
 
     def run(batches):
@@ -90,7 +113,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(bands_of(s).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
+                bands.append(bands_of(s, rows).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
             values = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -161,8 +184,9 @@ def _left_over(docs: DataFrame, members: DataFrame, component: DataFrame, k: int
 
     Buckets that hold several components, and share members, form blocks. A block is cut into
     parts of at most ``CELL_DOCS`` documents and about ``CELL_SHINGLES`` shingles, and each two
-    parts meet in one cell. There signatures are compared, likely pairs are counted on full
-    sets, and only links that join two components leave the cell.
+    parts meet in one cell. A cell of the hash range that only one set of a pair has hashes in holds a
+    hash they do not share; pairs that this leaves able to be similar enough are counted on full sets,
+    and only links that join two components leave the cell.
     """
     big = members.filter(f"members > {SMALL_BUCKET}").select("bucket", "node")
     known = big.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -182,14 +206,17 @@ def _left_over(docs: DataFrame, members: DataFrame, component: DataFrame, k: int
         sets = [x.astype(np.int64).view(np.uint64) for x in pdf["shingles"]]
         sizes = np.array([len(x) for x in sets])
         flat, at = np.concatenate(sets), np.cumsum(sizes) - sizes
-        marks = np.stack([signature(x) for x in sets]).astype(np.uint8)
+        marks = bit_maps(sets)
+        marked = np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
         label, node, part = pdf["component"].to_numpy().copy(), pdf["node"].to_numpy(), pdf["part_no"].to_numpy()
         two = pdf["part_a"].iloc[0] != pdf["part_b"].iloc[0]
         out = []
         for i, own in enumerate(sets):
             other = (part > part[i]) if two else (np.arange(len(sets)) > i)
             likely = np.flatnonzero(other & (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-            likely = likely[(marks[likely] == marks[i]).sum(axis=1) >= LEAST_BINS]
+            both = np.bitwise_count(marks[likely] & marks[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(sizes[i] - marked[i], sizes[likely] - marked[likely]) + both
+            likely = likely[100 * most >= percent * (sizes[likely] + sizes[i] - most)]
             for j in np.array_split(likely, 1 + int(sizes[likely].sum()) // CELL_SHINGLES):
                 n = sizes[j]
                 upto = np.cumsum(n)
@@ -213,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     is the least doc_id reachable. Rows that share an id count as one document with several texts.
     """
     docs = whole_texts(docs.select("doc_id", "text"))
-    known = cut(signatures(docs, k), "signatures")
+    known = cut(signatures(docs, k, band_rows(percent)), "signatures")
     classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("set_digest")
     reps = cut(classes.agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n")), "classes")
     members = _members(reps)

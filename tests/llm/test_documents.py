@@ -143,6 +143,44 @@ def test_small_sets_fall_into_common_bands():
     assert missed == 0
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_crowded_buckets_keep_pairs_with_few_equal_bins(spark, percent):
+    """Pairs just similar enough, the one in thousands with the fewest equal bins too, in one crowded bucket."""
+    rnd = random.Random(percent)
+    found = []
+    for _ in range(3000):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(50)]
+        n = round(46 * 2 * percent / (100 + percent) + 0.499)  # shingles to share of 46
+        pair = [" ".join(own), " ".join([*own[: n + 4], *(f"w{rnd.randrange(10**6)}" for _ in range(46 - n))])]
+        a, b = neardup.shingle_sets(pa.array(pair))
+        common = len(np.intersect1d(a, b))
+        assert 100 * common >= percent * (len(a) + len(b) - common)
+        assert (neardup.bands_of(a, neardup.band_rows(percent)) == neardup.bands_of(b, neardup.band_rows(percent))).any()
+        found.append((int((neardup.signature(a) == neardup.signature(b)).sum()), pair))
+    found.sort()
+    assert percent == 85 or found[0][0] < neardup.LEAST_BINS
+    rows = [(2 * i + j, t) for i, (_, pair) in enumerate(found[:60]) for j, t in enumerate(pair)]
+    members = spark.createDataFrame([(1, d, len(rows)) for d, _ in rows], "bucket long, node long, members long")
+    alone = spark.createDataFrame([], "node long, component long")
+    got = neardup._left_over(docs_of(spark, rows), members, alone, 5, percent)
+    assert sorted(map(tuple, got.collect())) == [(2 * i, 2 * i + 1) for i in range(60)]
+
+
+def test_bands_follow_the_similarity():
+    assert [neardup.band_rows(p) for p in (100, 85, 80, 70, 50, 40)] == [4, 4, 4, 2, 2, 1]
+    for p in range(12, 101):
+        n = neardup.band_rows(p)
+        assert (1 - (p / 100) ** n) ** (neardup.BINS // n) <= neardup.MISS
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80])
+def test_near_duplicates_of_other_similarities_equal_brute_force(spark, monkeypatch, percent):
+    monkeypatch.setattr(neardup, "CELL_DOCS", 20)
+    rows = near_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), percent=percent).collect()}
+    assert got == brute_near(rows, percent=percent)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = docs_of(spark, ODD).withColumn("bands", F.lit(1))
     got = neardup.near_duplicates(df).collect()
