@@ -15,6 +15,9 @@ from listloom.llm.queries import CATEGORIES, tokenizer_file
 from listloom.llm.tables import read
 from listloom.session import cut
 
+#: The similarity from which documents count as near-duplicates here; op6's own 85 binds only its query.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity chain rejects go."""
@@ -22,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates stays: five words, a similarity of 0.8 or more."""
+    return neardup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from listloom.llm import ann, chat, decontaminate, extract, neardup, packing, queries, warc
 from tests.compare import differences
+from tests.llm.test_documents import brute_near
 
 PAGES = "page_id long, url string, html string"
 
@@ -247,6 +248,34 @@ def test_pipeline_stages(spark, sf_dir):
     assert rest.columns == docs.columns and {r.doc_id for r in rest.collect()} == {r.doc_id for r in docs.collect()} - hit
 
 
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark, sf_dir):
+    """Whole stage against brute force at 80, with planted pairs between 0.80 and 0.85 and some just below 0.80."""
+    rnd = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    own = max(d for d, _ in rows) + 1
+    planted, below = [], []
+    for i in range(40):
+        # of 96 shingles each, 86, 87 or 88 are shared: 0.811, 0.829, 0.846; or 85: 0.794
+        shared = 85 + i % 4
+        text = [f"p{rnd.randrange(10**6)}" for _ in range(100)]
+        other = text[: shared + 4] + [f"p{rnd.randrange(10**6)}" for _ in range(96 - shared)]
+        rows += [(own, " ".join(text)), (own + 1, " ".join(other))]
+        (planted if i % 4 else below).append(own + 1)
+        own += 2
+    expected = {d for d, (_, component) in brute_near(rows, percent=80).items() if d == component}
+    assert not expected & set(planted) and expected >= set(below)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in stages["near_duplicates"](spark, docs, sf_dir).collect()} == expected
+
+
+def test_pipeline_drops_what_the_query_finds_contaminated(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hit = {r.doc_id for r in queries.op8(spark, sf_dir).filter("contaminated").collect()}
+    rest = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, sf_dir)
+    assert rest.columns == docs.columns and {r.doc_id for r in rest.collect()} == {r.doc_id for r in docs.collect()} - hit
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:
