@@ -6,6 +6,11 @@ text that lies in links, by its length and by its share of stop words. Blocks to
 unclear for that are decided by the second pass: each takes the label of its nearest
 decided neighbour, where a neighbour in the same part of the page is nearer than one outside.
 
+Elements such as nav, aside and footer are boilerplate with all they hold. A form, or a container whose class or
+id has a word such as sidebar, is so only while it is a part of the page: wrappers named after what
+stands in them (``content with-sidebar``) and forms around whole pages hold most of its prose, and
+their mark is ignored. Comments are boilerplate unless the page has no other prose.
+
 Results: null, empty and textless pages have the text ''. Unclosed and crossed tags are closed by
 what encloses them; an unclosed comment, script or style runs to the page's end. Repeated rows
 and null ids are rows like others; an input column named like a result is replaced.
@@ -41,7 +46,7 @@ _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption figcaption pre
 _CONTAINERS = frozenset(
     "html head body div section article main nav header footer aside form fieldset ul ol dl menu table thead tbody tfoot td th blockquote figure details dialog center noscript select button label iframe object svg math canvas video audio template".split()
 )
-_BOILERPLATE = frozenset("head nav footer aside form fieldset menu dialog noscript select button iframe object svg canvas video audio template".split())
+_BOILERPLATE = frozenset("head nav footer aside menu dialog noscript select button iframe object svg canvas video audio template".split())
 _RAW = frozenset("script style textarea title xmp".split())
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar aside "
@@ -49,6 +54,8 @@ _MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social pagination pager search toolbar masthead copyright legal disclaimer skip toc tags".split()
 )
 _HEADER_MARKS = frozenset("header topbar top".split())
+_COMMENT_MARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
+_FORMS = frozenset(("form", "fieldset"))
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TEXT_PARTS = frozenset(("article", "main"))
 
@@ -58,40 +65,77 @@ _MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, OPEN = 1, 0, -1
+#: What a container's own tag and attributes say of it.
+_PLAIN, _MARKED, _COMMENTS, _NO_TEXT = range(4)
+#: The share of a page's prose above which a container is no mere part of it.
+MOST = 0.5
 
 
 class _Part:
     """An open container."""
 
-    __slots__ = ("tag", "up", "depth", "boilerplate", "text")
+    __slots__ = ("tag", "up", "depth", "mark", "boilerplate", "text")
 
-    def __init__(self, tag: str, up, boilerplate: bool):
-        self.tag, self.up = tag, up
+    def __init__(self, tag: str, up, mark: int):
+        self.tag, self.up, self.mark = tag, up, mark
         self.depth = up.depth + 1 if up else 0
-        self.boilerplate = boilerplate or bool(up and up.boilerplate)
+        self.boilerplate = mark != _PLAIN or bool(up and up.boilerplate)
         self.text = tag in _TEXT_PARTS or bool(up and up.text)
 
+    def path(self):
+        """The container and those around it, from the outermost one on."""
+        around, part = [], self
+        while part:
+            around.append(part)
+            part = part.up
+        return around[::-1]
+
 
-def _boilerplate(tag: str, attributes: str, up) -> bool:
+def _mark(tag: str, attributes: str, up) -> int:
     if tag in _BOILERPLATE or (tag == "header" and not up.text):
-        return True
+        return _NO_TEXT
+    mark = _MARKED if tag in _FORMS else _PLAIN
     if tag in ("html", "body", "article", "main") or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return mark
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in _ROLES):
-            return True
+            return _NO_TEXT
         if name in ("class", "id"):
             words = {w.lower() for w in _MARK_WORD.findall(value)}
-            if words & _MARKS or (words & _HEADER_MARKS and not up.text):
-                return True
-    return False
+            if words & _COMMENT_MARKS:
+                mark = _COMMENTS
+            elif mark == _PLAIN and (words & _MARKS or (words & _HEADER_MARKS and not up.text)):
+                mark = _MARKED
+    return mark
+
+
+def settle(page_blocks, shares: list[float]) -> None:
+    """Ignores the marks of containers that hold most of a page's prose; ``shares``: of stop words in blocks."""
+    likely = [(s, len(t), p.path()) for (t, linked, p), s in zip(page_blocks, shares) if len(t) >= SHORT and linked <= LINKS_HIGH * len(t)]
+    likely = [(s, n, around) for s, n, around in likely if all(p.mark != _NO_TEXT for p in around)]
+    least = STOPS_LOW if any(s >= STOPS_LOW for s, _, _ in likely) else 0.0
+    prose = [(n, around) for s, n, around in likely if s >= least]
+    if all(p.mark in (_PLAIN, _NO_TEXT) for _, around in prose for p in around):
+        return
+    counted = [(n, around) for n, around in prose if all(p.mark != _COMMENTS for p in around)] or prose
+    total, held = sum(n for n, _ in counted), {}
+    for n, around in counted:
+        for p in around:
+            if p.mark in (_MARKED, _COMMENTS):
+                held[p] = held.get(p, 0) + n
+    for p, n in held.items():
+        if n > MOST * total:
+            p.mark = _PLAIN
+    for _, _, part in page_blocks:
+        for p in part.path():
+            p.boilerplate = p.mark != _PLAIN or bool(p.up and p.up.boilerplate)
 
 
 def blocks(page: str) -> list[tuple[str, int, _Part]]:
     """(text, characters in links, container) of each block with text."""
     out: list[tuple[str, int, _Part]] = []
-    part = _Part("", None, False)
+    part = _Part("", None, _PLAIN)
     pieces: list[str] = []
     linked, in_link, inner, at = 0, False, None, 0
 
@@ -133,7 +177,8 @@ def blocks(page: str) -> list[tuple[str, int, _Part]]:
             end()
             in_link = False
             # a marked paragraph is a container of its own until the next block
-            inner = _Part(tag, part, True) if not closing and _boilerplate(tag, m[3] or "", part) else None
+            mark = _PLAIN if closing else _mark(tag, m[3] or "", part)
+            inner = _Part(tag, part, mark) if mark != _PLAIN else None
         elif tag in _CONTAINERS:
             end()
             in_link, inner = False, None
@@ -148,7 +193,7 @@ def blocks(page: str) -> list[tuple[str, int, _Part]]:
                     while part.up and part.tag == "head":
                         part = part.up
                 if not m[3].endswith("/>"):
-                    part = _Part(tag, part, _boilerplate(tag, m[3] or "", part))
+                    part = _Part(tag, part, _mark(tag, m[3] or "", part))
     end()
     return out
 
@@ -160,7 +205,9 @@ def _stop_share(text: str) -> float:
 
 def labels(page_blocks: list[tuple[str, int, _Part]]) -> list[int]:
     """First and second pass."""
-    share = [_stop_share(t) if len(t) >= SHORT and not p.boilerplate else 0.0 for t, _, p in page_blocks]
+    share = [_stop_share(t) if len(t) >= SHORT and p.mark != _NO_TEXT else 0.0 for t, _, p in page_blocks]
+    settle(page_blocks, share)
+    share = [0.0 if p.boilerplate else s for s, (_, _, p) in zip(share, page_blocks)]
     known_language = max(share, default=0) >= STOPS_LOW
     marked_text = any(p.text and not p.boilerplate for _, _, p in page_blocks)
     first = []

@@ -100,7 +100,15 @@ SENTENCE = "The first of the paragraphs is about a thing that was in the house a
         (f"<div id=cookieNotice>{SENTENCE}</div><main><p>{SENTENCE}</main><div class=sidebar>{SENTENCE}</div>", SENTENCE),
         (f"<article><p>{SENTENCE}</p><script>var t='</p>'</script><style>p{{}}</style><p>a<b>b</b> c<br>d</article>", f"{SENTENCE} ab c d"),
         (f"<p title='a>b'>{SENTENCE}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>", SENTENCE),
-        (f"<form><div><article><p>{SENTENCE}</p></article></div>", ""),
+        (f"<form><div><article><p>{SENTENCE}</p></article></div>", SENTENCE),
+        (f"<form id=page><nav>{SENTENCE}</nav><p>{SENTENCE}</p><p>{SENTENCE}</p><div class=search><p>{SENTENCE}</p></div></form>", f"{SENTENCE} {SENTENCE}"),
+        (f"<div class='content with-sidebar'><article><p>{SENTENCE}</p></article><div class=sidebar>{SENTENCE[:80]}</div></div>", SENTENCE),
+        (f"<div class='no-sidebar'><p>{SENTENCE}</p></div>", SENTENCE),
+        (f"<div id='toc-page'><main><p>{SENTENCE}</p></main></div>", SENTENCE),
+        (f"<div class='post tags-shown'><p>{SENTENCE}</p><p>{SENTENCE}</p><div class=tags>a, b</div></div><div class=related>{SENTENCE}</div>", f"{SENTENCE} {SENTENCE}"),
+        (f"<div class=post><p>{SENTENCE}</p></div><div class=comments>{SENTENCE}<p>{SENTENCE}<p>{SENTENCE}</div>", SENTENCE),
+        (f"<div class='search-results'><div class=comment-page><p>{SENTENCE}</p></div></div>", SENTENCE),
+        (f"<div class='with-sidebar'><p>{'word ' * 60}</p></div>", ("word " * 60).strip()),
         (f"<div><form><input></div><article><p>{SENTENCE}</p></article>", SENTENCE),
     ],
 )
@@ -240,7 +248,7 @@ def test_pipeline_stages(spark, sf_dir):
     left = {r.doc_id for r in clean.select("doc_id").collect()}
     wrong = [d for d, t in labels.items() if (d in left) == bool(t)]
     assert len(wrong) <= 2
-    near = {r.doc_id for r in neardup.near_duplicates(docs).filter("kept").collect()}
+    near = {r.doc_id for r in neardup.near_duplicates(docs, percent=corpus_pipeline.NEAR_PERCENT).filter("kept").collect()}
     once = stages["near_duplicates"](spark, docs, sf_dir)
     assert once.columns == docs.columns and {r.doc_id for r in once.collect()} == near
     hit = {r.doc_id for r in queries.op8(spark, sf_dir).filter("contaminated").collect()}
