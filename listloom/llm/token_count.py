@@ -15,8 +15,6 @@ columns pass through; an input column named like a result is replaced.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +32,6 @@ FREQUENT = 1 << 16
 _TOP = 4096
 
 
-@lru_cache(maxsize=1)
 def _model(path: str):
     import sentencepiece
 
@@ -73,8 +70,15 @@ def _texts(joined: np.ndarray, begin: np.ndarray):
 
 
 def _lengths(path: str):
-    # the line feed before a pre-token keeps the model from putting a space there; it and the space before it are two tokens
-    return lambda texts: [len(ids) - 2 for ids in _model(path).encode(texts, num_threads=1)]
+    held = []  # the model, once a task has asked; it travels empty
+
+    def lengths(texts):
+        if not held:
+            held.append(_model(path))
+        # the line feed before a pre-token keeps the model from putting a space there; it and the space before it are two tokens
+        return [len(ids) - 2 for ids in held[0].encode(texts, num_threads=1)]
+
+    return lengths
 
 
 def frequent(docs: DataFrame, model: str, size: int = FREQUENT) -> Slots:

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -387,3 +390,22 @@ def test_digest_columns(spark, sf_dir):
     packed = queries.op9(spark, sf_dir)
     assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert hashlib.sha256(b"").hexdigest() in {r.items_sha256 for r in queries.op8(spark, sf_dir).collect()}
+
+
+def test_token_counts_where_workers_lack_the_package(tmp_path):
+    """Only the driver can import the package: functions must travel whole, more than once in one worker."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from listloom.llm import queries, token_count
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(i, "some words and a few others " * (i % 5)) for i in range(50)], "doc_id long, text string")
+for _ in range(2):
+    rows = token_count.count_tokens(docs, queries.tokenizer_file("piece_bpe_32k.model")).collect()
+print("counted", len(rows), sum(r.n_tokens > 0 for r in rows))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "counted 50 40" in done.stdout, done.stderr[-2000:]
