@@ -64,6 +64,8 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
 def _as_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.StructType, T.MapType)):
         return F.to_json(col)
+    if isinstance(dtype, T.VariantType):
+        return F.try_variant_get(col, "$", "string")
     if isinstance(dtype, T.ArrayType):
         return F.array_join(F.transform(col, lambda v: _as_text(v, dtype.elementType)), ", ")
     if isinstance(dtype, T.BooleanType):
@@ -73,6 +75,11 @@ def _as_text(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def named_column(name: str) -> Column:
+    """A top-level column whatever characters its name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def flatten(df: DataFrame, map_keys: dict[str, list[str]] | None = None) -> DataFrame:
     """One text column per leaf; structs become ``column_field``, lists joined text.
 
@@ -83,7 +90,7 @@ def flatten(df: DataFrame, map_keys: dict[str, list[str]] | None = None) -> Data
     named = map_keys or {}
     out = []
     for field in df.schema.fields:
-        col, dtype = df[field.name], field.dataType
+        col, dtype = named_column(field.name), field.dataType
         if isinstance(dtype, T.StructType):
             leaves = [(f"{field.name}_{f.name}", col[f.name], f.dataType) for f in dtype.fields]
         elif isinstance(dtype, T.MapType) and field.name in named:
@@ -97,6 +104,10 @@ def flatten(df: DataFrame, map_keys: dict[str, list[str]] | None = None) -> Data
 def nested_as_json(df: DataFrame) -> DataFrame:
     """Complex columns as JSON text, everything else unchanged."""
     nested = (T.ArrayType, T.MapType, T.StructType)
-    return df.select(
-        *[F.to_json(df[f.name]).alias(f.name) if isinstance(f.dataType, nested) else df[f.name] for f in df.schema.fields]
-    )
+
+    def one(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.VariantType):
+            return _as_text(named_column(field.name), field.dataType).alias(field.name)
+        return F.to_json(named_column(field.name)).alias(field.name) if isinstance(field.dataType, nested) else named_column(field.name)
+
+    return df.select(*[one(f) for f in df.schema.fields])

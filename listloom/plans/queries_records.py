@@ -52,6 +52,58 @@ def s1_bad(spark, sf):
     return records.unreadable_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
+#: A log as a plain collector leaves it: no ``seq``, keys of its own, several files in order.
+_PLAIN = [c for c in RECORD_COLS if c != "seq"]
+_EXTRA_SQL = """place_id, CASE WHEN dup = 0 THEN k END AS k, CASE WHEN dup = 1 THEN upper(name) END AS name_2,
+  CASE WHEN dup = 1 THEN 'second' ELSE CAST(k AS VARCHAR) END AS mixed"""
+
+
+def write_plain_log(spark, sf, path):
+    """In the order of ``seq``, which is left out; blank and broken lines between."""
+    rows = biz(spark, sf).orderBy("seq")
+    own = F.to_json(F.struct(*_PLAIN, "place_id", F.when(F.col("dup") == 0, F.col("k")).alias("k")))
+    odd = F.when(F.col("dup") == 1, F.concat(F.lit(',"Name":'), F.to_json(F.to_variant_object(F.array(F.upper("name")))), F.lit(',"mixed":"second"}')))
+    odd = F.regexp_replace(odd, r'"Name":\[(.*)\],"mixed"', '"Name":$1,"mixed"')
+    line = F.concat(F.expr("left(own, length(own) - 1)"), F.coalesce(odd, F.concat(F.lit(',"mixed":'), F.col("k").cast("string"), F.lit("}"))))
+    rows = rows.withColumn("own", own).withColumn("line", line)
+    noise = F.when(F.col("seq") % 10 == 0, F.array(F.lit(" \t"), F.col("line"), F.lit(""))).otherwise(F.array("line"))
+    rows.select(F.explode(noise).alias("value")).write.text(path)
+
+
+@query("s1_unnumbered_log", BIZ + f"SELECT row_number() OVER (ORDER BY seq) AS seq, {', '.join(_PLAIN)} FROM biz")
+def s1_unnumbered(spark, sf):
+    path = work_path(spark, "log")
+    write_plain_log(spark, sf, path)
+    return records.read_log(spark, path).select(*RECORD_COLS)
+
+
+@query("u4_unknown_keys", BIZ + f"SELECT row_number() OVER (ORDER BY seq) AS seq, {_EXTRA_SQL} FROM biz")
+def u4_unknown(spark, sf):
+    path = work_path(spark, "log")
+    write_plain_log(spark, sf, path)
+    wide = records.widened(records.read_log(spark, path))
+    return wide.select("seq", "place_id", "k", F.col("Name_2").alias("name_2"), F.try_variant_get("mixed", "$", "string").alias("mixed"))
+
+
+@query("u4_unknown_keys_csv", BIZ + f"""SELECT CAST(row_number() OVER (ORDER BY seq) AS VARCHAR) AS seq, coalesce(place_id, '') AS place_id,
+  coalesce(nullif(CAST(k AS VARCHAR), '0'), '') AS k, coalesce(name_2, '') AS name_2, coalesce(mixed, '') AS mixed FROM (SELECT seq, {_EXTRA_SQL} FROM biz)""")
+def u4_unknown_csv(spark, sf):
+    path = work_path(spark, "log")
+    write_plain_log(spark, sf, path)
+    records.write_csv(records.read_log(spark, path), f"{path}-csv")
+    cols = spark.read.options(header="true", quote='"', escape='"', multiLine="true").csv(f"{path}-csv").fillna("")
+    return cols.select("seq", "place_id", "k", F.col("Name_2").alias("name_2"), "mixed")
+
+
+@query("u4_unknown_keys_json", BIZ + f"SELECT row_number() OVER (ORDER BY seq) AS seq, {_EXTRA_SQL} FROM biz")
+def u4_unknown_json(spark, sf):
+    path = work_path(spark, "log")
+    write_plain_log(spark, sf, path)
+    records.write_json(records.read_log(spark, path), f"{path}-json")
+    back = spark.read.schema("seq long, place_id string, k long, Name_2 string, mixed string").json(f"{path}-json")
+    return back.withColumnRenamed("Name_2", "name_2")
+
+
 @query(
     "s2_merge_checkpoints",
     BIZ + f"""SELECT {d_record_id()} AS _id, seq,

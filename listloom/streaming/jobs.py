@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.quality import nested_as_json
 from ..operators.ordering import with_serial
 from ..schema import RECORD
+from ..sources import records
 
 # Fixed values -------------------------------------------------------------------
 FLUSH_SECONDS = 5
@@ -28,17 +29,21 @@ FILES_PER_BATCH = 1000
 ONE_TASK_ROWS = 100_000
 # --------------------------------------------------------------------------------
 
-_CORRUPT = "_corrupt_record"
 _CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""}
 
 
-def log_stream(spark: SparkSession, path: str, schema: T.StructType = RECORD, files_per_batch: int | None = None) -> DataFrame:
-    """The record log as it grows; unreadable lines are left out, as ``records.read_log`` does."""
-    full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    reader = spark.readStream.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+def log_stream(
+    spark: SparkSession, path: str, schema: T.StructType = RECORD, files_per_batch: int | None = None, rest: str | None = records.REST
+) -> DataFrame:
+    """The record log as it grows; unreadable lines are left out and unknown keys kept in ``rest``,
+    as ``records.read_log`` does. Lines are not numbered: files arrive in an order of their own."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    lines = reader.text(path).filter(F.col("value").rlike(r"\S")).select(F.col("value").alias("line"))
+    good = records.parsed(lines, schema).filter("readable")
+    kept = [records.rest_of("line", schema).alias(rest)] if rest else []
+    return good.select(*[F.col(f"record.`{name}`").alias(name) for name in schema.names], *kept)
 
 
 def request_stream(spark: SparkSession, path: str, schema: T.StructType, delay: str = "10 minutes", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -101,10 +106,12 @@ def save_live(
         batch.persist()
         try:
             part = f"batch={batch_id}"
+            # each batch has columns for its own unknown keys; the table, which has one schema, keeps them as VARIANT
+            wide = records.widened(batch)
             if "csv" in formats:
-                nested_as_json(batch).write.mode("overwrite").options(**_CSV).csv(f"{folder}/csv/{part}")
+                nested_as_json(wide).write.mode("overwrite").options(**_CSV).csv(f"{folder}/csv/{part}")
             if "json" in formats:
-                batch.write.mode("overwrite").json(f"{folder}/json/{part}")
+                wide.write.mode("overwrite").json(f"{folder}/json/{part}")
             if "table" in formats:
                 batch.write.mode("overwrite").parquet(f"{folder}/table/{part}")
             before = _arrived(batch.sparkSession, folder, batch_id)

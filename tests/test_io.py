@@ -31,13 +31,73 @@ def test_read_log_skips_blank_and_broken(spark, tmp_path):
     assert bad == ["{broken", '{"seq": "text"}'] or bad == ['{"seq": "text"}', "{broken"]
 
 
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    """Several files in many blocks: the number follows the paths and the lines, and no task numbers them all."""
+    for n, lines in enumerate((3000, 0, 1, 2500)):
+        rows = [line(name=f"{n}-{i}", pad="p" * (i % 90)) if i % 11 else ("", " \t", "{broken")[i % 3] for i in range(lines)]
+        write(f"{tmp_path}/log", f"f{n}.jsonl", rows)
+    expected = [f"{n}-{i}" for n, lines in enumerate((3000, 0, 1, 2500)) for i in range(lines) if i % 11]
+    read = "spark.sql.files.maxPartitionBytes"
+    for size in ("10000", "777", "128m"):
+        spark.conf.set(read, size)
+        try:
+            df = records.read_log(spark, f"{tmp_path}/log")
+            rows = df.select("seq", "name").collect()
+            assert size == "128m" or df.rdd.getNumPartitions() > 20
+            kept = df.filter("name = '0-1000' or rest is null").select("seq", "name").collect()
+        finally:
+            spark.conf.unset(read)
+        assert [r.name for r in sorted(rows)] == expected
+        assert len({r.seq for r in rows}) == len(rows)
+        assert [(r.seq, r.name) for r in kept] == [(r.seq, r.name) for r in rows if r.name == "0-1000"]
+    # every line that is not blank has a number, the unreadable ones too
+    numbers = [r.seq for r in rows] + [r.line_no for r in records.unreadable_lines(spark, f"{tmp_path}/log").collect()]
+    assert sorted(numbers) == list(range(1, len(numbers) + 1))
+
+
+def test_counts_of_many_blocks_are_not_broadcast(spark, tmp_path, monkeypatch):
+    write(f"{tmp_path}/log", "a.jsonl", [line(name=str(i)) for i in range(50)])
+    monkeypatch.setattr(records, "BLOCKS_BROADCAST", 0)
+    rows = records.read_log(spark, f"{tmp_path}/log")
+    assert [r.name for r in sorted(rows.select("seq", "name").collect())] == [str(i) for i in range(50)]
+
+
+def test_unknown_keys_are_kept(spark, tmp_path):
+    write(f"{tmp_path}/log", "a.jsonl", [
+        line(name="a", place_id="p1", open={"mo": [1, 2], "x y": None}, Name="A", none=None),
+        line(name="b", **{"x.y`'\"[0]": 1.5, "mixed": 1, "OBJECT<a": True}),
+        line(name="c", mixed={"deep": "v"}, open=None), line(name="d"),
+    ])
+    df = records.read_log(spark, f"{tmp_path}/log")
+    assert [r.none for r in df.select(F.col("rest").isNull().alias("none")).collect()] == [False, False, False, True]
+    wide = records.widened(df)
+    rows = {r.name: r.asDict(True) for r in wide.collect()}
+    assert rows["a"]["place_id"] == "p1" and rows["a"]["open"]["mo"] == [1, 2] and rows["a"]["Name_2"] == "A" and rows["a"]["none"] is None
+    assert float(rows["b"]["x.y`'\"[0]"]) == 1.5 and rows["b"]["OBJECT<a"] is True and rows["b"]["place_id"] is None
+    assert rows["c"]["mixed"].toPython() == {"deep": "v"} and rows["b"]["mixed"].toPython() == 1
+    assert set(rows["d"]) == set(wide.columns) and "rest" not in wide.columns
+    records.write_json(df, f"{tmp_path}/json")
+    back = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()]
+    assert {r["name"]: r["mixed"] for r in back} == {"a": None, "b": 1, "c": {"deep": "v"}, "d": None}
+    paths = records.export_all(df, f"{tmp_path}/all")
+    for kind in ("csv", "table"):
+        got = spark.read.options(header="true", quote='"', escape='"').csv(paths["csv"]) if kind == "csv" else spark.read.parquet(paths["table"])
+        assert {r.name: r.mixed or "" for r in got.collect()} == {"a": "", "b": "1", "c": '{"deep":"v"}', "d": ""}
+    # a log without unknown keys has none to open
+    write(f"{tmp_path}/plain", "a.jsonl", [line(name="a"), "null", "5", "[]"])
+    assert records.widened(records.read_log(spark, f"{tmp_path}/plain")).columns == RECORD.names
+
+
 def test_merge_checkpoints_newest_wins(spark, tmp_path):
     d = f"{tmp_path}/cp"
     write(d, "x_checkpoint_9.jsonl", [line(_id="a", seq=1, name="old"), line(_id="b", seq=2, name="b9")])
     write(d, "x_checkpoint_10.jsonl", [line(_id="a", seq=1, name="new"), "", line(_id="c", seq=3, name="first"), line(_id="c", seq=4, name="second")])
     write(d, "other.jsonl", [line(_id="z", seq=9, name="not a checkpoint")])
-    got = {r._id: r.name for r in records.merge_checkpoints(spark, d).collect()}
-    assert got == {"a": "new", "b": "b9", "c": "second"}
+    write(d, "x_checkpoint_8.jsonl", [line(_id="e", name="1st", key=1), line(_id="e", name="2nd", key=2)])
+    rows = records.merge_checkpoints(spark, d)
+    got = {r._id: r.name for r in rows.collect()}
+    assert got == {"a": "new", "b": "b9", "c": "second", "e": "2nd"}
+    assert {r._id: r.key for r in records.widened(rows).collect()}["e"] == 2
 
 
 def test_csv_round_trip_with_quotes_and_lines(spark, tmp_path):
@@ -91,6 +151,20 @@ def drain(q):
     assert q.exception() is None
 
 
+def test_stream_sinks_keep_unknown_keys(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    write(src, "a.jsonl", [line(_id="1", seq=1, name="a", place_id="p1"), "", "{broken", line(_id="2", seq=2, name="b", extra=[1])])
+    drain(jobs.save_live(jobs.log_stream(spark, src, files_per_batch=1), out, cp, available_now=True))
+    write(src, "b.jsonl", [line(_id="3", seq=3, name="c", other=2.5)])
+    drain(jobs.save_live(jobs.log_stream(spark, src, files_per_batch=1), out, cp, available_now=True))
+    found = [json.loads(r.value) for r in spark.read.text(f"{out}/json/*").collect()]
+    assert {r["_id"]: {k: v for k, v in r.items() if k in ("place_id", "extra", "other")} for r in found} == {"1": {"place_id": "p1"}, "2": {"extra": [1]}, "3": {"other": 2.5}}
+    table = {r._id: r.rest and r.rest.toPython() for r in spark.read.parquet(f"{out}/table").collect()}
+    assert table == {"1": {"place_id": "p1"}, "2": {"extra": [1]}, "3": {"other": 2.5}}
+    csv = spark.read.options(header="true", quote='"', escape='"').csv(f"{out}/csv/batch=0")
+    assert {r._id: (r.place_id, r.extra) for r in csv.collect()} == {"1": ("p1", None), "2": (None, "[1]")}
+
+
 def record(i):
     return line(_id=f"r{i % 40}", seq=i, name=f"n{i}", scraped_at=1.7e9 + i)
 
