@@ -4,7 +4,8 @@ The score is the sum of four weighted parts, so at a threshold of 80 two records
 match if (a) their phones are equal, or (b) name, address and category all reach 100.
 Scores are whole multiples of 0.1; they are rounded to four decimals before any comparison
 with the threshold, so no floating-point sum decides a match, whatever the size of the block.
-Both are equi joins that miss no pair:
+Both are equi joins that miss no pair; below 80, and where scores are weighed anew by the fields
+that both records have (``normalize``), (b) becomes a join on similar texts (``ratio_join``):
 
 * rows equal in all four compared fields form one *profile*; it is compared once;
 * profiles equal in name, address and category but not in phone all match each other at
@@ -17,6 +18,8 @@ such a string is left out of the join key of (b) and compared instead.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,11 +38,11 @@ from ..functions.text import clean_phone, clean_string
 from ..session import cut
 from .blocks import by_cell, to_cells, with_block_size
 from .components import connected_components
+from .ratio_join import ROUNDS_UP_FROM, similar_by
 
 SMALL_BLOCK = 64
 CELL_PART = 2000
 _STRIP = 128
-_ROUNDS_UP_FROM = 100
 _TEXTS = ("name", "address", "category")
 _COMPARED = [*(f"n_{t}" for t in _TEXTS), "n_phone"]
 
@@ -67,7 +70,7 @@ def _self_score(p: DataFrame) -> Column:
     return full("n_name", "name") + full("n_address", "address") + full("n_phone", "phone") + full("n_category", "category")
 
 
-def member_links(n: DataFrame, p: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def member_links(n: DataFrame, p: DataFrame, threshold: float = MATCH_THRESHOLD, normalize: bool = False) -> DataFrame:
     """``normalized`` rows of one profile linked to its first row, where such rows match at all."""
     first = p.filter("members > 1").select(*[F.col(c).alias("f_" + c) for c in _COMPARED], "rep").withColumn("__key", F.xxhash64(*["f_" + c for c in _COMPARED]))
     same = [F.col(c).eqNullSafe(F.col("f_" + c)) for c in _COMPARED]
@@ -75,7 +78,9 @@ def member_links(n: DataFrame, p: DataFrame, threshold: float = MATCH_THRESHOLD)
     for s in same:
         cond = cond & s
     joined = n.withColumn("k", F.xxhash64(*_COMPARED)).join(first, cond).filter("seq > rep")
-    return _links(joined, F.col("rep"), F.col("seq"), _self_score(joined), "same_profile").filter(F.col("score") >= threshold)
+    own = _self_score(joined)
+    score = F.when(own > 0, F.lit(100.0)).otherwise(own) if normalize else own
+    return _links(joined, F.col("rep"), F.col("seq"), score, "same_profile").filter(F.col("score") >= threshold)
 
 
 def _links(df: DataFrame, a: Column, b: Column, score: Column, kind: str) -> DataFrame:
@@ -88,22 +93,30 @@ def _sides(p: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return p.select(*keys, *[F.col(c).alias(side + c) for c in [*_COMPARED, "rep"] if c not in keys])
 
 
-def _scored(pairs: DataFrame, phone_equal: Column, threshold: float) -> DataFrame:
+def _present_weight(same_phone: bool) -> Column:
+    """The weights of the texts that both sides of a pair have, and of an equal phone."""
+    both = [F.when(F.col(f"l_n_{t}").isNotNull() & F.col(f"r_n_{t}").isNotNull(), F.lit(WEIGHTS[t])).otherwise(F.lit(0.0)) for t in _TEXTS]
+    return sum(both, F.lit(WEIGHTS["phone"] if same_phone else 0.0))
+
+
+def _scored(pairs: DataFrame, phone_equal: Column, threshold: float, weight: Column | None = None) -> DataFrame:
     """Adds ``score`` to pairs with l_ and r_ columns; the length bound prunes before the UDF."""
     bounds = {t: ratio_bound(F.col(f"l_n_{t}"), F.col(f"r_n_{t}")) for t in _TEXTS}
     bound = weighted_score(bounds["name"], bounds["address"], phone_equal, bounds["category"])
+    bound = bound if weight is None else bound / weight
     likely = pairs.filter(F.round(bound, 4) >= threshold)
     ratios = {t: similarity_ratio(F.col(f"l_n_{t}"), F.col(f"r_n_{t}")) for t in _TEXTS}
     scored = likely.withColumns({f"s_{t}": c for t, c in ratios.items()})
     score = weighted_score(F.col("s_name"), F.col("s_address"), phone_equal, F.col("s_category"))
+    score = score if weight is None else score / weight
     return scored.withColumn("score", F.round(score, 4)).filter(F.col("score") >= threshold)
 
 
-def _pairs_in_small_blocks(p: DataFrame, keys: list[str], same_phone: bool, threshold: float) -> DataFrame:
+def _pairs_in_small_blocks(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, normalize: bool) -> DataFrame:
     pairs = _sides(p, "l_", keys).join(_sides(p, "r_", keys), keys).filter("l_rep < r_rep")
     if not same_phone:
         pairs = pairs.filter("not coalesce(l_n_phone = r_n_phone, false)")
-    return _scored(pairs, F.lit(same_phone), threshold).select("l_rep", "r_rep", "score")
+    return _scored(pairs, F.lit(same_phone), threshold, _present_weight(same_phone) if normalize else None).select("l_rep", "r_rep", "score")
 
 
 def _length_bounds(left: pd.Series, right: pd.Series, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -113,7 +126,7 @@ def _length_bounds(left: pd.Series, right: pd.Series, i: np.ndarray, j: np.ndarr
     return np.where(both, np.floor(200.0 * np.minimum(a, b) / np.where(both, a + b, 1.0) + 0.5), 0.0)
 
 
-def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold: float) -> DataFrame:
+def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, normalize: bool) -> DataFrame:
     """Exact comparison within large blocks, one bounded cell per task step."""
 
     weights = [WEIGHTS[t] for t in _TEXTS]
@@ -134,11 +147,15 @@ def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold:
             # start from upper bounds by length, then put in the true ratios one by one
             parts = [_length_bounds(left[f"n_{t}"], right[f"n_{t}"], i, j) * w for t, w in zip(_TEXTS, weights)]
             base = 100.0 * WEIGHTS["phone"] if same_phone else 0.0
+            weight = np.ones(len(i))
+            if normalize:
+                have = [(left[f"n_{t}"].notna().to_numpy()[i] & right[f"n_{t}"].notna().to_numpy()[j]) * w for t, w in zip(_TEXTS, weights)]
+                weight = base / 100.0 + sum(have)
             for k, t in enumerate(_TEXTS):
-                likely = np.round(base + sum(parts), 4) >= threshold
-                i, j, parts = i[likely], j[likely], [p[likely] for p in parts]
+                likely = np.round((base + sum(parts)) / weight, 4) >= threshold
+                i, j, parts, weight = i[likely], j[likely], [p[likely] for p in parts], weight[likely]
                 parts[k] = ratios_of(left[f"n_{t}"].to_list(), right[f"n_{t}"].to_list(), i, j) * weights[k]
-            score = np.round(base + sum(parts), 4)
+            score = np.round((base + sum(parts)) / weight, 4)
             good = score >= threshold
             a, b = left["rep"].to_numpy()[i[good]], right["rep"].to_numpy()[j[good]]
             found.append(pd.DataFrame({"l_rep": np.minimum(a, b), "r_rep": np.maximum(a, b), "score": score[good]}))
@@ -149,39 +166,87 @@ def _pairs_in_cells(p: DataFrame, keys: list[str], same_phone: bool, threshold:
     return by_cell(cells, [*keys, "part_a", "part_b"]).applyInPandas(compare, f"l_rep {rep_type}, r_rep {rep_type}, score double")
 
 
-def _block_pairs(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, small: int) -> DataFrame:
+def _block_pairs(p: DataFrame, keys: list[str], same_phone: bool, threshold: float, small: int, normalize: bool = False) -> DataFrame:
     """Matches within blocks, among pairs whose phones are equal or are not, as asked."""
     blocks = with_block_size(p, keys)
-    few = _pairs_in_small_blocks(blocks.filter(F.col("block_n") <= small), keys, same_phone, threshold)
-    many = _pairs_in_cells(blocks.filter(F.col("block_n") > small), keys, same_phone, threshold)
+    few = _pairs_in_small_blocks(blocks.filter(F.col("block_n") <= small), keys, same_phone, threshold, normalize)
+    many = _pairs_in_cells(blocks.filter(F.col("block_n") > small), keys, same_phone, threshold, normalize)
     return few.unionByName(many)
 
 
-def similar_links(df: DataFrame, threshold: float = MATCH_THRESHOLD, small_block: int = SMALL_BLOCK) -> DataFrame:
+def scores_by_phone(df: DataFrame, threshold: float = 0.0, small_block: int = SMALL_BLOCK) -> DataFrame:
+    """(a, b, score) of all profiles that share a phone, by their first rows, from ``threshold`` on."""
+    p = profiles(normalized(df)).filter("n_phone is not null")
+    return _block_pairs(p, ["n_phone"], True, threshold, small_block).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), "score")
+
+
+def text_routes(threshold: float, normalize: bool = False) -> dict[str, int]:
+    """For each text, the least ratio by which a pair without an equal phone must be similar in some text.
+
+    The weights of what a pair lacks in name, address and category must leave ``threshold``, so not both name and address
+    can lack more than their weighted share. With ``normalize`` a pair that has neither in common may match by category.
+    """
+    w = WEIGHTS
+
+    def least(*texts: str) -> float:
+        """Some of these texts must have this ratio, the category being equal if both have one, or missing."""
+        have = sum(w[t] for t in texts)
+        if not normalize:
+            return (threshold - 100 * w["category"]) / have
+        return min(threshold, (threshold * (have + w["category"]) - 100 * w["category"]) / have)
+
+    if normalize:
+        found = {"name": min(least("name"), least("name", "address")), "address": min(least("address"), least("name", "address")), "category": threshold}
+    else:
+        found = {"name": least("name", "address"), "address": least("name", "address")}
+    return {t: math.ceil(round(r, 6)) for t, r in found.items()}
+
+
+def _unequal_phones(p: DataFrame, threshold: float, normalize: bool) -> list[DataFrame]:
+    """Links of profiles whose phones are not equal, below 80 or with new weights."""
+    routes = text_routes(threshold, normalize)
+    if min(routes.values()) < 1:
+        raise ValueError("at this threshold records match without any similar text")
+    out, skip = [], {}
+    for t, least in routes.items():
+        out.append(similar_by(p, t, least, threshold, normalize, dict(skip), equal=normalize))
+        skip[t] = least
+    return [_links(d, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair") for d in out]
+
+
+def _same_text(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of profiles equal in all three texts to the first of them; and profiles with texts too long for that."""
+    full = p.filter(" and ".join(f"n_{t} is not null" for t in _TEXTS))
+    long = F.greatest(*[F.length(f"n_{t}") for t in _TEXTS]) >= ROUNDS_UP_FROM
+    keys = [f"n_{t}" for t in _TEXTS]
+    heads = full.filter(~long).groupBy(*keys).agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    same = full.filter(~long).join(heads, keys).filter("rep > head")
+    return _links(same, F.col("head"), F.col("rep"), F.lit(80.0), "same_text"), full.filter(long)
+
+
+def similar_links(df: DataFrame, threshold: float = MATCH_THRESHOLD, small_block: int = SMALL_BLOCK, normalize: bool = False) -> DataFrame:
     """J3 in compact form: (a, b, score, kind), a < b.
 
     ``pair`` links are matches of two profiles, given by their first rows. ``same_profile``
     and ``same_text`` links tie the members of a group to its first one; any two members
-    match with the score shown. ``expand_links`` lists every single pair.
+    match with the score shown. ``expand_links`` lists every single pair. With ``normalize`` a score is weighed anew
+    by the fields that both records have. Exact at any threshold above 10; the lower it is, the more pairs match.
     """
-    if threshold < 80:
-        raise ValueError("below 80 two records may match on name and address alone: no exact block exists")
     n = cut(normalized(df), "normalized")
     p = cut(profiles(n), "profiles")
-    by_phone = _block_pairs(p.filter("n_phone is not null"), ["n_phone"], True, threshold, small_block)
-    out = [member_links(n, p, threshold), _links(by_phone, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair")]
-    if threshold <= 80:
-        full = p.filter(" and ".join(f"n_{t} is not null" for t in _TEXTS))
-        long = F.greatest(*[F.length(f"n_{t}") for t in _TEXTS]) >= _ROUNDS_UP_FROM
-        keys = [f"n_{t}" for t in _TEXTS]
-        heads = full.filter(~long).groupBy(*keys).agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-        same = full.filter(~long).join(heads, keys).filter("rep > head")
-        out.append(_links(same, F.col("head"), F.col("rep"), F.lit(80.0), "same_text"))
-        masked = full.filter(long).withColumns(
-            {f"k_{t}": F.when(F.length(f"n_{t}") >= _ROUNDS_UP_FROM, "*").otherwise(F.col(f"n_{t}")) for t in _TEXTS}
-        )
-        near = _block_pairs(masked, [f"k_{t}" for t in _TEXTS], False, threshold, small_block)
-        out.append(_links(near, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair"))
+    by_phone = _block_pairs(p.filter("n_phone is not null"), ["n_phone"], True, threshold, small_block, normalize)
+    out = [member_links(n, p, threshold, normalize), _links(by_phone, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair")]
+    if normalize:
+        out += _unequal_phones(p, threshold, True)
+    elif threshold <= 80:
+        same, long = _same_text(p)
+        out.append(same)
+        if threshold < 80:
+            out += _unequal_phones(p, threshold, False)
+        else:
+            masked = long.withColumns({f"k_{t}": F.when(F.length(f"n_{t}") >= ROUNDS_UP_FROM, "*").otherwise(F.col(f"n_{t}")) for t in _TEXTS})
+            near = _block_pairs(masked, [f"k_{t}" for t in _TEXTS], False, threshold, small_block)
+            out.append(_links(near, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair"))
     result = out[0]
     for d in out[1:]:
         result = result.unionByName(d)
@@ -223,7 +288,7 @@ def expand_links(links: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def duplicate_groups(df: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def duplicate_groups(df: DataFrame, threshold: float = MATCH_THRESHOLD, normalize: bool = False) -> DataFrame:
     """C4: (seq, group_id) for every record that matches another, groups closed transitively."""
-    groups = connected_components(similar_links(df, threshold))
+    groups = connected_components(similar_links(df, threshold, normalize=normalize))
     return groups.select(F.col("node").alias("seq"), F.col("component").alias("group_id"))

@@ -562,9 +562,7 @@ def j3(spark, sf):
 )
 def x33(spark, sf):
     """Scores of all profiles that share a phone, whatever their level."""
-    p = similar.profiles(similar.normalized(businesses(spark, sf))).filter("n_phone is not null")
-    links = similar._block_pairs(p, ["n_phone"], True, 0.0, similar.SMALL_BLOCK)
-    return links.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), "score")
+    return similar.scores_by_phone(businesses(spark, sf))
 
 
 @query("x32_string_ratio", BIZ + f"SELECT seq, {_d_ratio('name', 'description')} AS ratio FROM biz")
@@ -583,6 +581,39 @@ def j3_pairs(spark, sf):
     return similar.expand_links(similar.similar_links(businesses(spark, sf)))
 
 
+# The suppliers as records with similar names and addresses; some lack a field. The twin compares all pairs.
+_SHOPS = """SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE s_name || ' ' || r_name END AS name,
+  CASE WHEN s_suppkey % 3 = 2 THEN '' ELSE CAST(s_suppkey % 40 AS STRING) || ' Main St., ' || n_name END AS address,
+  CASE WHEN s_suppkey % 2 = 0 THEN '212555' || lpad(CAST(s_suppkey % 9 AS STRING), 4, '0') END AS phone, r_name AS category
+FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey"""
+
+
+def _shops(spark, sf):
+    return spark.sql(_SHOPS.format(**{t: f"parquet.`{sf}/{t}.parquet`" for t in ("supplier", "nation", "region")})).withColumnRenamed("phone", "primary_phone")
+
+
+def _d_all_pairs(threshold: float, normalize: bool) -> str:
+    weight = "coalesce(0.4 * (rn >= 0)::INT, 0) + coalesce(0.3 * (ra >= 0)::INT, 0) + coalesce(0.2 * (xp = yp OR xp <> yp)::INT, 0) + coalesce(0.1 * (rc >= 0)::INT, 0)"
+    return f"""
+WITH shops AS ({_SHOPS.format(supplier="supplier", nation="nation", region="region")}),
+norm AS (SELECT seq, nullif(lower(name), '') AS n, nullif({d_clean('address')}, '') AS a, nullif(lower(category), '') AS c, {d_phone('phone')} AS p FROM shops),
+cand AS (SELECT x.seq AS a, y.seq AS b, x.n AS xn, y.n AS yn, x.a AS xa, y.a AS ya, x.c AS xc, y.c AS yc, x.p AS xp, y.p AS yp FROM norm x JOIN norm y ON x.seq < y.seq),
+texts AS (SELECT DISTINCT xc, yc FROM cand), ratios AS (SELECT xc, yc, {_d_ratio('xc', 'yc')} AS rc FROM texts),
+rated AS (SELECT a, b, xp, yp, {_d_ratio('xn', 'yn')} AS rn, {_d_ratio('xa', 'ya')} AS ra, rc FROM cand LEFT JOIN ratios USING (xc, yc)),
+scored AS (SELECT a, b, (coalesce(0.4 * rn, 0) + coalesce(0.3 * ra, 0) + CASE WHEN xp = yp THEN 20 ELSE 0 END + coalesce(0.1 * rc, 0)) / ({weight if normalize else 1.0}) AS score FROM rated)
+SELECT a, b, CAST(round(score, 4) AS DOUBLE) AS score FROM scored WHERE round(score, 4) >= {threshold}"""
+
+
+@query("j3_similar_pairs_at_65", _d_all_pairs(65, False))
+def j3_at_65(spark, sf):
+    return similar.expand_links(similar.similar_links(_shops(spark, sf), 65.0))
+
+
+@query("j3_similar_pairs_normalized", _d_all_pairs(85, True))
+def j3_normalized(spark, sf):
+    return similar.expand_links(similar.similar_links(_shops(spark, sf), 85.0, normalize=True))
+
+
 @query(
     "c4_duplicate_groups",
     (BIZ + _NORM).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),

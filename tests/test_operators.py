@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listloom.functions.similarity import ratio_of
-from listloom.operators import cluster, competitors, components, dedup, ordering, rate, reports, similar, store, taxonomy
+from listloom.operators import cluster, competitors, components, dedup, ordering, rate, ratio_join, reports, similar, store, taxonomy
 from listloom.operators.emails import distinct_emails, ranked_emails
 from listloom.plans.views import businesses
 from tests.conftest import values
@@ -277,6 +277,85 @@ def test_similar_pairs_by_brute_force(fuzzy, small, monkeypatch):
     assert links.count() < len(want)
 
 
+def loose_records(n, seed=8):
+    """Names and addresses of a few words with typing errors; each field may be missing."""
+    rnd = random.Random(seed)
+    words = "joe anna bar cafe zed garden house grill royal star kiosk pizza noodle north old river".split()
+    streets = ["Main", "High", "Oak", "River", "Station", "Church"]
+
+    def typo(t):
+        t = list(t or "")
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            if t:
+                k = rnd.randrange(len(t))
+                t[k : k + 1] = rnd.choice([[], ["x"], [t[k], " "]])
+        return "".join(t)
+
+    out = []
+    for i in range(n):
+        if out and rnd.random() < 0.35:
+            o = rnd.choice(out)
+            out.append((i, typo(o[1]), typo(o[2]), rnd.choice([o[3], None, f"20255{i:05d}"]), rnd.choice([o[4], "bar"])))
+        else:
+            name = rnd.choice([None, "", *[" ".join(rnd.choice(words).title() for _ in range(rnd.randrange(1, 5)))] * 9])
+            address = rnd.choice([None, f"{rnd.randrange(99)} {rnd.choice(streets)} St., {rnd.choice(streets)} city", "Long Road " * 11 + rnd.choice(streets)])
+            out.append((i, name, address, rnd.choice([None, f"20255{rnd.randrange(90):05d}"]), rnd.choice(["bar", "cafe", "Restaurant", None])))
+    return out + [(n + i, "Same Name Here", "1 Same St", f"2125550{i:03d}" if i else None, "bar") for i in range(12)]
+
+
+def reweighted(x, y):
+    parts = [(0.4, (x[1] or "").lower(), (y[1] or "").lower()), (0.1, (x[4] or "").lower(), (y[4] or "").lower())]
+    clean = [" ".join("".join(c for c in (r[2] or "") if c.isalnum() or c == "_" or c.isspace()).split()) for r in (x, y)]
+    weight = sum(w for w, a, b in [*parts, (0.3, *clean)] if a and b) + (0.2 if x[3] and y[3] else 0)
+    return round(score_by_hand(x, y) / weight, 4) if weight else 0.0
+
+
+@pytest.mark.parametrize(("threshold", "normalize", "small", "cell"), [(75, False, 64, 2000), (60, False, 3, 7), (70, False, 0, 2000), (85, True, 64, 2000), (65, True, 3, 50)])
+def test_similar_pairs_at_any_threshold(spark, monkeypatch, threshold, normalize, small, cell):
+    by = similar.similar_by
+    monkeypatch.setattr(similar, "similar_by", lambda *a, **k: by(*a, **k, small=small, cell=cell))
+    rows = loose_records(160)
+    df = spark.createDataFrame(rows, "seq bigint, name string, address string, primary_phone string, category string")
+    rate = reweighted if normalize else score_by_hand
+    want = {(x[0], y[0]): rate(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :]}
+    got = similar.expand_links(similar.similar_links(df, threshold, normalize=normalize)).collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b): r.score for r in got} == pytest.approx({k: v for k, v in want.items() if v >= threshold})
+
+
+def test_texts_with_a_ratio_meet_under_one_first_key():
+    rnd = random.Random(2)
+    texts = {"".join(rnd.choice("aabcdeé ") for _ in range(rnd.randrange(1, 30))) for _ in range(160)}
+    texts |= {t[:k] + t[k + 1 :] for t in list(texts) for k in [rnd.randrange(len(t))] if len(t) > 1}
+    texts = sorted(texts)
+    ranks = {ch: [rnd.randrange(10**6) for _ in range(ratio_join.OCCURRENCES)] for t in texts for ch in t}
+    for least in (45, 60, 72, 86, 93, 100):
+        keys = {t: ratio_join.meeting_keys(t, least, ranks) for t in texts}
+        met = 0
+        for x in texts:
+            for y in texts:
+                if (len(x), x) < (len(y), y) and ratio_of(x, y) >= least:
+                    met += 1
+                    left, right = ({k[0]: k for k in keys[t] if k[3] == role} for t, role in ((x, 0), (y, 1)))
+                    common = set(left) & set(right)
+                    first = [k for k in common if len({t for t in left[k][4] if t <= left[k][2]} & {t for t in right[k][4] if t <= left[k][2]}) == left[k][1]]
+                    assert len(first) == 1, (x, y, least)
+        assert met or least == 100
+
+
+def test_few_of_all_pairs_are_looked_at(spark):
+    """Keys of the prefixes: what meets grows far below the square of the records."""
+    def met(n):
+        rnd = random.Random(1)
+        names = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(n)]
+        p = spark.createDataFrame([(i, t) for i, t in enumerate(names)], "rep bigint, n_name string").withColumn("lists", F.array(F.lit(0)))
+        rows = ratio_join._met(p, "n_name", 86, 2000, 64)
+        return rows.groupBy("key").agg((F.count_if(F.col("role") == 0) * F.count_if(F.col("role") == 1)).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+    few, many = met(500), met(2000)
+    assert many < 0.2 * 2000 * 2000 / 2 and many < 16 * max(few, 1000)
+
+
 def union_find(pairs):
     root = {}
 
