@@ -79,6 +79,12 @@ def _nearest(balls_pivots):
     return nearest
 
 
+def _by_length(d: DataFrame) -> list[DataFrame]:
+    """Distinct vectors by their number of components: those of unequal length have no cosine and are apart."""
+    lengths = sorted(r[0] for r in d.select(F.size("v")).distinct().collect())  # a model gives vectors of one length, or of a few
+    return [d.filter(F.size("v") == n) for n in lengths]
+
+
 def _balls(d: DataFrame, part: int) -> _Balls | None:
     """Vectors go to their nearest pivot; pivots are picked by hash, so dense regions get more."""
     wanted = max(1, min(MAX_PIVOTS, math.ceil(d.count() / part)))
@@ -206,11 +212,13 @@ def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_c
 
     Exact: no pair is missed. Copies are represented by their first row (``copy_links``).
     """
-    d = distinct_vectors(vectors, id_col, vector)
-    balls = _balls(d, part)
-    if balls is None:
-        return d.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"))
-    return _compare(_cells(d, balls, eps, part, set()), eps, forest=False)
+    every = distinct_vectors(vectors, id_col, vector)
+    found = every.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
+    for d in _by_length(every):
+        balls = _balls(d, part)
+        if balls is not None:
+            found = found.unionByName(_compare(_cells(d, balls, eps, part, set()), eps, forest=False))
+    return found
 
 
 def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
@@ -222,13 +230,13 @@ def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_
     any comparison; other cells return a spanning forest of their links. A dense group thus
     yields about as many links as it has members.
     """
-    d = distinct_vectors(vectors, id_col, vector)
     links = copy_links(vectors, id_col, vector)
-    balls = _balls(d, part)
-    if balls is not None:
-        sure = _sure_pairs(balls, eps)
-        compared = _compare(_cells(d, balls, eps, part, sure), eps, forest=True)
-        links = links.unionByName(compared.select("a", "b")).unionByName(_sure_links(d, balls, sure))
+    for d in _by_length(distinct_vectors(vectors, id_col, vector)):
+        balls = _balls(d, part)
+        if balls is not None:
+            sure = _sure_pairs(balls, eps)
+            compared = _compare(_cells(d, balls, eps, part, sure), eps, forest=True)
+            links = links.unionByName(compared.select("a", "b")).unionByName(_sure_links(d, balls, sure))
     groups = connected_components(links)
     labels = groups.select(F.col("node").alias(id_col), F.col("component").alias("cluster"))
     return vectors.select(id_col).join(labels, id_col, "left").select(id_col, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.presence import has
 
 HIGH_RATING = 4.5  # fixed value
+#: Keywords that are tested one after the other, and characters by which more of them are looked up.
+FEW_KEYWORDS, PIECE = 64, 4
+BUCKET = "store_bucket"
 
 
 def query_records(df: DataFrame, filters: dict | None = None, limit: int | None = 100, order: str = "seq") -> DataFrame:
@@ -40,10 +45,30 @@ def search_filter(df, min_rating=None, min_reviews=None, categories=None, max_re
     return df if max_results is None else df.orderBy(order).limit(max_results)
 
 
-def without_keywords(df: DataFrame, column: str, keywords: list[str]) -> DataFrame:
-    """drops rows whose text holds any keyword, in any case; NULL text stays."""
+def without_keywords(df: DataFrame, column: str, keywords: list[str] | DataFrame) -> DataFrame:
+    """drops rows whose text holds any keyword, in any case; NULL text stays, NULL keywords count for nothing.
+
+    ``keywords`` is a list or a table of one column, of any length. For more than ``FEW_KEYWORDS`` each different text is
+    looked up by all its pieces of up to ``PIECE`` characters among the first pieces of the keywords; what meets there is
+    compared whole.
+    """
     text = F.lower(F.coalesce(F.col(column), F.lit("")))
-    return df.filter(~reduce(lambda a, b: a | b, [text.contains(k.lower()) for k in keywords]))
+    if not isinstance(keywords, DataFrame):
+        known = sorted({k.lower() for k in keywords if k is not None})
+        if len(known) <= FEW_KEYWORDS:
+            return df.filter(~reduce(lambda a, b: a | b, [text.contains(k) for k in known], F.lit(False)))
+        keywords = df.sparkSession.createDataFrame([(k,) for k in known], "keyword string")
+    table = keywords.select(F.lower(F.col(keywords.columns[0])).alias("keyword")).filter("keyword is not null").distinct()
+    table = table.withColumn("piece", F.substring("keyword", 1, PIECE))
+    texts = df.select(text.alias("text")).distinct()
+
+    def heads(n: int) -> Column:
+        return F.transform(longest, lambda g: F.substring(g, 1, n))
+
+    longest = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{PIECE}}}))"), F.lit(1))
+    pieces = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[heads(n) for n in range(1, PIECE + 1)])))
+    met = texts.select("text", F.explode(pieces).alias("piece")).join(table, "piece").filter(F.contains("text", "keyword"))
+    return df.join(met.select(F.col("text").alias("__held")).distinct(), text == F.col("__held"), "left_anti")
 
 
 def contactable(df: DataFrame, by: str) -> DataFrame:
@@ -100,6 +125,78 @@ def upsert_fill(target, batch, id_col="id", as_of=None) -> DataFrame:
     return _upsert(target, batch, id_col, lambda hit, s, t: F.coalesce(s, t), "last_scraped", as_of)
 
 
+def _bucket(id_col: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _write_buckets(df: DataFrame, path: str, how: str) -> None:
+    """``how``: "dynamic" replaces only the folders that ``df`` has rows for."""
+    df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy(BUCKET).parquet(path)
+
+
+def create_store(df: DataFrame, path: str, id_col: str = "id", buckets: int = 64) -> None:
+    """A table that ``upsert_store`` can change in place: files in folders by a hash of the id.
+
+    A batch of m ids rewrites m folders at most, so there should be many more of them than a usual batch has ids, each still of some megabytes.
+    """
+    spark = df.sparkSession
+    _write_buckets(df.withColumn(BUCKET, _bucket(id_col, buckets)), path, "static")
+    layout = spark.createDataFrame([(id_col, buckets, df.schema.json())], "id_col string, buckets int, schema string")
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _finish(spark, path: str) -> None:
+    """Puts in place what an upsert has staged whole; does nothing twice."""
+    staged = f"{path}/_staged"
+    if not _exists(spark, staged):
+        return
+    if _exists(spark, f"{staged}/_SUCCESS"):
+        layout = spark.read.parquet(f"{path}/_layout").first()
+        schema = T.StructType.fromJson(json.loads(layout.schema)).add(BUCKET, T.IntegerType())
+        _write_buckets(spark.read.schema(schema).parquet(staged), path, "dynamic")
+    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def open_store(spark, path: str) -> DataFrame:
+    """The rows of a store, after finishing an upsert that was cut off."""
+    _finish(spark, path)
+    return _stored(spark, path).drop(BUCKET)
+
+
+def _stored(spark, path: str) -> DataFrame:
+    layout = spark.read.parquet(f"{path}/_layout").first()
+    return spark.read.schema(T.StructType.fromJson(json.loads(layout.schema)).add(BUCKET, T.IntegerType())).parquet(path)
+
+
+def upsert_store(batch: DataFrame, path: str, as_of=None, fill: bool = False) -> list[int]:
+    """J1, or J2 with ``fill``, on a store: only the folders of ids that the batch holds are read and rewritten.
+
+    Their new contents are first staged whole beside the store, then put in place folder by folder; if that is
+    cut off, the next upsert or ``open_store`` does it again. ``batch`` holds one row per id and no NULL id; one writer at a time.
+    The store must have the column of the time stamp. Returns the numbers of the folders.
+    """
+    spark = batch.sparkSession
+    _finish(spark, path)
+    layout = spark.read.parquet(f"{path}/_layout").first()
+    id_col, buckets = layout.id_col, layout.buckets
+    touched = sorted(r[0] for r in batch.select(_bucket(id_col, buckets)).distinct().collect())  # numbers below ``buckets``
+    if not touched:
+        return []
+    old = _stored(spark, path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    new = (upsert_fill if fill else upsert_overwrite)(old, batch, id_col, as_of)
+    types = {f.name: f.dataType for f in old.schema}
+    rows = new.select(*[F.col(c).cast(types[c]).alias(c) for c in old.columns])
+    _write_buckets(rows.withColumn(BUCKET, _bucket(id_col, buckets)), f"{path}/_staged", "static")
+    _finish(spark, path)
+    return touched
+
+
 def change_log(old: DataFrame, new: DataFrame, id_col: str = "id", columns: list[str] | None = None) -> DataFrame:
     """One row per changed field: (id, field, old_value, new_value, change_type)."""
     cols = columns or [c for c in old.columns if c != id_col and c in new.columns]

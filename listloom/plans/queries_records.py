@@ -14,10 +14,10 @@ from ..schema import RECORD, canonical
 from ..session import work_path
 from ..sources import records
 from .registry import (
-    BIZ, KEYED, d_clean, d_domain, d_key, d_lookup_domain, d_netloc_or_path, d_phone, d_record_id,
+    BIZ, KEYED, ORACLES, d_clean, d_domain, d_key, d_lookup_domain, d_netloc_or_path, d_phone, d_record_id,
     joined, map_text, query,
 )
-from .views import businesses, duck_with, view
+from .views import businesses, duck_with, table, view
 
 RECORD_COLS = ["seq", "name", "phone", "website", "address", "rating", "reviews", "category"]
 _RECORD_SQL = ", ".join(RECORD_COLS)
@@ -298,6 +298,17 @@ def f5(spark, sf):
     return store.without_keywords(biz(spark, sf), "description", ["Nation_1", "Machinery"]).select("seq", "description")
 
 
+@query(
+    "f5_keyword_table",
+    BIZ + """, words AS (SELECT lower(n_name) AS w FROM nation UNION SELECT 'no. ' || c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT lower(p_name) FROM part)
+    SELECT seq, name FROM biz WHERE NOT EXISTS (SELECT 1 FROM words WHERE contains(lower(coalesce(name, '')), w))""",
+)
+def f5_table(spark, sf):
+    words = table(spark, sf, "nation").select(F.col("n_name").alias("w")).unionByName(table(spark, sf, "part").select(F.col("p_name").alias("w")))
+    debtors = table(spark, sf, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("NO. "), F.col("c_custkey").cast("string")).alias("w"))
+    return store.without_keywords(biz(spark, sf), "name", words.unionByName(debtors)).select("seq", "name")
+
+
 @query(
     "f6_contactable",
     BIZ + """SELECT 'phone' AS by_field, seq FROM biz WHERE phone <> '' UNION ALL SELECT 'website', seq FROM biz WHERE website <> ''
@@ -748,6 +759,14 @@ def j1(spark, sf):
     return store.upsert_overwrite(view(spark, sf, "snap_old"), batch, as_of=_STAMP)
 
 
+@query("j1_upsert_store", ORACLES["j1_upsert_overwrite"])
+def j1_store(spark, sf):
+    path = work_path(spark, "upsert-store")
+    store.create_store(view(spark, sf, "snap_old").withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), path, buckets=8)
+    store.upsert_store(view(spark, sf, "snap_new"), path, as_of=_STAMP)
+    return store.open_store(spark, path)
+
+
 @query(
     "j2_upsert_fill",
     duck_with("snap_old", "snap_new") + f"""SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.rating, o.rating) AS rating,

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -530,3 +531,69 @@ def test_email_ranking(spark):
     assert d.count() == 16
     ranked = ranked_emails(d).orderBy("rank").collect()
     assert [r.address for r in ranked] == [f"u{i}@x.com" for i in range(10)]
+
+
+# -- stores and keywords ---------------------------------------------------------
+
+
+def test_keywords_by_list_and_table(spark):
+    rnd = random.Random(3)
+    letters = "abcé X\n"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(12))) for _ in range(400)] + [None, "", "😀 smile", "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, text string")
+    for size in (0, 1, 20, 70, 3000):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(size)] + ([None, "😀 S"] if size else [])
+        want = [i for i, t in enumerate(texts) if not any(w.lower() in (t or "").lower() for w in words if w is not None)]
+        table = spark.createDataFrame([(w,) for w in words], "w string")
+        for keywords in (words, table):
+            assert [r.seq for r in sorted(store.without_keywords(df, "text", keywords).select("seq").collect())] == want
+    assert store.without_keywords(df, "text", spark.createDataFrame([("",)], "w string")).count() == 0
+    assert store.without_keywords(df, "text", [""]).count() == 0
+
+
+def test_many_keywords_are_joined(spark):
+    df = spark.createDataFrame([(i, f"shop {i} of street {i % 7}") for i in range(2000)], "seq int, text string")
+    words = spark.range(100_000).select(F.concat(F.lit("Shop "), F.col("id") * 3, F.lit(" ")).alias("w"))
+    got = store.without_keywords(df, "text", words)
+    assert sorted(r.seq for r in got.collect()) == [i for i in range(2000) if i % 3]
+
+
+def _files(path):
+    return {f"{d}/{f}": os.path.getmtime(f"{d}/{f}") for d, _, names in os.walk(path) for f in names if f.endswith(".parquet") and "/_" not in d}
+
+
+def test_upsert_rewrites_only_its_buckets(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/store"
+    old = spark.range(2000).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit(1.5).alias("rating"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    store.create_store(old, path, buckets=100)
+    before = _files(path)
+    batch = spark.createDataFrame([(5, None, "x"), (77, "new", "x"), (9001, "added", "x")], "id long, name string, unknown string")
+    touched = store.upsert_store(batch, path, as_of="2024-01-31 00:00:00")
+    after = _files(path)
+    changed = {os.path.basename(os.path.dirname(f)) for f in set(before) ^ set(after)}
+    assert len(touched) == 3 and changed == {f"{store.BUCKET}={b}" for b in touched}
+    rows = {r.id: r for r in store.open_store(spark, path).collect()}
+    assert len(rows) == 2001 and rows[5].name is None and rows[5].rating == 1.5 and rows[77].name == "new" and rows[9001].rating is None
+    assert rows[6].updated_at is None and rows[9001].updated_at is not None
+    assert store.upsert_store(batch.limit(0), path) == [] and _files(path) == after
+
+    # cut off before and after everything is staged
+    def stop(*_):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_finish", lambda spark, path, calls=[]: calls.append(1) if not calls else stop())
+        with pytest.raises(RuntimeError):
+            store.upsert_store(spark.createDataFrame([(6, "late")], "id long, name string"), path, as_of="2024-02-01 00:00:00")
+    assert _files(path) == after
+    assert {r.id: r.name for r in store.open_store(spark, path).collect()}[6] == "late"
+    os.makedirs(f"{path}/_staged/{store.BUCKET}=0")
+    assert store.open_store(spark, path).count() == 2001 and not os.path.exists(f"{path}/_staged")
+
+
+def test_vectors_of_unequal_length_are_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.01]), (5, [0.0, 1.0]), (6, None), (7, [0.0, 0.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.a, r.b) for r in cluster.neighbour_pairs(df).collect()) == [(1, 2), (3, 4)]
+    assert {r.vec_id: r.cluster for r in cluster.cluster(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: -1, 6: -1, 7: -1, 8: -1}
+    assert cluster.neighbour_pairs(df.limit(0)).collect() == []
