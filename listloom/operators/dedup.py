@@ -51,39 +51,48 @@ def _list_items(field: str):
 
 
 def _items(df: DataFrame) -> DataFrame:
-    """All values of the merged fields as rows (key, seq, field, sub, value, pos)."""
+    """All values of the merged lists, maps and most common fields as rows (key, seq, field, sub, value, pos)."""
     nothing, zero = F.lit(""), F.lit(0)
-    parts = [F.array(_item("", nothing, nothing, zero))]
-    parts += [_list_items(f) for f in LIST_FIELDS if f in df.columns]
-    for f in (LARGEST_FIELD, LONGEST_FIELD, *MOST_COMMON_FIELDS):
+    parts = [_list_items(f) for f in LIST_FIELDS if f in df.columns]
+    for f in MOST_COMMON_FIELDS:
         if f in df.columns:
             one = F.array(_item(f, nothing, F.col(f).cast("string"), zero))
             parts.append(F.when(present(f, df.schema[f].dataType), one).otherwise(F.array().cast(_ITEM)))
     if MAP_FIELD in df.columns:
         entries = F.coalesce(F.map_entries(MAP_FIELD), F.array().cast("array<struct<key:string,value:string>>"))
         parts.append(F.transform(entries, lambda e: _item(MAP_FIELD, e["key"], e["value"], zero)))
-    items = F.filter(F.concat(*[p.cast(_ITEM) for p in parts]), lambda x: x["value"].isNotNull())
+    items = F.filter(F.concat(F.array().cast(_ITEM), *[p.cast(_ITEM) for p in parts]), lambda x: x["value"].isNotNull())
     return df.select("dedup_key", "seq", F.inline(items))
 
 
+def _best(keyed: DataFrame) -> DataFrame:
+    """A5 for the fields with a largest or longest value: one row a key, of which a task keeps one value at a time."""
+    best = [F.count("*").alias("copies")]
+    if LARGEST_FIELD in keyed.columns:
+        best.append(F.max(F.when(present(LARGEST_FIELD, keyed.schema[LARGEST_FIELD].dataType), F.col(LARGEST_FIELD).try_cast("double"))).alias(LARGEST_FIELD))
+    else:
+        best.append(F.lit(None).cast("double").alias(LARGEST_FIELD))
+    if LONGEST_FIELD in keyed.columns:
+        text = F.when(present(LONGEST_FIELD, keyed.schema[LONGEST_FIELD].dataType), F.col(LONGEST_FIELD).cast("string"))
+        # the length is the order; of the longest the first in input order
+        best.append(F.max_by(text, F.when(text.isNotNull(), F.struct(F.length(text), -F.col("seq")))).alias(LONGEST_FIELD))
+    else:
+        best.append(F.lit(None).cast("string").alias(LONGEST_FIELD))
+    return keyed.groupBy("dedup_key").agg(*best)
+
+
 def merged_fields(keyed: DataFrame) -> DataFrame:
     """A4 and A5 for every key: one row with ``copies`` and the merged fields.
 
-    One aggregation over (key, field, value) combines equal values before the shuffle;
-    after it at most ten values per field are ranked, so no group is ever collected whole.
+    Largest and longest values are plain aggregates. For the others one aggregation over (key, field, value)
+    combines equal values before the shuffle; after it at most ten values per field are ranked, so no group is ever collected whole.
     """
     values = (
         _items(keyed)
         .groupBy("dedup_key", "field", "sub", "value")
         .agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min_by("pos", "seq").alias("pos"), F.max("seq").alias("last"))
     )
-    weight = (
-        F.when(F.col("field") == LARGEST_FIELD, F.col("value").try_cast("double"))
-        .when(F.col("field") == LONGEST_FIELD, F.length("value").cast("double"))
-        .when(F.col("field").isin(*MOST_COMMON_FIELDS), F.col("n").cast("double"))
-        .otherwise(F.lit(0.0))
-    )
-    # the newest value of a map entry wins; seq is compared as it is, being too long for a double
+    weight = F.when(F.col("field").isin(*MOST_COMMON_FIELDS), F.col("n")).otherwise(F.lit(0))
     newest = F.when(F.col("field") == MAP_FIELD, F.col("last"))
     order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), F.col("newest").desc(), "first", "pos")
     top = (
@@ -93,20 +102,20 @@ def merged_fields(keyed: DataFrame) -> DataFrame:
         .filter(F.col("field").isin(*LIST_FIELDS) | (F.col("rank") == 1))
     )
 
-    def one(field, dtype="string"):
-        return F.max(F.when(F.col("field") == field, F.col("value"))).cast(dtype).alias(field)
+    def one(field):
+        return F.max(F.when(F.col("field") == field, F.col("value"))).alias(field)
 
     def many(field):
         ranked = F.collect_list(F.when(F.col("field") == field, F.struct("rank", "value")))
         return F.transform(F.array_sort(ranked), lambda x: x["value"]).alias(field)
 
     platforms = F.collect_list(F.when(F.col("field") == MAP_FIELD, F.struct("sub", "value")))
-    return top.groupBy("dedup_key").agg(
-        F.max(F.when(F.col("field") == "", F.col("n"))).alias("copies"),
-        *[many(f) for f in LIST_FIELDS],
-        F.map_from_entries(F.array_sort(platforms)).alias(MAP_FIELD),
-        one(LARGEST_FIELD, "double"),
-        *[one(f) for f in (LONGEST_FIELD, *MOST_COMMON_FIELDS)],
+    lists = top.groupBy("dedup_key").agg(
+        *[many(f) for f in LIST_FIELDS], F.map_from_entries(F.array_sort(platforms)).alias(MAP_FIELD), *[one(f) for f in MOST_COMMON_FIELDS]
+    )
+    none = {f: F.array().cast("array<string>") for f in LIST_FIELDS} | {MAP_FIELD: F.create_map().cast("map<string,string>")}
+    return _best(keyed).join(lists, "dedup_key", "left").select(
+        "dedup_key", "copies", *[F.coalesce(F.col(f), empty).alias(f) for f, empty in none.items()], LARGEST_FIELD, LONGEST_FIELD, *MOST_COMMON_FIELDS
     )
 
 

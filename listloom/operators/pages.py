@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import contacts, social
 from ..functions import html as h
-from ..functions import social
 from ..functions.names import name_of_markup
 from ..functions.text import coordinates_of_url, place_key_of_url
 
@@ -57,6 +57,25 @@ def detail_records(pages: DataFrame) -> DataFrame:
     return _clean(pages, "place_url").select("page_id", *[F.when(on_place, v).alias(k) for k, v in fields.items()])
 
 
+def extract_contacts(pages: DataFrame, with_context: bool = True) -> DataFrame:
+    """Everything that reaches a business, from one reading of each page: (page_id, kind, value, source, context).
+
+    ``email`` and ``contact_form`` rows are those of U2 and X22 with the text around them (X21), ``social`` rows the profiles of
+    X26 and X27, whose ``source`` is the platform.
+    """
+    read = _clean(pages, "url").withColumn("text", h.visible_text(F.col("clean")))
+    profiles = _profiles(read).select("page_id", "clean", "text", "found")
+
+    def row(kind, value, source, context):
+        return F.struct(kind.alias("kind"), value.alias("value"), source.alias("source"), context.alias("context"))
+
+    hits = contacts.page_emails(F.col("clean"), F.col("text"), with_context)
+    form = F.lit(contacts.CONTACT_FORM)
+    mails = F.transform(hits, lambda e: row(F.when(e.address == form, "contact_form").otherwise("email"), e.address, e.source, e.context))
+    links = F.transform(F.map_entries("found"), lambda e: row(F.lit("social"), e.value, e.key, F.lit(None).cast("string")))
+    return profiles.select("page_id", F.inline(F.concat(mails, links)))
+
+
 def page_names(pages: DataFrame) -> DataFrame:
     """(page_id, name, confidence)."""
     texts = _clean(pages).withColumn("text", h.visible_text(F.col("clean")))
@@ -66,7 +85,12 @@ def page_names(pages: DataFrame) -> DataFrame:
 
 def page_social(pages: DataFrame) -> DataFrame:
     """(page_id, social_media); each fallback runs only where nothing was found so far."""
-    found = _clean(pages, "url").withColumn("links", h.hrefs(F.col("clean")))
+    return _profiles(_clean(pages, "url")).select("page_id", F.col("found").alias("social_media"))
+
+
+def _profiles(clean: DataFrame) -> DataFrame:
+    """Adds ``found``, the profiles of pages (clean, low, url)."""
+    found = clean.withColumn("links", h.hrefs(F.col("clean")))
     found = found.withColumn("found", social.linked_profiles(F.col("links")))
     missing = F.size("found") == 0
     with_icons = missing & social.mentions_icon(F.col("low"))
@@ -74,7 +98,7 @@ def page_social(pages: DataFrame) -> DataFrame:
     icons = F.when(F.col("anchors").isNotNull(), social.icon_profiles(F.col("anchors"), F.col("url")))
     found = found.withColumn("found", F.when(missing, F.coalesce(icons, F.col("found"))).otherwise(F.col("found")))
     meta = F.when(F.col("low").contains(social.META_MARK), social.meta_profile(F.col("clean")))
-    return found.select("page_id", F.when(missing, F.coalesce(meta, F.col("found"))).otherwise(F.col("found")).alias("social_media"))
+    return found.withColumn("found", F.when(missing, F.coalesce(meta, F.col("found"))).otherwise(F.col("found")))
 
 
 def social_presence(df: DataFrame, key: str, profiles: str = "social_media") -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, discard
 from .ordering import join_null_safe, with_chunks, with_position
 
 # Fixed values -------------------------------------------------------------------
@@ -41,18 +42,24 @@ def _time_bucket(seconds: int):
 def bucket_seconds(log: DataFrame, rows: int = BUCKET_ROWS) -> int:
     """The widest of a few bucket widths in which no key has more than ``rows`` requests, or the least.
 
-    Any width gives the same result; it decides how much of a hot key one task gets.
+    Any width gives the same result; it decides how much of a hot key one task gets. A log that cannot hold more than ``rows``
+    requests, by the optimizer's estimate of its bytes, is not read for that; a larger one is counted once, by key
+    and least bucket, and all widths are judged from these counts.
     """
-    if log.count() <= rows:
+    bytes_a_row = 8 * len(log.columns)
+    if int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= rows * bytes_a_row:
         return BUCKET_WIDTHS_S[0]
     least = BUCKET_WIDTHS_S[-1]
-    counts = log.groupBy("req_key", _time_bucket(least).alias("t")).agg(F.count("*").alias("n"))
+    counts = cut(log.groupBy("req_key", _time_bucket(least).alias("t")).agg(F.count("*").alias("n")), "bucket-counts")
     # F.floor gives whole numbers, so wider buckets are made of the least ones
+    found = least
     for width in BUCKET_WIDTHS_S[:-1]:
         wide = counts.groupBy("req_key", F.floor(F.col("t") * least / width).alias("t")).agg(F.sum("n").alias("n"))
         if (wide.agg(F.max("n")).first()[0] or 0) <= rows:
-            return width
-    return least
+            found = width
+            break
+    discard(counts)
+    return found
 
 
 def trailing_requests(

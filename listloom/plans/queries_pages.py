@@ -406,6 +406,19 @@ def x26(spark, sf):
     return pages.page_social(pages_x(spark, sf)).withColumn("social_media", map_text("social_media"))
 
 
+def _contacts_sql() -> str:
+    """The rows of U2 and of X26 and X27 together."""
+    entry = "string_split(p, '=')[1]"
+    mails = "SELECT page_id, CASE WHEN source = 'contact_form' THEN 'contact_form' ELSE 'email' END AS kind, address AS value, source FROM hits"
+    links = f"SELECT page_id, 'social' AS kind, substr(p, length({entry}) + 2) AS value, {entry} AS source FROM (SELECT page_id, unnest(string_split(social_media, '|')) AS p FROM profiles WHERE social_media <> '')"
+    return _HITS + f", profiles AS (SELECT * FROM ({CLEAN + _social_sql()})) {mails} UNION ALL {links}"
+
+
+@query("extract_contacts", _contacts_sql())
+def all_contacts(spark, sf):
+    return pages.extract_contacts(pages_x(spark, sf)).select("page_id", "kind", "value", "source")
+
+
 @query(
     "x28_profile_candidates",
     BIZ + f"""SELECT seq, p AS platform, u || CASE WHEN w = 'name' THEN slug ELSE dom END AS url FROM (
