@@ -116,7 +116,8 @@ def _matches(words: Words, tests: Suffixes):
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (text) with n_words, n_hit and matches: the longest verbatim matches with ``benchmark``
-    (item_id, text), each with its place in the item and in the document, in words."""
+    (item_id, text), each with its place in the item and in the document, in words. Input columns with these three
+    names are replaced, all others kept."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -145,8 +146,11 @@ def _search(docs: DataFrame, tests: Suffixes) -> DataFrame:
         new = pa.StructArray.from_arrays([ids, *(pa.array(x[order].astype(np.int64)) for x in (start, place, length))], names=["item_id", "item_start", "doc_start", "length"])
         return [pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(offsets), new)]
 
-    found = append(docs, run, f"n_words long, found array<{_MATCH}>")
-    return found.withColumn("matches", F.concat("matches", "found")).drop("found")
+    new = "found"
+    while new in docs.columns:
+        new += "_"
+    found = append(docs, run, f"n_words long, {new} array<{_MATCH}>")
+    return found.withColumn("matches", F.concat("matches", new)).drop(new)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

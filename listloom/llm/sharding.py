@@ -6,12 +6,14 @@ seeded by the bucket's number) and writes it. Bucket b's records follow those of
 so every record has a position in one uniform permutation of the whole table, and shards are
 cut from it by position: their counts differ by one at most. Everything is DataFrame code.
 
-The hash covers all columns of a record, so only records equal in every column share a bucket
-for sure. Each bucket is one task; its number, and so its seed, does not depend on the cluster.
+The hash covers all columns of a record, so only records equal in every column share one. Where those of
+one hash would fill a good part of a bucket, each is numbered where it is read and hashed again with
+its number: being equal, they may stand for each other. Each bucket is one task; its number, and so its seed,
+does not depend on the cluster.
 
 Results: null and empty texts count as no bytes. Repeated rows are rows of their own. An empty
-table gives no row. Extra columns are shuffled and written along; one named like a column this
-operator adds is replaced.
+table gives no row. Extra columns, whatever their names, are shuffled and written along; columns named ``shard`` or
+``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int
     size, rows = total[0] or 0, total[1]
     buckets = max(1, -(-size // bucket_bytes))
     hashed = F.xxhash64(F.lit(seed), *[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    keyed = docs.select(F.struct(*docs.columns).alias("record"), F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket"), hashed.alias("order"))
+    sized = docs.select(F.struct(*docs.columns).alias("record"), hashed.alias("order"), record_bytes().alias("size"))
+    keyed = _apart(sized, bucket_bytes, seed).select("record", F.pmod("order", F.lit(buckets)).cast("int").alias("bucket"), "order")
     # a bucket a task, its records in an order of their own before the permutation
     scattered = keyed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "order")
     permuted = scattered.groupBy("bucket").agg(F.shuffle(F.collect_list("record"), seed).alias("records"))
     path = work_path(spark, "buckets")
-    permuted.select("bucket", F.posexplode("records").alias("at", "record")).select("bucket", "at", "record.*").write.parquet(path)
-    written = spark.read.parquet(path) if rows else spark.createDataFrame([], f"bucket int, at int, {docs.schema.toDDL()}")
+    permuted.select("bucket", F.posexplode("records").alias("at", "record")).write.parquet(path)
+    written = spark.read.schema(permuted.select("bucket", F.lit(0).alias("at"), F.element_at("records", 1).alias("record")).schema).parquet(path)
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = cut(counts.select("bucket", "n"), "counts")
     before = _running(offsets)
@@ -56,7 +59,16 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int
     n = max(1, rows)
     placed = placed.withColumn("shard", F.expr(f"cast(position * {shards} div {n} as int)"))
     placed = placed.withColumn("slot", F.expr(f"position - (shard * {n}L + {shards - 1}) div {shards}"))
-    return placed.drop("bucket", "at", "before", "position")
+    return placed.select("record.*", "shard", "slot")
+
+
+def _apart(sized: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
+    """``sized`` (order, size) with a new ``order`` for each record of a hash that holds over a quarter of a bucket."""
+    heavy = sized.groupBy("order").agg(F.sum("size").alias("held")).filter(F.col("held") > bucket_bytes // 4).select("order", F.lit(True).alias("heavy"))
+    heavy = cut(heavy, "heavy")  # four rows a bucket at most
+    side = F.broadcast(heavy) if heavy.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS else heavy
+    numbered = sized.withColumn("number", F.monotonically_increasing_id()).join(side, "order", "left")
+    return numbered.withColumn("order", F.when(F.col("heavy"), F.xxhash64(F.lit(seed), "order", "number")).otherwise(F.col("order")))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -68,6 +68,29 @@ def test_sharding_repeats_and_mixes(spark):
     assert 600 < sum(first) / len(first) < 1400
 
 
+def test_sharding_keeps_columns_of_any_name(spark):
+    df = docs_of(spark, [(i, f"t{i}") for i in range(50)])
+    for name in ("bucket", "at", "before", "position", "order", "record", "records", "size", "number", "heavy", "n"):
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    got = sharding.shuffle_into_shards(df, shards=3, bucket_bytes=100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(50))
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in df.columns if c not in ("doc_id", "text"))
+    assert got[0].__fields__ == [*df.columns, "shard", "slot"]
+
+
+def test_a_repeated_row_is_spread_over_buckets(spark):
+    rows = [(7, "same row " * 4)] * 2000 + [(i, f"t{i}") for i in range(100, 1100)]
+    got = sharding.shuffle_into_shards(docs_of(spark, rows).repartition(5), shards=4, bucket_bytes=4000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    counts = collections.Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    same = collections.Counter(r.shard for r in got if r.doc_id == 7)
+    assert min(same.values()) > 400
+    keyed = docs_of(spark, rows).select(F.struct("doc_id", "text").alias("record"), F.xxhash64("doc_id", "text").alias("order"), sharding.record_bytes().alias("size"))
+    most = sharding._apart(keyed, 4000, 1).groupBy(F.pmod("order", F.lit(20))).count().agg(F.max("count")).first()[0]
+    assert most < 400
+
+
 def test_sharding_of_nothing(spark):
     assert sharding.shuffle_into_shards(docs_of(spark, [])).collect() == []
 
@@ -233,7 +256,10 @@ def test_matches_equal_brute_force(spark, monkeypatch, block_bytes):
     rows = [(i, ", ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(80)))) for i in range(80)]
     rows += [(100 + i, "start " + items[rnd.randrange(12)][1] + " end " + items[rnd.randrange(12)][1]) for i in range(60)] + [(500, "a unique text"), *ODD]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.with_matches(docs_of(spark, rows).withColumn("n_words", F.lit("old")), bench, block_bytes=block_bytes)
+    df = docs_of(spark, rows).withColumn("n_words", F.lit("old")).withColumn("found", F.lit("kept"))
+    found = decontaminate.with_matches(df, bench, block_bytes=block_bytes)
+    assert set(found.columns) == {"doc_id", "text", "found", "n_words", "matches", "n_hit"}
+    assert {r.found for r in found.collect()} == {"kept"}
     got = [(r.doc_id, r.n_words, r.n_hit, tuple(sorted({m.item_id for m in r.matches}, key=str))) for r in found.collect()]
     assert sorted(got, key=repr) == brute_hits(rows, items)
 
