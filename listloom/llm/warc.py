@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader (operator 3).
 
 Records are range-sorted by page_id into shards of about ``shard_bytes``. The ranges come from the
-exact bytes of at most 65,536 cells of ids, so they depend on the rows alone, not on
-partitions or samples; a cell that is too heavy for one shard is dealt over several by a hash.
+exact bytes of cells of ids, of which heavy ones are taken apart (``ranges``), so they depend on the rows alone, not on
+partitions or samples. Only the records of a single id that is longer than a shard are dealt over several by a hash.
 A shard's task streams its sorted records into files that are rolled by compressed size, one
 gzip member a record, with headers, record ids and digests made anew. Files are written under
 temporary names of their own for each attempt; the manifest, which Spark commits with one attempt
@@ -29,7 +29,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -39,7 +39,7 @@ REVISIT_BYTES = 1000
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
-_CELL_BITS = 16
+_CELL_BITS, _SPLIT_BITS = 16, 8
 _OVERHEAD = 700
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -59,22 +59,66 @@ def typed(pages: DataFrame) -> DataFrame:
     return found.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") < F.col("target"), F.col("target").isNotNull()), F.col("target"))).drop("target")
 
 
-def _ranges(pages: DataFrame, shard_bytes: int) -> tuple[int, int, pd.DataFrame]:
-    """(least id, bits of an id within its cell, first shard and number of shards of each cell)."""
+class Ranges:
+    """Which shard an id belongs to: the least id that starts each shard, and ids dealt over several shards."""
+
+    def __init__(self, starts: list[tuple], dealt: list[tuple], shards: int):
+        self.low = np.array([low for low, _ in starts], dtype=np.int64)
+        self.first = np.array([0, *(shard for _, shard in starts)], dtype=np.int32)
+        self.dealt = {low: (first, many) for low, first, many in dealt}
+        self.shards = shards
+
+    def of(self, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), dtype=np.int32)
+        out[known] = self.first[np.searchsorted(self.low, ids[known].astype("int64").to_numpy(), "right")]
+        for low, (first, many) in self.dealt.items():
+            mine = ~known if low is None else known & (ids == low).fillna(False).to_numpy()
+            out[mine] = first + hashes.to_numpy()[mine] % many
+        return out
+
+
+def _cells(ids: DataFrame, bits: int) -> DataFrame:
+    return ids.groupBy(F.shiftright("id", bits).alias("cell")).agg(F.sum("size").alias("size"))
+
+
+def ranges(pages: DataFrame, shard_bytes: int) -> Ranges:
+    """Exact ranges of ids of about ``shard_bytes`` each.
+
+    The bytes of each of at most 65,537 cells of ids are added up. A cell of over half a shard is taken apart into 256
+    cells, and so on, until it is light or holds one id. A cell belongs to the shard in which its first byte falls.
+    The driver gets a number a shard, and one an id that is longer than a shard.
+    """
     ids = pages.select(F.col("page_id").cast("long").alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + _OVERHEAD).cast("long").alias("size"))
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    bits = max(0, (high - low).bit_length() - _CELL_BITS)
-    cell = F.coalesce(F.shiftright(F.col("id") - low, bits), F.lit(-1))
-    cells = ids.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).orderBy("cell").toPandas()  # 65,537 rows at most
-    shards, now, used = [], 0, 0
-    for size in cells["size"].tolist():
-        if used and used + size > shard_bytes:
-            now, used = now + 1, 0
-        many = max(1, -(-size // shard_bytes))
-        shards.append((now, many))
-        now, used = (now + many, 0) if many > 1 else (now, used + size)
-    return low, bits, pd.DataFrame({"cell": cells["cell"].astype("int64"), "first": np.array([s for s, _ in shards], dtype="int64"), "many": np.array([m for _, m in shards], dtype="int64")})
+    low, high, total = ids.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    bits = top = max(0, (high - low).bit_length() - _CELL_BITS) if low is not None else 0
+    cells = cut(_cells(ids, bits), "cells")
+    order = Window.orderBy(F.col("cell").asc_nulls_first())  # 65,537 rows at most
+    before = cells.select(F.col("cell").alias("top"), (F.sum("size").over(order) - F.col("size")).alias("before"))
+    leaves, heavy = [], F.col("size") > shard_bytes // 2
+    while bits:
+        split = cells.filter(heavy & F.col("cell").isNotNull()).select("cell")
+        if split.isEmpty():
+            break
+        leaves.append(cells.filter(~heavy | F.col("cell").isNull()).select(F.shiftleft("cell", bits).alias("low"), "size"))
+        # slim rows of the cells that are taken apart
+        ids = cut(ids.withColumn("cell", F.shiftright("id", bits)).join(checked_broadcast(split), "cell").select("id", "size"), "ids")
+        bits = max(0, bits - _SPLIT_BITS)
+        cells = cut(_cells(ids, bits), "cells")
+    leaves.append(cells.select(F.shiftleft("cell", bits).alias("low"), "size"))
+    every = leaves[0]
+    for part in leaves[1:]:
+        every = every.unionByName(part)
+    within = Window.partitionBy("top").orderBy("low")
+    placed = every.withColumn("top", F.shiftright("low", top)).withColumn("inner", F.sum("size").over(within) - F.col("size"))
+    start = F.col("before") + F.col("inner")
+    placed = placed.join(F.broadcast(before), placed["top"].eqNullSafe(before["top"])).select("low", "size", start.alias("start"))
+    first = F.expr(f"cast(start div {shard_bytes} as int)")
+    many = F.expr(f"cast((start + size - 1) div {shard_bytes} as int)") - first + 1
+    shards = cut(placed.select("low", "size", first.alias("first"), many.alias("many")), "shards")
+    starts = shards.filter("low is not null").groupBy("first").agg(F.min("low").alias("low")).orderBy("low").collect()
+    dealt = shards.filter(f"many > 1 and size > {shard_bytes} and (low is null or {bits} = 0)").select("low", "first", "many").collect()
+    return Ranges([(r.low, r["first"]) for r in starts], [(r.low, r["first"], r.many) for r in dealt], 1 + (total or 0) // shard_bytes)
 
 
 def _record_id(page_id, digest: str, repeat: int = 0) -> str:
@@ -142,18 +186,20 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, r
     """Writes (page_id, url, html) to the new folder ``path``, one that all executors reach; returns the manifest."""
     spark = pages.sparkSession
     pages = whole_texts(pages.select("page_id", "url", "html"))
-    low, bits, ranges = _ranges(pages, shard_bytes)
-    rows = typed(pages).withColumn("cell", F.coalesce(F.shiftright(F.col("page_id") - low, bits), F.lit(-1)).cast("long"))
-    if len(ranges):
-        rows = rows.join(F.broadcast(spark.createDataFrame(ranges)), "cell")  # as many rows as cells
-    else:
-        rows = rows.withColumns({"first": F.lit(0), "many": F.lit(1)})
-    shard = (F.col("first") + F.pmod(F.xxhash64("digest", "page_id", "url"), F.col("many"))).cast("int").alias("shard")
+    of = ranges(pages, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(of.of(ids, hashes))
+
+    rows = typed(pages)
+    shard = shard_of("page_id", F.pmod(F.xxhash64("digest", "page_id", "url"), F.lit(1 << 40))).alias("shard")
     # a revisit's payload is not written: only its length travels
     length = F.octet_length("payload").alias("length")
     payload = F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")
     rows = rows.select(shard, "page_id", "url", "digest", "refers_to", length, payload)
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # a task a shard
+    ordered = rows.repartitionById(of.shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
 
     def write(batches):
         roller, before, repeat = _Roller(path, roll_bytes), None, 0

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,24 @@ def test_archive_round_trip_and_bytes(spark, tmp_path):
     assert list((tmp_path / "a0" / "_temporary").iterdir()) == []
 
 
+@pytest.mark.parametrize("far", [[], [2**40], [-(2**63), 2**63 - 1], [None] * 40, [77] * 400])
+def test_shards_are_ranges_of_ids(spark, far):
+    """Whatever ids lie far away: shards hold disjoint ranges of about equal bytes, but for one long id."""
+    rows = [(i, "u", "x" * ((i or 0) % 90)) for i in [*range(3000), *far]]
+    of = warc.ranges(spark.createDataFrame(rows, PAGES), 100_000)
+    got = of.of(pd.Series([r[0] for r in rows], dtype="Int64"), pd.Series(np.arange(len(rows)), dtype="int64"))
+    assert got.min() == 0 and got.max() < of.shards
+    spans, sizes = {}, {}
+    for (i, _, html), s in zip(rows, got.tolist()):
+        sizes[s] = sizes.get(s, 0) + len(html) + 700
+        if i is not None and not (i == 77 and len(far) == 400):
+            lo, hi = spans.get(s, (i, i))
+            spans[s] = min(lo, i), max(hi, i)
+    ordered = [spans[s] for s in sorted(spans)]
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    assert len(spans) >= 20 and max(sizes.values()) <= 160_000
+
+
 def test_archive_damage_and_nothing(spark, tmp_path):
     path = f"{tmp_path}/none"
     assert warc.write_archive(spark.createDataFrame([], PAGES), path).collect() == []
