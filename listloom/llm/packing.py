@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import pretokens
-from .tables import slices, whole_texts
+from .tables import checked_broadcast, slices, whole_texts
 
 WINDOW = 2048
 END_ID = 1
@@ -232,8 +233,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """
     docs = whole_texts(docs.select(F.col("doc_id").cast("long"), "text"))
     shards = max(1, -(-docs.count() // shard_pieces))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(shards)))
-    schema = "shard long, rest boolean, doc_id long, start long, doc_tokens long, ids binary"
+    docs = _dealt(docs, shards, shard_pieces, seed)
+    schema = "shard int, rest boolean, doc_id long, start long, doc_tokens long, ids binary"
 
     def tokenize(batches):
         encoder, end = Encoder(tokenizer), np.array([end_id], dtype=np.uint32)
@@ -280,11 +281,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             yield _batch(list(packed()), _OUT)
 
     # full windows come before the rest of their shard and pass through; only the rest is held
-    pieces = docs.mapInArrow(tokenize, schema).repartition("shard").sortWithinPartitions("shard", "rest", "doc_id", "start")
+    pieces = docs.mapInArrow(tokenize, schema).repartitionById(shards, "shard").sortWithinPartitions("shard", "rest", "doc_id", "start")
     return pieces.mapInArrow(sequences, _OUT)
 
 
-_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+def _dealt(docs: DataFrame, shards: int, shard_pieces: int, seed: int) -> DataFrame:
+    """``docs`` with their shard. Rows equal in id and text share a hash; where they would crowd a shard, each is hashed
+    again with a number it gets where it is read."""
+    keyed = docs.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    crowd = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, shard_pieces // 16)).select("key", F.lit(True).alias("crowd")), "crowd")
+    numbered = keyed.withColumn("number", F.monotonically_increasing_id()).join(checked_broadcast(crowd), "key", "left")
+    key = F.when(F.col("crowd"), F.xxhash64("key", "number")).otherwise(F.col("key"))
+    return numbered.select("doc_id", "text", F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:

@@ -347,6 +347,15 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(docs_of(spark, []), path).collect() == []
 
 
+def test_a_repeated_row_is_spread_over_packing_shards(spark):
+    rows = [(7, "the same row")] * 900 + [(i, f"row {i}") for i in range(1800)]
+    dealt = packing._dealt(docs_of(spark, rows).repartition(4), 9, 300, 9).collect()
+    assert sorted((r.doc_id, r.text) for r in dealt) == sorted(rows)
+    same = collections.Counter(r.shard for r in dealt if r.text == "the same row")
+    assert len(same) == 9 and max(same.values()) < 180
+    assert len({r.shard for r in dealt if r.doc_id == 8}) == 1
+
+
 def test_neighbours_fill_a_seed_window():
     starts = np.ones(1000, dtype=bool)
     seed = np.arange(100, 160, dtype=np.uint32)
