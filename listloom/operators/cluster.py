@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import balls as ball_tree
+from .balls import SLACK as _SLACK
+from .balls import distances, unit
 from .blocks import by_cell
 from .components import connected_components
 
@@ -21,8 +24,8 @@ MIN_SAMPLES = 2
 NOISE = -1
 # --------------------------------------------------------------------------------
 PART = 2048
+#: Pivots of a single level; for more than so many times ``PART`` vectors a tree of balls takes its place.
 MAX_PIVOTS = 256
-_SLACK = 1e-6
 
 
 def feature_text(name, category, description) -> Column:
@@ -49,16 +52,6 @@ def copy_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     return joined.filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.array(column.to_list(), dtype=np.float64)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm == 0, 1.0, norm)
-
-
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
-
-
 @dataclass
 class _Balls:
     """Pivots and, per ball, its size, radius and lowest id: at most ``MAX_PIVOTS`` of each."""
@@ -72,7 +65,7 @@ class _Balls:
 def _nearest(balls_pivots):
     @F.pandas_udf("struct<ball:int,dist:double>")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        dist = _distances(_unit(v), balls_pivots.value)
+        dist = distances(unit(v), balls_pivots.value)
         ball = dist.argmin(axis=1)
         return pd.DataFrame({"ball": ball.astype("int32"), "dist": dist[np.arange(len(ball)), ball]})
 
@@ -91,7 +84,7 @@ def _balls(d: DataFrame, part: int) -> _Balls | None:
     chosen = d.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
     if not chosen:
         return None
-    pivots = d.sparkSession.sparkContext.broadcast(_unit(pd.Series([list(r.v) for r in chosen])))
+    pivots = d.sparkSession.sparkContext.broadcast(unit(pd.Series([list(r.v) for r in chosen])))
     near = d.select("rep", _nearest(pivots)("v").alias("p"))
     stats = near.groupBy("p.ball").agg(F.count("*").alias("n"), F.max("p.dist").alias("r"), F.min("rep").alias("first")).collect()
     return _Balls(pivots, {r.ball: r.n for r in stats}, {r.ball: r.r for r in stats}, {r.ball: r["first"] for r in stats})
@@ -100,7 +93,7 @@ def _balls(d: DataFrame, part: int) -> _Balls | None:
 def _sure_pairs(balls: _Balls, eps: float) -> set[tuple[int, int]]:
     """Pairs of balls (a <= b) so close that any two of their vectors are neighbours."""
     reach = math.sqrt(2.0 * eps) - _SLACK
-    apart = _distances(balls.pivots.value, balls.pivots.value)
+    apart = distances(balls.pivots.value, balls.pivots.value)
     r = balls.radius
     return {(a, b) for a in r for b in r if a <= b and (apart[a, b] if a != b else 0.0) + r[a] + r[b] <= reach}
 
@@ -137,7 +130,7 @@ def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[i
         for pdf in batches:
             if pdf.empty:
                 continue
-            dist = _distances(_unit(pdf["v"]), pivots.value)
+            dist = distances(unit(pdf["v"]), pivots.value)
             home = dist.argmin(axis=1)
             out = []
             for k, (rep, v, mark) in enumerate(zip(pdf["rep"], pdf["v"], pdf["mark"])):
@@ -159,7 +152,7 @@ def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[i
     rep_type = d.schema["rep"].dataType.simpleString()
     vec_type = d.schema["v"].dataType.simpleString()
     marked = d.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(2**31 - 1)).alias("mark"))
-    return marked.mapInPandas(spread, f"ca int, cb int, ia int, ib int, side int, rep {rep_type}, v {vec_type}")
+    return marked.mapInPandas(spread, f"ca long, cb long, ia int, ib int, side int, rep {rep_type}, v {vec_type}")
 
 
 def _compare(cells: DataFrame, eps: float, forest: bool) -> DataFrame:
@@ -169,7 +162,7 @@ def _compare(cells: DataFrame, eps: float, forest: bool) -> DataFrame:
         ca, cb, ia, ib = (int(pdf[c].iloc[0]) for c in ("ca", "cb", "ia", "ib"))
         side = pdf["side"].to_numpy()
         ids = pdf["rep"].to_numpy()
-        x = _unit(pdf["v"])
+        x = unit(pdf["v"])
         if ca == cb and ia == ib:
             left = right = np.arange(len(ids))
         else:
@@ -215,12 +208,25 @@ def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_c
     every = distinct_vectors(vectors, id_col, vector)
     found = every.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
     for d in _by_length(every):
-        balls = _balls(d, part)
-        if balls is not None:
+        if d.count() > MAX_PIVOTS * part:
+            cells = ball_tree.cells(*ball_tree.leaves(d, eps, part), part)
+            found = found.unionByName(_compare(cells, eps, forest=False))
+        elif (balls := _balls(d, part)) is not None:
             found = found.unionByName(_compare(_cells(d, balls, eps, part, set()), eps, forest=False))
     return found
 
 
+def _tree_links(d: DataFrame, eps: float, part: int) -> DataFrame:
+    """Links (a, b) that hold all neighbours together, by the tree. Balls so tight that all their vectors are
+    neighbours are not split, and their vectors linked to the first of them without any comparison."""
+    sure = (math.sqrt(2.0 * eps) - _SLACK) / 2
+    rows, balls = ball_tree.leaves(d, eps, part, close=sure)
+    compared = _compare(ball_tree.cells(rows, balls, part, sure), eps, forest=True).select("a", "b")
+    tight = balls.filter(F.col("radius") <= sure).select("node", "first")
+    stars = rows.filter("home").join(tight, "node").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    return compared.unionByName(stars)
+
+
 def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
     """(id, cluster) as DBSCAN with two samples gives it; -1 is noise.
 
@@ -232,8 +238,9 @@ def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_
     """
     links = copy_links(vectors, id_col, vector)
     for d in _by_length(distinct_vectors(vectors, id_col, vector)):
-        balls = _balls(d, part)
-        if balls is not None:
+        if d.count() > MAX_PIVOTS * part:
+            links = links.unionByName(_tree_links(d, eps, part))
+        elif (balls := _balls(d, part)) is not None:
             sure = _sure_pairs(balls, eps)
             compared = _compare(_cells(d, balls, eps, part, sure), eps, forest=True)
             links = links.unionByName(compared.select("a", "b")).unionByName(_sure_links(d, balls, sure))

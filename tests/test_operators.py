@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listloom.functions.similarity import ratio_of
-from listloom.operators import cluster, competitors, components, dedup, ordering, rate, ratio_join, reports, similar, store, taxonomy
+from listloom.operators import balls, cluster, competitors, components, dedup, ordering, rate, ratio_join, reports, similar, store, taxonomy
 from listloom.operators.emails import distinct_emails, ranked_emails
 from listloom.plans.views import businesses
 from tests.conftest import values
@@ -597,3 +597,48 @@ def test_vectors_of_unequal_length_are_apart(spark):
     assert sorted((r.a, r.b) for r in cluster.neighbour_pairs(df).collect()) == [(1, 2), (3, 4)]
     assert {r.vec_id: r.cluster for r in cluster.cluster(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: -1, 6: -1, 7: -1, 8: -1}
     assert cluster.neighbour_pairs(df.limit(0)).collect() == []
+
+
+def clustered_vectors(n, seed=4, dims=6, centres=None, spread=0.08):
+    rnd = random.Random(seed)
+    middles = [[rnd.gauss(0, 1) for _ in range(dims)] for _ in range(centres or max(4, n // 60))]
+    return [(i, [m + rnd.gauss(0, spread) for m in rnd.choice(middles)]) for i in range(n)]
+
+
+def cosines(rows):
+    import numpy as np
+
+    x = np.array([v for _, v in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x @ x.T
+
+
+@pytest.mark.parametrize(("eps", "part", "fan", "spread"), [(0.05, 20, 4, 0.2), (0.3, 30, 3, 0.5), (0.01, 25, 64, 0.01)])
+def test_tree_of_balls_finds_all_neighbours(spark, monkeypatch, eps, part, fan, spread):
+    import numpy as np
+
+    monkeypatch.setattr(cluster, "MAX_PIVOTS", 0)
+    build = balls.leaves
+    monkeypatch.setattr(balls, "leaves", lambda *a, **k: build(*a, **k, fan=fan, task_rows=100))
+    rows = clustered_vectors(420, spread=spread)
+    rows += [(1000 + i, rows[i][1]) for i in range(15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = cosines(rows[:420]) >= 1 - eps
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j}
+    got = [(r.a, r.b) for r in cluster.neighbour_pairs(df, eps=eps, part=part).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    groups = union_find(want | {(i, 1000 + i) for i in range(15)})
+    assert {r.vec_id: r.cluster for r in cluster.cluster(df, eps=eps, part=part).collect()} == {i: groups.get(i, -1) for i, _ in rows}
+
+
+def compared_pairs(cells):
+    sides = cells.groupBy("ca", "cb", "ia", "ib").agg(F.count_if((F.col("ca") == F.col("cb")) & (F.col("side") == F.col("ia")) | (F.col("ca") != F.col("cb")) & (F.col("side") == 0)).alias("l"), F.count("*").alias("n"))
+    return sides.agg(F.sum(F.when(F.col("l") == F.col("n"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("l") * (F.col("n") - F.col("l"))))).first()[0]
+
+
+def test_tree_of_balls_compares_less_than_the_square(spark):
+    found = {}
+    for n in (1000, 4000):
+        df = spark.createDataFrame(clustered_vectors(n, centres=n // 50, dims=8, spread=0.05), "rep long, v array<double>")
+        found[n] = compared_pairs(balls.cells(*balls.leaves(df, 0.02, 100), 100))
+    assert found[4000] < 0.1 * 4000 * 3999 / 2 and found[4000] < 8 * found[1000]
