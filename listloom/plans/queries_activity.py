@@ -222,6 +222,23 @@ def t7(spark, sf):
     return jobs.latest(spark.read.parquet(out), ["scope"]).select("scope", "received", saved)
 
 
+@query("t7_live_counts", BIZ + "SELECT count(*) AS received, count(*) AS saved FROM biz")
+def t7_live(spark, sf):
+    """Counted as the records pass, by Spark's progress reports; over two runs."""
+    path, live = _record_log(spark, sf), work_path(spark, "live")
+    for _ in range(2):
+        counts = jobs.LiveCounts(spark, live)
+        spark.streams.addListener(counts)
+        try:
+            run = jobs.save_live(jobs.counted(jobs.log_stream(spark, path, _STREAM_SCHEMA, files_per_batch=1)), live, live + "-progress", formats=("table",), sample=False, available_now=True)
+            _drained(run)
+            received = counts.settle(run)
+        finally:
+            spark.streams.removeListener(counts)
+    saved = spark.read.schema(_STREAM_SCHEMA).parquet(f"{live}/table").agg(F.count("*").alias("saved"))
+    return saved.select(F.lit(received).cast("long").alias("received"), "saved")
+
+
 @query("t2_timed_flush", _STREAM_SQL)
 def t2(spark, sf):
     """The stream runs on its own five-second trigger until it has caught up."""

@@ -189,13 +189,28 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*cols).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_table(df: DataFrame, table: str, path: str, buckets: int = 0, bucket_by: str = "seq", map_keys=None) -> None:
+def write_table(
+    df: DataFrame, table: str, path: str, buckets: int = 0, bucket_by: str = "seq", map_keys=None, lookups: list[str] = (), group_bytes: int | None = None
+) -> None:
     """Full replacement of a table with the flattened records.
 
-    Where lookups by one column matter, ``buckets`` takes the place of an index: files are
-    bucketed and sorted by ``bucket_by``.
+    Two things take the place of an index. ``buckets``: files are bucketed and sorted by ``bucket_by``.
+    ``lookups``: columns whose values are looked up one at a time. Rows are ranged by the first of them, so that its value
+    lies in a file or two, and all of them get Bloom filters, by which a reader leaves out row groups (of ``group_bytes``) that
+    cannot hold a value.
     """
-    w = flatten(widened(df), map_keys).write.mode("overwrite").option("path", path)
+    flat = flatten(widened(df), map_keys)
+    unknown = set(lookups) - set(flat.columns)
+    if unknown or (lookups and buckets):
+        raise ValueError(f"no such columns: {sorted(unknown)}" if unknown else "a table is bucketed or ranged, not both")
+    if lookups:
+        order = [named_column(c) for c in lookups]
+        flat = flat.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    w = flat.write.mode("overwrite").option("path", path)
+    for c in lookups:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if group_bytes:
+        w = w.option("parquet.block.size", group_bytes)
     if buckets:
         w = w.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     w.saveAsTable(table)

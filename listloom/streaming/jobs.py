@@ -6,6 +6,7 @@ from the checkpoint neither loses nor doubles rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.quality import nested_as_json
 from ..operators.ordering import with_serial
@@ -27,6 +29,7 @@ WINDOW_S = 60
 REQUESTS_PER_MINUTE = 30
 FILES_PER_BATCH = 1000
 ONE_TASK_ROWS = 100_000
+OBSERVED = "live_counts"
 # --------------------------------------------------------------------------------
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""}
@@ -92,6 +95,58 @@ def saved_count(spark: SparkSession, folder: str) -> int:
     return spark.read.schema("upto long, batch long").parquet(f"{folder}/arrivals").agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
 
 
+def counted(stream: DataFrame) -> DataFrame:
+    """The stream, its records counted as they pass; ``LiveCounts`` hears of them after each batch."""
+    return stream.observe(OBSERVED, F.count(F.lit(1)).alias("received"), F.approx_count_distinct("_id").alias("distinct"))
+
+
+class LiveCounts(StreamingQueryListener):
+    """Records received and saved so far by a run of ``save_live`` over a ``counted`` stream, kept up to date by Spark's
+    progress reports; no query reads the sink again.
+
+    Counts are kept by batch, and begin with what the folder holds, so a batch that is repeated after a restart counts once.
+    Add it with ``spark.streams.addListener`` before the run starts.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.batches: dict[int, int] = {}
+        self.runs: set[str] = set()
+        self.finished: set[str] = set()
+        if _has(spark, f"{folder}/arrivals"):
+            upto = spark.read.schema("upto long, batch long").parquet(f"{folder}/arrivals").orderBy("batch").collect()  # a row a batch
+            self.batches = {r.batch: r.upto - (upto[i - 1].upto if i else 0) for i, r in enumerate(upto)}
+
+    @property
+    def received(self) -> int:
+        return sum(self.batches.values())
+
+    def settle(self, run, seconds: float = 60.0) -> int:
+        """Waits until an ended run has been reported whole; the records received."""
+        until = time.monotonic() + seconds
+        while str(run.runId) not in self.finished and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.received
+
+    def onQueryStarted(self, event) -> None:
+        self.runs.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(OBSERVED)
+        if row is not None and row["received"] is not None:
+            self.batches[event.progress.batchId] = row["received"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.finished.add(str(event.runId))
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _start(stream: DataFrame, write, checkpoint: str, available_now: bool, mode: str = "append"):
     w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{FLUSH_SECONDS} seconds")).start()

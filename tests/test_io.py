@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,31 @@ def test_store_filter_is_pushed_to_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(rating,4.0)" in plan and "wide" not in plan.split("ReadSchema")[1]
 
 
+def rows_scanned(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_leave_out_row_groups(spark, tmp_path):
+    n = 40_000
+    rows = spark.range(n).select("id", F.md5(F.col("id").cast("string")).alias("name"), F.md5((F.col("id") % 5000 + 9).cast("string")).alias("zip"), F.lit("x").alias("other"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for table, lookups in (("plain_lookup", []), ("fast_lookup", ["name", "zip"])):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        records.write_table(rows, table, f"{tmp_path}/{table}", lookups=lookups, group_bytes=64 * 1024)
+    one, some = rows.filter("id = 777").first(), lambda t, where: records.read_store(spark, path=f"{tmp_path}/{t}", where=where)
+    for column, value, found in (("name", one.name, 1), ("zip", one.zip, 8), ("zip", "missing", 0)):
+        where = f"{column} = '{value}'"
+        assert some("fast_lookup", where).count() == some("plain_lookup", where).count() == found
+        slow, fast = (rows_scanned(some(t, where)) for t in ("plain_lookup", "fast_lookup"))
+        assert fast <= slow / (10 if column == "name" else 2), (column, slow, fast)
+    for table in ("plain_lookup", "fast_lookup"):
+        spark.sql(f"DROP TABLE {table}")
+    with pytest.raises(ValueError):
+        records.write_table(rows, "t", f"{tmp_path}/t", lookups=["nothing"])
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -165,6 +191,35 @@ def test_stream_sinks_keep_unknown_keys(spark, tmp_path):
     assert {r._id: (r.place_id, r.extra) for r in csv.collect()} == {"1": ("p1", None), "2": (None, "[1]")}
 
 
+def test_live_counts_follow_the_sink_over_a_restart(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    for n in range(3):
+        write(src, f"a{n}.jsonl", [record(100 * n + i) for i in range(10 + n)] + ["", "{broken"])
+
+    def run():
+        counts = jobs.LiveCounts(spark, out)
+        before = counts.received
+        spark.streams.addListener(counts)
+        try:
+            q = jobs.save_live(jobs.counted(jobs.log_stream(spark, src, files_per_batch=1)), out, cp, available_now=True)
+            drain(q)
+            counts.settle(q)
+        finally:
+            spark.streams.removeListener(counts)
+        return before, counts.received
+
+    assert run() == (0, 33)
+    assert jobs.saved_count(spark, out) == 33
+    write(src, "b.jsonl", [record(900 + i) for i in range(7)])
+    assert run() == (33, 40)
+    assert jobs.saved_count(spark, out) == spark.read.parquet(f"{out}/table").count() == 40
+    # a batch that is repeated, its commit having been lost, counts once
+    last = max(os.listdir(f"{cp}/commits"), key=lambda f: int(f) if f.isdigit() else -1)
+    shutil.copytree(cp, f"{tmp_path}/cp2", ignore=lambda folder, names: [n for n in names if folder.endswith("commits") and n.strip(".").split(".")[0] == last])
+    cp = f"{tmp_path}/cp2"
+    assert run() == (40, 40) and jobs.saved_count(spark, out) == 40
+
+
 def record(i):
     return line(_id=f"r{i % 40}", seq=i, name=f"n{i}", scraped_at=1.7e9 + i)
 
