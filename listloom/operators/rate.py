@@ -7,7 +7,6 @@ repeated (a halo) or carried through a table with one row per bucket.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +27,8 @@ BUCKET_WIDTHS_S = (86_400, 3600, 300, 60)
 BUCKET_ROWS = 1_000_000
 # --------------------------------------------------------------------------------
 
-_STEP = ["key", "chunk", "scale", "low", "high"]
+#: Requests, or steps made of them, that are gone through in one array.
+TRACE_CHUNK = 1024
 
 
 def _micros(ts="ts"):
@@ -39,6 +39,11 @@ def _time_bucket(seconds: int):
     return F.floor(_micros() / (seconds * 1_000_000))
 
 
+def _at_most(log: DataFrame, rows: int) -> bool:
+    """Whether a log cannot hold more than ``rows`` requests, by the optimizer's estimate of its bytes."""
+    return int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= rows * 8 * len(log.columns)
+
+
 def bucket_seconds(log: DataFrame, rows: int = BUCKET_ROWS) -> int:
     """The widest of a few bucket widths in which no key has more than ``rows`` requests, or the least.
 
@@ -46,8 +51,7 @@ def bucket_seconds(log: DataFrame, rows: int = BUCKET_ROWS) -> int:
     requests, by the optimizer's estimate of its bytes, is not read for that; a larger one is counted once, by key
     and least bucket, and all widths are judged from these counts.
     """
-    bytes_a_row = 8 * len(log.columns)
-    if int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= rows * bytes_a_row:
+    if _at_most(log, rows):
         return BUCKET_WIDTHS_S[0]
     least = BUCKET_WIDTHS_S[-1]
     counts = cut(log.groupBy("req_key", _time_bucket(least).alias("t")).agg(F.count("*").alias("n")), "bucket-counts")
@@ -115,7 +119,7 @@ def failure_runs(log: DataFrame, bucket_s: int | None = None) -> DataFrame:
     bucket_s = bucket_s or bucket_seconds(log)
     order = [F.col("ts"), F.col("seq")]
     per = Window.partitionBy("req_key", "bucket")
-    fail = F.when(F.col("ok"), 0).otherwise(1)
+    fail = F.when(~F.col("ok"), 1).otherwise(0)
     rows = log.withColumn("bucket", _time_bucket(bucket_s)).withColumn(
         "island", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(per.orderBy(*order))
     )
@@ -143,70 +147,81 @@ def suggested_delay(runs: DataFrame, min_s: float = MIN_DELAY_S, max_s: float =
     return runs.withColumn("delay_s", delay)
 
 
+def _applied(step, rate):
+    """A step (scale, low, high) on a rate."""
+    return F.least(step["high"], F.greatest(step["low"], step["scale"] * rate))
+
+
+def _step(scale, low, high):
+    return F.struct(scale.alias("scale"), low.alias("low"), high.alias("high"))
+
+
+def _one_step(parts, min_rate: float, max_rate: float):
+    """The step that an array of steps makes one after the other."""
+    first = _step(F.lit(1.0), F.lit(min_rate), F.lit(max_rate))
+    return F.aggregate(parts, first, lambda a, p: _step(a["scale"] * p["step"]["scale"], _applied(p["step"], a["low"]), _applied(p["step"], a["high"])))
+
+
+def _starts(steps: DataFrame, most: int, chunk: int, min_rate: float, max_rate: float) -> DataFrame:
+    """(req_key, chunk, start): the rate before each step of (req_key, chunk, step), of which a key has ``most``.
+
+    Up to ``chunk`` steps are gone through in one array; more are first made one step for each so many.
+    """
+    parted = steps.withColumn("parent", F.floor(F.col("chunk") / chunk))
+    groups = parted.groupBy("req_key", "parent").agg(F.array_sort(F.collect_list(F.struct("chunk", "step"))).alias("parts"))
+    if most <= chunk:
+        begun = groups.withColumn("start", F.lit(max_rate))
+    else:
+        whole = groups.select("req_key", F.col("parent").alias("chunk"), _one_step(F.col("parts"), min_rate, max_rate).alias("step"))
+        above = _starts(whole, -(-most // chunk), chunk, min_rate, max_rate)
+        begun = join_null_safe(groups, above.withColumnRenamed("chunk", "parent"), ["req_key", "parent"])
+    none = F.array().cast("array<struct<chunk:bigint,start:double>>")
+    run = F.aggregate(
+        "parts",
+        F.struct(F.col("start").alias("rate"), none.alias("out")),
+        lambda a, p: F.struct(_applied(p["step"], a["rate"]).alias("rate"), F.array_append(a["out"], F.struct(p["chunk"].alias("chunk"), a["rate"].alias("start"))).alias("out")),
+        lambda a: a["out"],
+    )
+    return begun.select("req_key", F.inline(run))
+
+
+def _most_per_key(log: DataFrame) -> int:
+    """A bound on the requests of a key; short logs are not read for it."""
+    if _at_most(log, BUCKET_ROWS):
+        return BUCKET_ROWS
+    return log.groupBy("req_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def rate_trace(
-    log: DataFrame, max_rate: float = REQUESTS_PER_MINUTE, min_rate: float = MIN_RATE, bucket_s: int | None = None, chunk: int = 50_000
+    log: DataFrame, max_rate: float = REQUESTS_PER_MINUTE, min_rate: float = MIN_RATE, bucket_s: int | None = None, chunk: int = TRACE_CHUNK
 ) -> DataFrame:
     """Allowed rate after each request: up 5% on success, down 10% on failure, clamped.
 
-    Each step is a clamped multiplication, and so is any run of steps. A chunk is first
-    reduced to one such step (scale, low, high); those are applied in order to get the
-    rate at each chunk's start; then all chunks are traced independently.
+    Each step is a clamped multiplication (scale, low, high), and so is any run of steps. Requests are taken in arrays of ``chunk``;
+    each array is made one step, these give the rate before each array, then all arrays are gone through on their own. No
+    array is longer, whatever the key.
     """
     max_rate, min_rate = float(max_rate), float(min_rate)
-
-    def reduce_chunks(batches):
-        """One (scale, low, high) per chunk; rows come ordered, chunks may span batches."""
-        last, state = None, None
-        for pdf in batches:
-            done = []
-            for key, chunk_no, ok in zip(pdf["key"], pdf["chunk"], pdf["ok"]):
-                if (key, chunk_no) != last:
-                    if last is not None:
-                        done.append((*last, *state))
-                    last, state = (key, chunk_no), (1.0, min_rate, max_rate)
-                scale, low, high = state
-                if ok:
-                    state = (scale * RATE_UP, low * RATE_UP, min(high * RATE_UP, max_rate))
-                else:
-                    state = (scale * RATE_DOWN, max(low * RATE_DOWN, min_rate), max(high * RATE_DOWN, min_rate))
-            yield pd.DataFrame(done, columns=_STEP)
-        if last is not None:
-            yield pd.DataFrame([(*last, *state)], columns=_STEP)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        rate, starts = max_rate, []
-        for scale, low, high in zip(pdf["scale"], pdf["low"], pdf["high"]):
-            starts.append(rate)
-            rate = min(high, max(low, scale * rate))
-        return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "start_rate": starts})
-
-    def trace(batches):
-        last, rate = None, None
-        for pdf in batches:
-            rates = []
-            for key, chunk_no, ok, start in zip(pdf["key"], pdf["chunk"], pdf["ok"], pdf["start_rate"]):
-                if (key, chunk_no) != last:
-                    last, rate = (key, chunk_no), start
-                rate = min(rate * RATE_UP, max_rate) if ok else max(rate * RATE_DOWN, min_rate)
-                rates.append(rate)
-            yield pd.DataFrame({"seq": pdf["seq"], "key": pdf["key"], "rate": rates})
-
-    def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "position")
-
-    # keys travel as text with a mark, so that a NULL key is a value in pandas as well
-    key_type = log.schema["req_key"].dataType
-    marked = log.select("seq", F.coalesce(F.concat(F.lit("k"), F.col("req_key").cast("string")), F.lit("-")).alias("key"), "ts", "ok")
-    placed = with_position(marked, [F.col("ts"), F.col("seq")], _time_bucket(bucket_s or bucket_seconds(log)), by=["key"])
-    rows = with_chunks(placed, "position", chunk).select("seq", "key", "ok", "position", "chunk")
-    later = rows.filter("chunk > 0").select("key").distinct()
-    steps = in_order(rows.join(later, "key", "left_semi")).mapInPandas(reduce_chunks, "key string, chunk bigint, scale double, low double, high double")
-    starts = steps.groupBy("key").applyInPandas(chain, "key string, chunk bigint, start_rate double")
-    started = rows.join(starts, ["key", "chunk"], "left").withColumn("start_rate", F.coalesce("start_rate", F.lit(max_rate)))
-    traced = in_order(started).mapInPandas(trace, "seq bigint, key string, rate double")
-    key = F.when(F.col("key") != "-", F.expr("substring(key, 2)")).cast(key_type)
-    return traced.select("seq", key.alias("req_key"), F.round("rate", 6).alias("rate"))
+    placed = with_position(log.select("seq", "req_key", "ts", "ok"), [F.col("ts"), F.col("seq")], _time_bucket(bucket_s or bucket_seconds(log)), by=["req_key"])
+    up = _step(F.lit(RATE_UP), F.lit(min_rate), F.lit(max_rate))
+    down = _step(F.lit(RATE_DOWN), F.lit(min_rate), F.lit(max_rate))
+    same = _step(F.lit(1.0), F.lit(min_rate), F.lit(max_rate))
+
+    def step(ok):
+        return F.when(ok, up).when(~ok, down).otherwise(same)
+
+    rows = placed.select("req_key", F.floor((F.col("position") - 1) / chunk).alias("chunk"), F.struct("position", "seq", "ok").alias("row"))
+    arrays = cut(rows.groupBy("req_key", "chunk").agg(F.array_sort(F.collect_list("row")).alias("rows")), "trace")
+    steps = arrays.select("req_key", "chunk", _one_step(F.transform("rows", lambda r: F.struct(step(r["ok"]).alias("step"))), min_rate, max_rate).alias("step"))
+    starts = _starts(steps, -(-_most_per_key(log) // chunk), chunk, min_rate, max_rate)
+    none = F.array().cast("array<struct<seq:bigint,rate:double>>")
+    traced = F.aggregate(
+        "rows",
+        F.struct(F.col("start").alias("rate"), none.alias("out")),
+        lambda a, r: F.struct(_applied(step(r["ok"]), a["rate"]).alias("rate"), F.array_append(a["out"], F.struct(r["seq"].cast("bigint").alias("seq"), _applied(step(r["ok"]), a["rate"]).alias("rate"))).alias("out")),
+        lambda a: a["out"],
+    )
+    return join_null_safe(arrays, starts, ["req_key", "chunk"]).select("req_key", F.inline(traced)).select("seq", "req_key", F.round("rate", 6).alias("rate"))
 
 
 def tumbling_counts(log: DataFrame, width: str = "60 seconds") -> DataFrame:

@@ -167,9 +167,11 @@ def test_failure_runs_and_delay(log):
             assert got[r[0]].delay_s == max(1, min(min(2**run, 10), 5))
 
 
-@pytest.mark.parametrize("chunk", [7, 100_000])
-def test_rate_trace(log, chunk):
+@pytest.mark.parametrize("chunk", [2, 7, 1024])
+def test_rate_trace(log, chunk, monkeypatch):
     df, per_key = log
+    rate_most = rate._most_per_key
+    monkeypatch.setattr(rate, "_most_per_key", lambda log: 1500 if chunk < 1024 else rate_most(log))
     got = {r.seq: r.rate for r in rate.rate_trace(df, bucket_s=30, chunk=chunk).collect()}
     assert len(got) == 1500
     for rows in per_key.values():
@@ -508,6 +510,18 @@ def test_null_keys_stay_in_rate_analytics(spark):
         assert sorted((r.seq, r.req_key) for r in got.collect()) == [(r[0], r[1]) for r in rows]
 
 
+def test_unknown_outcomes_count_neither_way(spark):
+    at = dt.datetime(2024, 1, 1)
+    oks = [False, None, False, True, None, False, None]
+    log = spark.createDataFrame([(i, 1, at + dt.timedelta(seconds=i), ok, 1.0) for i, ok in enumerate(oks)], "seq bigint, req_key bigint, ts timestamp, ok boolean, response_s double")
+    assert [r.failures for r in rate.failure_runs(log).orderBy("seq").collect()] == [1, 1, 2, 0, 0, 1, 1]
+    for chunk in (2, 1024):
+        got = [r.rate for r in rate.rate_trace(log, chunk=chunk).orderBy("seq").collect()]
+        assert got == [27.0, 27.0, 24.3, 25.515, 25.515, 22.9635, 22.9635]
+    assert [r.failures for r in rate.failure_sessions(log).collect()] == [3]
+    assert "Python" not in rate.rate_trace(log)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_without_a_direction_are_noise(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [float("nan"), 1.0])]
     got = values(cluster.cluster(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), "vec_id", "cluster")
