@@ -330,6 +330,23 @@ def c3(spark, sf):
     return cluster.neighbour_pairs(table(spark, sf, "embeddings"))
 
 
+# The vectors and a shifted copy of each, which is its neighbour
+_SHIFTED = """WITH shifted AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings UNION ALL
+  SELECT vec_id + 100000000, list_transform(embedding, lambda x, i: x::DOUBLE + ((vec_id + i) % 3 - 1) * 0.03125) FROM embeddings)"""
+
+
+@query(
+    "c3_neighbours_of_copies",
+    _SHIFTED + """SELECT x.vec_id AS a, y.vec_id AS b FROM shifted x JOIN shifted y ON x.vec_id < y.vec_id
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.7""",
+)
+def c3_copies(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    shift = F.transform("embedding", lambda x, i: x + ((F.col("vec_id") + i + 1) % 3 - 1) * F.lit(0.03125))
+    both = vectors.unionByName(vectors.select((F.col("vec_id") + 100_000_000).alias("vec_id"), shift.alias("embedding")))
+    return cluster.neighbour_pairs(both).select("a", "b")
+
+
 @query("c3_neighbour_pairs_wide", _pairs_sql(0.6))
 def c3_wide(spark, sf):
     return cluster.neighbour_pairs(table(spark, sf, "embeddings"), eps=0.6)
