@@ -27,7 +27,7 @@ def test_query_matches_sql(name, spark, sf_dir, con):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 # -- 3 archives --------------------------------------------------------------------
