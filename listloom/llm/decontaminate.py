@@ -4,9 +4,10 @@ The documents of an Arrow batch are a shard. Its suffix array holds the word pos
 first words also begin some benchmark suffix (no other can match), sorted by the words that
 follow. Every benchmark suffix is found in it by binary search, which gives all places where
 its first ten words (all of a shorter item) occur verbatim; places on one diagonal are joined
-to the longest match. No shuffle: documents stay where they are, the benchmark travels. It is
-split into blocks of a fixed number of bytes, and each block is one more pass over the batch,
-so what a task holds does not grow with the benchmark.
+to the longest match. No shuffle: documents stay where they are, the benchmark travels. Spark
+writes it to the shared folder in blocks of a fixed number of bytes; a task reads one block after
+the other and searches the documents at hand for it, so neither the driver nor a task ever
+holds more than one block, however long the benchmark is.
 
 Results: null, empty and wordless texts have no words and no matches; such items match nothing.
 Repeated items are found each; an item without an id is matched but not listed. Repeated rows
@@ -15,19 +16,28 @@ are rows of their own. A document is affected by any match, also by one of a sho
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import append
+from ..session import work_path
+from .tables import slices, whole_texts
 from .text import ALNUM, HashTable, Words, sequence_hash
 
 WINDOW = 10
 #: Leading words by which a position enters the suffix array.
 ANCHOR = 3
-#: Benchmark text held by a task at a time.
+#: Benchmark text held by a task at a time (one item may be longer).
 BLOCK_BYTES = 4 << 20
+#: Documents a task searches for a block before it reads the next one.
+SLAB_BYTES = 16 << 20
 #: Longest suffix array; a batch with more matching positions is several shards.
 SHARD_SUFFIXES = 1 << 19
 
@@ -37,8 +47,8 @@ _MATCH = "struct<item_id: long, item_start: long, doc_start: long, length: long>
 class Suffixes:
     """The suffixes of some benchmark items, by the number of words that must match."""
 
-    def __init__(self, ids: list, texts: list, window: int):
-        words = Words(pa.array(texts, pa.string()), ALNUM)
+    def __init__(self, ids: list, texts: pa.Array, window: int):
+        words = Words(texts, ALNUM)
         self.ids = ids
         self.classes = []
         counts = words.counts()
@@ -118,13 +128,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """``docs`` (text) with n_words, n_hit and matches: the longest verbatim matches with ``benchmark``
     (item_id, text), each with its place in the item and in the document, in words. Input columns with these three
     names are replaced, all others kept."""
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out = docs.withColumn("matches", F.expr(f"cast(array() as array<{_MATCH}>)"))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        out = _search(out, Suffixes([r.item_id for r in rows], [r.text for r in rows], window))
+    out = _search(docs, _write_blocks(benchmark, block_bytes), window)
     spans = F.array_sort(F.transform("matches", lambda m: F.struct(m.doc_start.alias("lo"), (m.doc_start + m.length).alias("hi"))))
     first = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     hit = F.aggregate(
@@ -136,21 +140,108 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     return out.withColumn("n_hit", hit)
 
 
-def _search(docs: DataFrame, tests: Suffixes) -> DataFrame:
-    def run(batch):
-        words = Words(batch.column("text"), ALNUM)
-        doc, place, length, item, start = _matches(words, tests)
-        order = np.lexsort((start, item, place, doc))
-        offsets = np.searchsorted(doc[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-        ids = pa.array([tests.ids[i] for i in item[order]], pa.int64())
-        new = pa.StructArray.from_arrays([ids, *(pa.array(x[order].astype(np.int64)) for x in (start, place, length))], names=["item_id", "item_start", "doc_start", "length"])
-        return [pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(offsets), new)]
-
-    new = "found"
-    while new in docs.columns:
-        new += "_"
-    found = append(docs, run, f"n_words long, {new} array<{_MATCH}>")
-    return found.withColumn("matches", F.concat("matches", new)).drop(new)
+def _write_blocks(benchmark: DataFrame, block_bytes: int) -> str:
+    """The folder to which Spark has written the benchmark, a row for each block of about ``block_bytes`` of text."""
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in slices(batches, limit=block_bytes):
+            new = pc.sum(pc.binary_length(batch.column("text"))).as_py()
+            if held and n + new > block_bytes:
+                yield _block(held)
+                held, n = [], 0
+            held.append(batch)
+            n += new
+        if held:
+            yield _block(held)
+
+    path = work_path(benchmark.sparkSession, "benchmark")
+    # tasks read several small partitions each, so that blocks do not come out smaller than need be
+    few = items.coalesce(max(1, -(-size // block_bytes)))
+    whole_texts(few).mapInArrow(blocks, "ids array<long>, texts array<string>").write.parquet(path)
+    return path
+
+
+def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    one = pa.array([0, table.num_rows], pa.int32())
+    columns = [pa.ListArray.from_arrays(one, table.column(name).combine_chunks()) for name in ("item_id", "text")]
+    return pa.RecordBatch.from_arrays(columns, names=["ids", "texts"])
+
+
+class Blocks:
+    """The blocks of a folder, read one after the other; a single one is kept for the next slab."""
+
+    def __init__(self, path: str, window: int):
+        self.files, root = fs.FileSystem.from_uri(path)
+        found = self.files.get_file_info(fs.FileSelector(root))
+        self.window, self.only = window, None
+        self.names = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        self.single = sum(pq.ParquetFile(self.files.open_input_file(name)).metadata.num_rows for name in self.names) == 1
+
+    def __iter__(self) -> Iterator[Suffixes]:
+        if self.only is not None:
+            yield self.only
+            return
+        for name in self.names:
+            with self.files.open_input_file(name) as file:
+                # buffered, so that a file is not read whole for its first block
+                for row in pq.ParquetFile(file, buffer_size=1 << 20).iter_batches(batch_size=1):
+                    tests = Suffixes(row.column("ids")[0].values.to_pylist(), row.column("texts")[0].values, self.window)
+                    if self.single:
+                        self.only = tests
+                    yield tests
+                    del tests, row
+
+
+def _slabs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of documents, as many at a time as fill a slab."""
+    held, n = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        n += batch.nbytes
+        del batch
+        if n >= SLAB_BYTES:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _search(docs: DataFrame, path: str, window: int) -> DataFrame:
+    new = T.StructType.fromDDL(f"n_words long, matches array<{_MATCH}>")
+    kept = [f for f in docs.schema if f.name.lower() not in new.names]
+    schema = T.StructType([*kept, *new])
+
+    def run(batches):
+        blocks = Blocks(path, window)
+        for slab in _slabs(batches):
+            words = [Words(batch.column("text"), ALNUM) for batch in slab]
+            found = [[] for _ in slab]
+            for tests in blocks:
+                for out, one in zip(found, words):
+                    doc, place, length, item, start = _matches(one, tests)
+                    if len(doc):
+                        known = np.array([i is not None for i in tests.ids])[item]
+                        ids = np.array([i or 0 for i in tests.ids], dtype=np.int64)[item]
+                        out.append(np.stack([doc, place, ids, start, length, known]))
+            for batch, one, out in zip(slab, words, found):
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(one.counts()), _listed(out, batch.num_rows)], names=schema.names)
+            del slab, words, found
+
+    return whole_texts(docs).mapInArrow(run, schema)
+
+
+def _listed(found: list[np.ndarray], n: int) -> pa.ListArray:
+    """The matches of n documents, by their place in the document, whichever block they come from."""
+    doc, place, ids, start, length, known = np.concatenate(found, axis=1) if found else np.zeros((6, 0), dtype=np.int64)
+    order = np.lexsort((start, ids, known, place, doc))
+    offsets = np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)
+    columns = [pa.array(ids[order], mask=known[order] == 0), *(pa.array(x[order].astype(np.int64)) for x in (start, place, length))]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=["item_id", "item_start", "doc_start", "length"]))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -276,6 +276,37 @@ def test_matches_are_longest_and_placed(spark):
     assert decontaminate.remove_contaminated(docs_of(spark, rows), bench.filter("false")).count() == 2
 
 
+@pytest.mark.parametrize("slab_bytes", [1, 16 << 20])
+def test_benchmark_of_many_blocks(spark, monkeypatch, slab_bytes):
+    """Blocks hold at most their bytes (or one item); whatever they and the slabs are, matches stay the same."""
+    monkeypatch.setattr(decontaminate, "SLAB_BYTES", slab_bytes)
+    rnd = random.Random(8)
+    items = [(i, " ".join(f"w{rnd.randrange(50)}" for _ in range(25))) for i in range(60)] + [(None, "alone " * 12), (70, None), (71, ""), (72, "x " * 400)]
+    rows = [(i, f"intro {items[i % 60][1]} middle {items[(i * 7) % 60][1]}") for i in range(90)] + [(900, "alone " * 11), (901, None), (902, "x " * 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(7)
+    path = decontaminate._write_blocks(bench, 400)
+    sizes = [sum(map(len, r.texts)) for r in spark.read.parquet(path).collect()]
+    assert all(n <= 400 or n == 800 for n in sizes) and len(sizes) > 8
+    assert sum(len(r.texts) for r in spark.read.parquet(path).collect()) == 63
+    found = decontaminate.with_matches(docs_of(spark, rows), bench, block_bytes=400)
+    got = [(r.doc_id, r.n_words, r.n_hit, tuple(sorted({m.item_id for m in r.matches}, key=str))) for r in found.collect()]
+    assert sorted(got, key=repr) == brute_hits(rows, items)
+    one = {r.doc_id: r.matches for r in decontaminate.with_matches(docs_of(spark, rows), bench).collect()}
+    assert {r.doc_id: r.matches for r in found.collect()} == one
+
+
+def test_no_benchmark_text_reaches_the_driver(spark, monkeypatch):
+    """The driver asks Spark for one number, the bytes of the benchmark."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    asked, plain = [], Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda df: asked.append(df.columns) or plain(df))
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    found = decontaminate.with_matches(docs_of(spark, [(1, "a b c d e f g h i j")]), bench)
+    assert all("text" not in columns for columns in asked)
+    assert found.first().n_hit == 10
+
+
 # -- 7 and 9 tokens ----------------------------------------------------------------
 
 ALPHABET = ["a", "b", "s", "t", "re", "ll", "ve", "'", "'", " ", " ", "\n", "\t", "1", ".", ",", "é", "ß", "²", "\xa0", "日本", "😀", "́", "<|endoftext|>", "Z", "don't", "I'LL", "\x00", "\r\n", "▁", "<s>", "  ", "\x85"]
