@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions.quality import nested_as_json
 from ..operators.ordering import with_serial
@@ -30,6 +30,11 @@ REQUESTS_PER_MINUTE = 30
 FILES_PER_BATCH = 1000
 ONE_TASK_ROWS = 100_000
 OBSERVED = "live_counts"
+#: Request times of a key that are sorted in memory, 8 bytes each; more go through the state store, by cells.
+HELD_TIMES = 1_000_000
+CELL_S = 1.0
+COUNTER_ROWS = 10_000
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # --------------------------------------------------------------------------------
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": ""}
@@ -220,37 +225,112 @@ def failure_session_stream(requests: DataFrame, gap: str = "1 hour") -> DataFram
     return sessions.select("req_key", F.col("s.start").alias("first_failure"), F.col("s.end").alias("expires"), "failures")
 
 
-def opened_counters(requests: DataFrame, window_s: int = WINDOW_S, limit: int = REQUESTS_PER_MINUTE) -> DataFrame:
+class OpenedCounters(StatefulProcessor):
+    """The counters of one key: the state is the open one, dropped by a timer when the watermark passes its end.
+
+    Requests come in Arrow slices, in no order. Up to ``held`` times of a key are sorted in memory; those of a busier key
+    are put into the state store by cells of ``cell`` microseconds, and taken out cell by cell in order. So a task holds
+    one slice, ``held`` times or one cell of one key, however many requests a batch brings.
+    """
+
+    def __init__(self, width: int, limit: int, held: int, cell: int):
+        self.width, self.limit, self.held, self.cell = width, limit, held, cell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "opened long, n long")
+        self.waiting = handle.getMapState("waiting", "cell long, part long", "times binary")
+
+    def _put(self, times: np.ndarray, parts: dict[int, int]) -> None:
+        cells = times // self.cell
+        for some in np.split(times, np.flatnonzero(np.diff(cells)) + 1):
+            cell = int(some[0]) // self.cell
+            part = parts.get(cell, 0)
+            self.waiting.updateValue((cell, part), (some.tobytes(),))
+            parts[cell] = part + 1
+
+    def _ordered(self, frames: Iterable[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """All times of the batch, in ascending pieces."""
+        kept: list[np.ndarray] = []
+        parts: dict[int, int] = {}
+        for frame in frames:
+            kept.append(frame["us"].to_numpy(dtype=np.int64))
+            if sum(map(len, kept)) > self.held:
+                self._put(np.sort(np.concatenate(kept)), parts)
+                kept = []
+        if parts and kept:
+            self._put(np.sort(np.concatenate(kept)), parts)
+            kept = []
+        if kept:
+            yield np.sort(np.concatenate(kept))
+        for cell in sorted(parts):
+            stored = []
+            for part in range(parts[cell]):
+                stored.append(np.frombuffer(self.waiting.getValue((cell, part))[0], dtype=np.int64))
+                self.waiting.removeKey((cell, part))
+            yield np.sort(np.concatenate(stored))
+
+    def _due(self, opened: int) -> int:
+        """The millisecond by which a counter has ended."""
+        return -(-(opened + self.width) // 1000)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = opened = n = None
+        if self.counter.exists():
+            before, n = self.counter.get()
+            opened = before
+        done: list[tuple] = []
+        for times in self._ordered(rows):
+            at = 0
+            while at < len(times):
+                if opened is None or times[at] >= opened + self.width:
+                    if opened is not None and n > 0:
+                        done.append((key[0], opened, n))
+                    opened, n = int(times[at]), 0
+                end = int(np.searchsorted(times, opened + self.width, side="left"))
+                n += end - at
+                at = end
+                if len(done) >= COUNTER_ROWS:
+                    yield self._rows(done)
+                    done = []
+        done.append((key[0], opened, n))
+        self.counter.update((opened, n))
+        if opened != before:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.handle.registerTimer(self._due(opened))
+        yield self._rows(done)
+
+    def _rows(self, done: list[tuple]) -> pd.DataFrame:
+        key, opened, n = zip(*done)
+        counts = np.array(n, dtype=np.int64)
+        return pd.DataFrame(
+            {"name": list(key), "opened": pd.to_datetime(opened, unit="us"), "requests": counts, "over_limit": np.maximum(0, counts - self.limit)}
+        )
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.counter.exists() and self._due(self.counter.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.counter.clear()
+        return iter([])
+
+
+def opened_counters(
+    requests: DataFrame, window_s: int = WINDOW_S, limit: int = REQUESTS_PER_MINUTE, held: int = HELD_TIMES, cell_s: float = CELL_S
+) -> DataFrame:
     """Per key, a counter that opens at the first request and lives ``window_s``.
 
-    Emits (req_key, opened, requests, over_limit) for each counter a batch touched; use
-    ``update`` mode and ``latest``. The state of a key is one open counter, dropped when the
-    watermark passes its end. Only the times of one batch's requests of a key are held.
+    Emits (req_key, opened, requests, over_limit) for each counter a batch touched; use ``update`` mode and ``latest``.
+    The state lies in RocksDB, which this call chooses for streams that the session starts from now on; streams
+    restarted from a checkpoint keep the store they began with.
     """
-    width = window_s * 1_000_000
-    key_field = requests.schema["req_key"]
-    out_schema = T.StructType(
-        [key_field, T.StructField("opened", T.TimestampType()), T.StructField("requests", T.LongType()), T.StructField("over_limit", T.LongType())]
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    key = requests.schema["req_key"].dataType
+    counters = OpenedCounters(window_s * 1_000_000, limit, held, max(1, int(cell_s * 1_000_000)))
+    # pandas has no NULL among whole numbers, so keys travel as text, and NULL as a text of its own
+    named = F.coalesce(F.concat(F.lit("="), F.col("req_key").cast("string")), F.lit("")).alias("name")
+    timed = requests.select(named, "ts", F.unix_micros("ts").alias("us"))
+    out = timed.groupBy("name").transformWithStateInPandas(
+        counters, "name string, opened timestamp, requests long, over_limit long", "update", "EventTime"
     )
-    state_schema = T.StructType([T.StructField("opened", T.LongType()), T.StructField("n", T.LongType())])
-
-    def run(key: tuple[Any, ...], frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = np.sort(np.concatenate([f["us"].to_numpy() for f in frames]))
-        opened, n = state.get if state.exists else (int(times[0]), 0)
-        at, rows = 0, []
-        while at < len(times):
-            if times[at] >= opened + width:
-                opened, n = int(times[at]), 0
-            end = int(np.searchsorted(times, opened + width, side="left"))
-            n += end - at
-            rows.append((key[0], pd.Timestamp(opened, unit="us"), n, max(0, n - limit)))
-            at = end
-        state.update((opened, n))
-        state.setTimeoutTimestamp(max((opened + width) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["req_key", "opened", "requests", "over_limit"])
-
-    timed = requests.select("req_key", "ts", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("req_key").applyInPandasWithState(run, out_schema, state_schema, "update", "EventTimeTimeout")
+    req_key = F.when(F.col("name") != "", F.substring("name", 2, 2**31 - 1).cast(key)).alias("req_key")
+    return out.select(req_key, "opened", "requests", "over_limit")

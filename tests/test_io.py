@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 import shutil
 
 import pytest
@@ -289,6 +290,52 @@ def test_opened_counters_across_batches(spark, tmp_path):
     assert [((r.opened - base).total_seconds(), r.requests, r.over_limit) for r in rows] == [(0, 3, 1), (60, 2, 0), (200, 3, 1), (261, 1, 0)]
 
 
+def opened_by_hand(rows, width_us):
+    """(key, opened, requests) of all counters, request by request."""
+    out, last = [], {}
+    for key, us in sorted(rows, key=lambda r: r[1]):
+        if key not in last or us >= out[last[key]][1] + width_us:
+            last[key] = len(out)
+            out.append([key, us, 0])
+        out[last[key]][2] += 1
+    return sorted(map(tuple, out), key=repr)
+
+
+@pytest.mark.parametrize("held, cell_s", [(10, 0.001), (500, 7.0), (100_000, 1.0)])
+def test_opened_counters_of_a_busy_key(spark, tmp_path, held, cell_s):
+    """Times that pass through the state store give what sorting them in memory gives; NULL is a key."""
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    schema = spark.createDataFrame([], "req_key bigint, ts timestamp").schema
+    rnd, rows = random.Random(4), []
+    for start in (0, 30):
+        batch = [(rnd.choice([1, 1, 1, 1, 2, None]), start * 10**6 + rnd.randrange(30 * 10**6)) for _ in range(3000)] + [(3, start * 10**6 + 5)] * 40
+        rows += batch
+        df = spark.createDataFrame(batch, "req_key bigint, us bigint").select("req_key", F.timestamp_micros("us").alias("ts"))
+        df.repartition(3).write.mode("append").parquet(src)
+        counters = jobs.opened_counters(jobs.request_stream(spark, src, schema), window_s=2, limit=5, held=held, cell_s=cell_s)
+        drain(jobs.save_results(counters, out, cp, "update", available_now=True))
+    got = jobs.latest(spark.read.parquet(out), ["req_key", "opened"]).select("req_key", F.unix_micros("opened"), "requests", "over_limit").collect()
+    assert sorted([tuple(r)[:3] for r in got], key=repr) == opened_by_hand(rows, 2 * 10**6)
+    assert all(r.over_limit == max(0, r.requests - 5) for r in got)
+
+
+def test_opened_counters_leave_the_state(spark, tmp_path):
+    """A counter goes when the watermark passes its end; what passed through the store does not stay there."""
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
+    schema = spark.createDataFrame([], "req_key bigint, ts timestamp").schema
+    base = dt.datetime(2024, 1, 1)
+    for hour in range(3):
+        rows = [(100 * hour + i % 3, base + dt.timedelta(hours=hour, milliseconds=i)) for i in range(600)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        counters = jobs.opened_counters(jobs.request_stream(spark, src, schema), window_s=60, held=50, cell_s=0.01)
+        drain(jobs.save_results(counters, out, cp, "update", available_now=True))
+    assert spark.read.parquet(out).agg(F.sum("requests")).first()[0] == 1800
+    left = spark.read.format("statestore").option("path", cp).option("stateVarName", "counter").load()
+    assert {r.k for r in left.select(F.col("key.name").alias("k")).collect()} <= {"=200", "=201", "=202"}
+    waiting = spark.read.format("statestore").option("path", cp).option("stateVarName", "waiting").load()
+    assert waiting.count() == 0
+
+
 def test_broken_lines_leave_no_record(spark, tmp_path):
     src, out, cp = (f"{tmp_path}/{n}" for n in ("src", "out", "cp"))
     write(src, "f.jsonl", [record(1), "{broken", "", record(5), record(9)])
