@@ -320,6 +320,7 @@ def opened_counters(
     """Per key, a counter that opens at the first request and lives ``window_s``.
 
     Emits (req_key, opened, requests, over_limit) for each counter a batch touched; use ``update`` mode and ``latest``.
+    A stream begins with the watermark 1970-01-01 00:00:00, so requests of that very moment or before count as late.
     The state lies in RocksDB, which this call chooses for streams that the session starts from now on; streams
     restarted from a checkpoint keep the store they began with.
     """
