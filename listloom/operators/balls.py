@@ -24,7 +24,7 @@ from .blocks import spread
 
 #: Balls a ball is split into at most, and vectors that meet its pivots in one task.
 FAN = 64
-TASK_ROWS = 20_000
+TASK_ROWS = 4_000
 SLACK = 1e-6
 
 

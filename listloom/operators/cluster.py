@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from . import balls as ball_tree
 from .balls import SLACK as _SLACK
 from .balls import distances, unit
@@ -23,9 +25,12 @@ EPS = 0.3
 MIN_SAMPLES = 2
 NOISE = -1
 # --------------------------------------------------------------------------------
-PART = 2048
+#: Vectors of one side of a cell: each vector is sent to about as many cells as a table has parts.
+PART = 8192
 #: Pivots of a single level; for more than so many times ``PART`` vectors a tree of balls takes its place.
 MAX_PIVOTS = 256
+#: Rows a task of ``_cells`` makes at a time, cosines ``_compare`` holds at a time, and links it gives back at a time.
+SENT, HELD, GIVEN = 16_384, 1 << 20, 1 << 16
 
 
 def feature_text(name, category, description) -> Column:
@@ -113,6 +118,44 @@ def _sure_links(d: DataFrame, balls: _Balls, sure: set[tuple[int, int]]) -> Data
     return members.select(F.col("first").cast(rep_type).alias("a"), F.col("rep").alias("b")).unionByName(of_balls)
 
 
+def _sender(balls: _Balls, eps: float, part: int, skip: set[tuple[int, int]]):
+    """The step of ``_cells``: what a vector is sent to grows with the table, so few vectors are taken at a time."""
+    pivots, n_balls = balls.pivots, len(balls.pivots.value)
+    parts, bound, apart = np.zeros(n_balls, dtype=np.int64), np.full(n_balls, -np.inf), np.ones((n_balls, n_balls), dtype=bool)
+    for ball, n in balls.size.items():
+        parts[ball] = max(1, math.ceil(n / part))
+        bound[ball] = balls.radius[ball] + math.sqrt(2.0 * eps) + _SLACK
+    for one, other in skip:
+        apart[one, other] = apart[other, one] = False
+    step = max(1, SENT // max(1, int(parts.sum())))
+
+    def sent(pdf: pd.DataFrame) -> pd.DataFrame:
+        dist = distances(unit(pdf["v"]), pivots.value)
+        home = dist.argmin(axis=1)
+        near = dist <= bound
+        near[np.arange(len(home)), home] = True
+        row, ball = np.nonzero(near & apart[home])
+        # once for each part of the ball
+        n = parts[ball]
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row, ball = np.repeat(row, n), np.repeat(ball, n)
+        h = home[row]
+        own = pdf["mark"].to_numpy()[row] % parts[h]
+        same, first = h == ball, h < ball
+        ia = np.where(same, np.minimum(own, other), np.where(first, own, other))
+        ib = np.where(same, np.maximum(own, other), np.where(first, other, own))
+        side = np.where(same, own, ~first)
+        rep, v = pdf["rep"].to_numpy()[row], pdf["v"].to_numpy()[row]
+        return pd.DataFrame({"ca": np.minimum(h, ball), "cb": np.maximum(h, ball), "ia": ia, "ib": ib, "side": side, "rep": rep, "v": v})
+
+    def spread(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                yield sent(pdf.iloc[lo : lo + step])
+
+    return spread
+
+
 def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[int, int]]) -> DataFrame:
     """Rows (ca, cb, ia, ib, side, rep, v): every two vectors within ``eps`` meet in one cell,
     but for the pairs of balls in ``skip``.
@@ -122,82 +165,84 @@ def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[i
     other pairs of balls are never compared. A ball of any size is cut into parts of about
     ``part`` rows.
     """
-    pivots, radius = balls.pivots, balls.radius
-    parts = {ball: max(1, math.ceil(n / part)) for ball, n in balls.size.items()}
-    reach = math.sqrt(2.0 * eps) + _SLACK
-
-    def spread(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            dist = distances(unit(pdf["v"]), pivots.value)
-            home = dist.argmin(axis=1)
-            out = []
-            for k, (rep, v, mark) in enumerate(zip(pdf["rep"], pdf["v"], pdf["mark"])):
-                h = int(home[k])
-                own = int(mark) % parts[h]
-                if (h, h) not in skip:
-                    for other in range(parts[h]):
-                        out.append((h, h, min(own, other), max(own, other), own, rep, v))
-                for b, r in radius.items():
-                    if b == h or dist[k, b] > r + reach or (min(b, h), max(b, h)) in skip:
-                        continue
-                    for other in range(parts[b]):
-                        if h < b:
-                            out.append((h, b, own, other, 0, rep, v))
-                        else:
-                            out.append((b, h, other, own, 1, rep, v))
-            yield pd.DataFrame(out, columns=["ca", "cb", "ia", "ib", "side", "rep", "v"])
-
     rep_type = d.schema["rep"].dataType.simpleString()
     vec_type = d.schema["v"].dataType.simpleString()
     marked = d.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(2**31 - 1)).alias("mark"))
-    return marked.mapInPandas(spread, f"ca long, cb long, ia int, ib int, side int, rep {rep_type}, v {vec_type}")
+    return marked.mapInPandas(_sender(balls, eps, part, skip), f"ca long, cb long, ia int, ib int, side int, rep {rep_type}, v {vec_type}")
 
 
 def _compare(cells: DataFrame, eps: float, forest: bool) -> DataFrame:
     rep_type = cells.schema["rep"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ca, cb, ia, ib = (int(pdf[c].iloc[0]) for c in ("ca", "cb", "ia", "ib"))
-        side = pdf["side"].to_numpy()
-        ids = pdf["rep"].to_numpy()
-        x = unit(pdf["v"])
-        if ca == cb and ia == ib:
-            left = right = np.arange(len(ids))
-        else:
-            low, high = (ia, ib) if ca == cb else (0, 1)
-            left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        sim = x[left] @ x[right].T
-        i, j = np.nonzero(sim >= 1.0 - eps)
-        a, b, s = ids[left[i]], ids[right[j]], sim[i, j]
-        keep = a < b if left is right else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        if forest:
-            kept = _spanning(a, b)
-            a, b, s = a[kept], b[kept], s[kept]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(s, 6)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = [(pdf[["ca", "cb", "ia", "ib"]].iloc[0], pdf["side"].to_numpy(), pdf["rep"].to_numpy(), unit(pdf["v"])) for pdf in batches if len(pdf)]
+        ca, cb, ia, ib = (int(n) for n in read[0][0])
+        side, ids, x = (np.concatenate(of) for of in list(zip(*read))[1:])
+        del read
+        among = ca == cb and ia == ib
+        low, high = (ia, ib) if ca == cb else (0, 1)
+        left = np.arange(len(ids)) if among else np.flatnonzero(side == low)
+        right = left if among else np.flatnonzero(side == high)
+        xl, xr = x[left], x[right]
+        parts, found, given = _Parts(len(ids)), [], 0
+        step = max(1, HELD // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            # within one part every two are compared once
+            skip = lo if among else 0
+            sim = xl[lo : lo + step] @ xr[skip:].T
+            i, j = np.nonzero(np.triu(sim >= 1.0 - eps, 1) if among else sim >= 1.0 - eps)
+            s, i, j = sim[i, j], left[lo + i], right[skip + j]
+            if forest:
+                kept = parts.join(i, j)
+                i, j, s = i[kept], j[kept], s[kept]
+            a, b = ids[i], ids[j]
+            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(s, 6)}))
+            given += len(a)
+            if given >= GIVEN:
+                yield pd.concat(found, ignore_index=True)
+                found, given = [], 0
+        if found:
+            yield pd.concat(found, ignore_index=True)
 
     return by_cell(cells, ["ca", "cb", "ia", "ib"]).applyInPandas(run, f"a {rep_type}, b {rep_type}, cosine double")
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of links that join two parts not yet joined: at most one per vector."""
-    root: dict = {}
-
-    def find(n):
-        while root.setdefault(n, n) != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[rx] = ry
-            kept.append(k)
-    return kept
+class _Parts:
+    """Which of ``n`` vectors are joined by the links so far."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Positions of links that join two parts not yet joined; over all calls at most one a vector."""
+        _, one = np.unique(j, return_index=True)
+        first = one[self._spanning(i[one], j[one])]
+        rest = np.flatnonzero(self.of[i] != self.of[j])
+        return np.concatenate((first, rest[self._spanning(i[rest], j[rest])])).astype(np.int64)
+
+    def _spanning(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(self.of[i], self.of[j]), np.maximum(self.of[i], self.of[j])
+        _, one = np.unique(low * len(self.of) + high, return_index=True)
+        one = one[low[one] != high[one]]
+        root: dict = {}
+
+        def find(n):
+            while root.setdefault(n, n) != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        kept = []
+        for k, x, y in zip(one.tolist(), low[one].tolist(), high[one].tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[rx] = ry
+                kept.append(k)
+        now = np.arange(len(self.of))
+        for n in list(root):
+            now[n] = find(n)
+        self.of = now[self.of]
+        return np.array(kept, dtype=np.int64)
 
 
 def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
@@ -205,7 +250,7 @@ def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_c
 
     Exact: no pair is missed. Copies are represented by their first row (``copy_links``).
     """
-    every = distinct_vectors(vectors, id_col, vector)
+    every = cut(distinct_vectors(vectors, id_col, vector), "distinct")
     found = every.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
     for d in _by_length(every):
         if d.count() > MAX_PIVOTS * part:
@@ -237,7 +282,7 @@ def cluster(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_
     yields about as many links as it has members.
     """
     links = copy_links(vectors, id_col, vector)
-    for d in _by_length(distinct_vectors(vectors, id_col, vector)):
+    for d in _by_length(cut(distinct_vectors(vectors, id_col, vector), "distinct")):
         if d.count() > MAX_PIVOTS * part:
             links = links.unionByName(_tree_links(d, eps, part))
         elif (balls := _balls(d, part)) is not None:

@@ -5,8 +5,10 @@ import math
 import os
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +429,29 @@ def test_clusters(vectors, part):
     assert got == {i: want.get(i, -1) for i in ids}
 
 
+def test_vectors_are_sent_to_cells_a_few_rows_at_a_time():
+    """However many balls and parts there are, a task holds a bounded number of the rows it makes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    pivots = balls.unit(pd.Series(list(x[:200])))
+    every = range(200)
+    found = cluster._Balls(SimpleNamespace(value=pivots), {b: 100 for b in every}, {b: 2.0 for b in every}, {b: b for b in every})
+    send = cluster._sender(found, 0.3, 50, {(0, 1), (3, 3)})
+    sizes = []
+    for sent in send([pd.DataFrame({"rep": range(3000), "v": list(x), "mark": range(3000)})]):
+        sizes.append(len(sent))
+        assert not ((sent.ca == 0) & (sent.cb == 1) | (sent.ca == 3) & (sent.cb == 3)).any()
+    assert max(sizes) <= cluster.SENT and sum(sizes) > 1_000_000
+
+
+@pytest.mark.parametrize("held", [1, 2000])
+def test_neighbours_do_not_depend_on_the_strips(vectors, monkeypatch, held):
+    monkeypatch.setattr(cluster, "HELD", held)
+    monkeypatch.setattr(cluster, "GIVEN", 100)
+    test_neighbour_pairs(vectors, 200)
+    test_clusters(vectors, 200)
+
+
 def test_cluster_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert cluster.cluster(empty).count() == 0
