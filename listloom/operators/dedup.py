@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ MOST_COMMON_FIELDS = ("website", "price_range")
 LONGEST_FIELD, LARGEST_FIELD = "description", "rating"
 # --------------------------------------------------------------------------------
 
+#: Records a task of a merge takes, and slots a task: a record makes some ten values, so tasks are counted by records, not bytes.
+TASK_RECORDS, _SLOTS = 50_000, 8
+
 _ITEM = "array<struct<field:string,sub:string,value:string,pos:int>>"
 
 
@@ -50,8 +55,18 @@ def _list_items(field: str):
     return F.transform(values, lambda v, i: _item(field, F.lit(""), v, i))
 
 
+def _tasks(keyed: DataFrame) -> int:
+    """How many tasks a merge has: as the session states, or more if there are many records."""
+    return max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(keyed.count() / TASK_RECORDS))
+
+
+def _slotted(keyed: DataFrame, tasks: int) -> DataFrame:
+    """Records dealt to ``tasks`` tasks by their ``slot``, so that values of a key can be combined there before they are sent to it."""
+    return keyed.withColumn("slot", F.pmod(F.xxhash64("seq"), F.lit(tasks * _SLOTS)).cast("int")).repartition(tasks, "slot")
+
+
 def _items(df: DataFrame) -> DataFrame:
-    """All values of the merged lists, maps and most common fields as rows (key, seq, field, sub, value, pos)."""
+    """All values of the merged lists, maps and most common fields as rows (key, slot, seq, field, sub, value, pos)."""
     nothing, zero = F.lit(""), F.lit(0)
     parts = [_list_items(f) for f in LIST_FIELDS if f in df.columns]
     for f in MOST_COMMON_FIELDS:
@@ -62,45 +77,58 @@ def _items(df: DataFrame) -> DataFrame:
         entries = F.coalesce(F.map_entries(MAP_FIELD), F.array().cast("array<struct<key:string,value:string>>"))
         parts.append(F.transform(entries, lambda e: _item(MAP_FIELD, e["key"], e["value"], zero)))
     items = F.filter(F.concat(F.array().cast(_ITEM), *[p.cast(_ITEM) for p in parts]), lambda x: x["value"].isNotNull())
-    return df.select("dedup_key", "seq", F.inline(items))
+    return df.select("dedup_key", "slot", "seq", F.inline(items))
 
 
-def _best(keyed: DataFrame) -> DataFrame:
+def _best(slotted: DataFrame, tasks: int) -> DataFrame:
     """A5 for the fields with a largest or longest value: one row a key, of which a task keeps one value at a time."""
-    best = [F.count("*").alias("copies")]
-    if LARGEST_FIELD in keyed.columns:
-        best.append(F.max(F.when(present(LARGEST_FIELD, keyed.schema[LARGEST_FIELD].dataType), F.col(LARGEST_FIELD).try_cast("double"))).alias(LARGEST_FIELD))
+    best, order = [F.count("*").alias("copies")], F.lit(None).cast("struct<length:int,first:bigint>")
+    if LARGEST_FIELD in slotted.columns:
+        largest = F.when(present(LARGEST_FIELD, slotted.schema[LARGEST_FIELD].dataType), F.col(LARGEST_FIELD).try_cast("double"))
     else:
-        best.append(F.lit(None).cast("double").alias(LARGEST_FIELD))
-    if LONGEST_FIELD in keyed.columns:
-        text = F.when(present(LONGEST_FIELD, keyed.schema[LONGEST_FIELD].dataType), F.col(LONGEST_FIELD).cast("string"))
+        largest = F.lit(None).cast("double")
+    text = F.lit(None).cast("string")
+    if LONGEST_FIELD in slotted.columns:
+        text = F.when(present(LONGEST_FIELD, slotted.schema[LONGEST_FIELD].dataType), F.col(LONGEST_FIELD).cast("string"))
         # the length is the order; of the longest the first in input order
-        best.append(F.max_by(text, F.when(text.isNotNull(), F.struct(F.length(text), -F.col("seq")))).alias(LONGEST_FIELD))
-    else:
-        best.append(F.lit(None).cast("string").alias(LONGEST_FIELD))
-    return keyed.groupBy("dedup_key").agg(*best)
+        order = F.when(text.isNotNull(), F.struct(F.length(text).alias("length"), (-F.col("seq")).alias("first")))
+    best += [F.max(largest).alias(LARGEST_FIELD), F.max_by(text, order).alias(LONGEST_FIELD), F.max(order).alias("order")]
+    of_slot = slotted.groupBy("dedup_key", "slot").agg(*best).repartition(tasks, "dedup_key")
+    longest = F.max_by(LONGEST_FIELD, "order").alias(LONGEST_FIELD)
+    return of_slot.groupBy("dedup_key").agg(F.sum("copies").alias("copies"), F.max(LARGEST_FIELD).alias(LARGEST_FIELD), longest)
 
 
 def merged_fields(keyed: DataFrame) -> DataFrame:
     """A4 and A5 for every key: one row with ``copies`` and the merged fields.
 
-    Largest and longest values are plain aggregates. For the others one aggregation over (key, field, value)
-    combines equal values before the shuffle; after it at most ten values per field are ranked, so no group is ever collected whole.
+    Largest and longest values are plain aggregates. For the others values of a (key, field) are combined in the slot of their
+    records, then over all slots in portions of the key's values, of which at most ten are ranked on; so no group is ever
+    collected whole, and the number of tasks grows with that of the records.
     """
+    tasks = _tasks(keyed)
+    slotted = _slotted(keyed, tasks)
+    # the portion settles nothing but where values of a key with very many of them meet
+    portion = F.pmod(F.xxhash64("value"), F.lit(64)).cast("int")
     values = (
-        _items(keyed)
-        .groupBy("dedup_key", "field", "sub", "value")
+        _items(slotted)
+        .groupBy("dedup_key", "field", "sub", "value", "slot")
         .agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min_by("pos", "seq").alias("pos"), F.max("seq").alias("last"))
+        .withColumn("portion", portion)
+        .repartition(tasks, "dedup_key", "field", "sub", "portion")
+        .groupBy("dedup_key", "field", "sub", "portion", "value")
+        .agg(F.sum("n").alias("n"), F.min_by("pos", "first").alias("pos"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
     weight = F.when(F.col("field").isin(*MOST_COMMON_FIELDS), F.col("n")).otherwise(F.lit(0))
     newest = F.when(F.col("field") == MAP_FIELD, F.col("last"))
-    order = Window.partitionBy("dedup_key", "field", "sub").orderBy(F.col("weight").desc(), F.col("newest").desc(), "first", "pos")
-    top = (
-        values.withColumns({"weight": weight, "newest": newest})
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= LIST_LIMIT)
-        .filter(F.col("field").isin(*LIST_FIELDS) | (F.col("rank") == 1))
-    )
+    order = [F.col("weight").desc(), F.col("newest").desc(), F.col("first"), F.col("pos")]
+
+    def leading(df: DataFrame, *group: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        few = F.when(F.col("field").isin(*LIST_FIELDS), F.lit(LIST_LIMIT)).otherwise(F.lit(1))
+        return df.withColumn("rank", rank).filter(F.col("rank") <= LIST_LIMIT).filter(F.col("rank") <= few)
+
+    of_portion = leading(values.withColumns({"weight": weight, "newest": newest}), "dedup_key", "field", "sub", "portion")
+    top = leading(of_portion.drop("rank").repartition(tasks, "dedup_key"), "dedup_key", "field", "sub")
 
     def one(field):
         return F.max(F.when(F.col("field") == field, F.col("value"))).alias(field)
@@ -114,7 +142,7 @@ def merged_fields(keyed: DataFrame) -> DataFrame:
         *[many(f) for f in LIST_FIELDS], F.map_from_entries(F.array_sort(platforms)).alias(MAP_FIELD), *[one(f) for f in MOST_COMMON_FIELDS]
     )
     none = {f: F.array().cast("array<string>") for f in LIST_FIELDS} | {MAP_FIELD: F.create_map().cast("map<string,string>")}
-    return _best(keyed).join(lists, "dedup_key", "left").select(
+    return _best(slotted, tasks).join(lists, "dedup_key", "left").select(
         "dedup_key", "copies", *[F.coalesce(F.col(f), empty).alias(f) for f, empty in none.items()], LARGEST_FIELD, LONGEST_FIELD, *MOST_COMMON_FIELDS
     )
 

@@ -389,6 +389,22 @@ def test_components(spark):
     assert {r.node: r.component for r in got.collect()} == union_find([p for p in pairs if p[0] != p[1]])
 
 
+def test_tasks_of_a_merge_grow_with_the_records(spark, monkeypatch):
+    """Each step before and after a shuffle takes a bounded number of records; a hot key is combined in slots and portions."""
+    rows = [(i, i % 3 and i, [f"e{i}@x", f"e{i % 7}@x"], {"a": f"u{i}"}, i % 11 / 2, "d" * (i % 13), f"w{i % 5}") for i in range(600)]
+    keyed = spark.createDataFrame(rows, "seq bigint, dedup_key string, emails array<string>, social_media map<string,string>, rating double, description string, website string")
+    keyed = keyed.withColumns({"phone_numbers": F.lit(None).cast("array<string>"), "amenities": F.lit(None).cast("array<string>"), "price_range": F.lit(None).cast("string")})
+    monkeypatch.setattr(dedup, "TASK_RECORDS", 20)
+    merged = dedup.merged_fields(keyed)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[dedup_key" in plan and plan.count(", 30), REPARTITION_BY_NUM") >= 4 and "ENSURE_REQUIREMENTS" not in plan
+    hot = merged.filter("dedup_key = 0").first()
+    mine = [r for r in rows if not r[1]]
+    want = list(dict.fromkeys(e for r in mine for e in r[2]))[:10]
+    assert hot.emails == want and hot.copies == len(mine) and hot.social_media == {"a": "u597"} and hot.website == "w0"
+    assert hot.rating == max(r[4] for r in mine) and hot.description == "d" * 12
+
+
 # -- vectors ---------------------------------------------------------------------
 
 
