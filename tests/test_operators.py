@@ -606,6 +606,17 @@ def test_keywords_by_list_and_table(spark):
     assert store.without_keywords(df, "text", [""]).count() == 0
 
 
+def test_texts_do_not_meet_all_keywords_of_a_beginning(spark):
+    """Keywords that begin alike: the rows joined grow with the texts, not with texts times keywords."""
+    df = spark.createDataFrame([(i, f"x no. {i}0") for i in range(3000)] + [(9999, "y" * 700 + "no. 77" + "😀" * 300 + "no. 5")], "seq int, text string")
+    words = spark.range(2000).select(F.concat(F.lit("NO. "), F.col("id") * 10 + 5).alias("w")).union(spark.createDataFrame([("no. 77" + "😀" * 290 + "",)], "w string"))
+    got = store.without_keywords(df, "text", words)
+    want = [i for i in range(3000) if not any(f"{i}0"[:k].endswith("5") for k in range(1, 6))]
+    assert sorted(r.seq for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Contains" not in plan and "contains(" not in plan
+
+
 def test_many_keywords_are_joined(spark):
     df = spark.createDataFrame([(i, f"shop {i} of street {i % 7}") for i in range(2000)], "seq int, text string")
     words = spark.range(100_000).select(F.concat(F.lit("Shop "), F.col("id") * 3, F.lit(" ")).alias("w"))
