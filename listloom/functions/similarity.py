@@ -56,7 +56,13 @@ def ratios_of(a: list, b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """
     texts_a, code_a = _distinct(a)
     texts_b, code_b = _distinct(b)
-    pairs, back = np.unique(code_a[i].astype(np.int64) * max(1, len(texts_b)) + code_b[j], return_inverse=True)
+    code = code_a[i].astype(np.int64) * max(1, len(texts_b)) + code_b[j]
+    if len(texts_a) * len(texts_b) <= 8 * len(code):
+        asked = np.zeros(len(texts_a) * len(texts_b), dtype=bool)
+        asked[code] = True
+        pairs, back = np.flatnonzero(asked), (np.cumsum(asked) - 1)[code]
+    else:
+        pairs, back = np.unique(code, return_inverse=True)
     left, right = pairs // max(1, len(texts_b)), pairs % max(1, len(texts_b))
     out = np.zeros(len(pairs), dtype=np.int64)
     len_a = np.array([len(t) for t in texts_a], dtype=np.int64)

@@ -11,12 +11,17 @@ settled by the length of the longer text alone: as many as give at most ``KEYS``
 A pair meets under all combinations it shares; it is looked at only under the first one, which is the one
 with no other shared token before its last. What meets is first bounded by lengths and whole bags, then
 scored. Lists of any length are cut into parts that meet two at a time. No pair is missed.
+
+Where most texts resemble each other (numbered names, say), a pair shares very many keys, and more pairs meet than there
+are. ``meetings`` tells that beforehand; ``all_pairs`` then compares every two records once, with the same result.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import WEIGHTS, ratio_bound, ratios_of, similarity_ratio, weighted_score
 from ..session import cut
-from .blocks import by_cell
+from .blocks import by_cell, to_cells
 
 #: Keys of a text in one role, at most (one token a key may give more), and tokens of a key.
 KEYS, MOST_TOKENS = 256, 4
@@ -38,6 +43,8 @@ ROUNDS_UP_FROM = 100
 _APART = 64
 _STRIP = 64
 _CELLS = 1 << 22
+#: ``meetings`` counts one of so many keys; ``all_pairs`` takes the ratios of so many pairs at a time.
+_COUNTED, _RATED = 16, 1 << 19
 TEXTS = ("name", "address", "category")
 
 
@@ -114,6 +121,20 @@ def meeting_keys(text: str, least: int, ranks: dict[str, list[int]]) -> list[tup
     return out + [(key, s, last, 1, prefix) for key, last in _keys(prefix, s)]
 
 
+def meetings(p: DataFrame, column: str, least: int) -> int:
+    """About how many pairs meet under the keys of a text, by every ``_COUNTED``th key."""
+    texts = p.filter(F.length(column) > 0).select(column)
+    ranks = token_ranks(texts, column)
+
+    def count(batches):
+        for pdf in batches:
+            met = Counter((k[0], k[3]) for text, n in Counter(pdf[column]).items() for k in meeting_keys(text, least, ranks) * n if k[0] % _COUNTED == 0)
+            yield pd.DataFrame([(key, n * (role == 0), n * (role == 1)) for (key, role), n in met.items()], columns=["key", "n0", "n1"])
+
+    counted = texts.mapInPandas(count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").alias("n1"))
+    return int(counted.agg(F.coalesce(F.sum(F.col("n0") * F.col("n1")), F.lit(0.0))).first()[0] * _COUNTED)
+
+
 def _met(p: DataFrame, column: str, least: int, cell: int, small: int) -> DataFrame:
     """Rows (key, list, few, ia, ib, role, tokens, last, prefix, rep): each record in the cells of its keys.
 
@@ -180,12 +201,12 @@ class _Side:
 
     def __init__(self, pdf: pd.DataFrame, number: dict[int, int]):
         self.rep = pdf["rep"].to_numpy()
-        self.has = pdf["has"].to_numpy()
+        self.has = pdf["has"].to_numpy() if "has" in pdf else None
         self.phone = pdf["n_phone"].fillna("").to_numpy(dtype=object)
         self.texts = {t: pdf[f"n_{t}"].fillna("").to_numpy(dtype=object) for t in TEXTS}
         self.size = {t: np.array([len(x) for x in self.texts[t]]) for t in TEXTS}
         self.early = np.zeros((len(pdf), len(number)), dtype=np.float32)
-        for row, prefix in zip(self.early, pdf["prefix"]):
+        for row, prefix in zip(self.early, pdf["prefix"] if number else ()):
             row[[number[t] for t in prefix if t in number]] = 1
         self.bags: dict[str, np.ndarray] = {}
         self.later: dict[str, np.ndarray] = {}
@@ -287,3 +308,67 @@ def similar_by(
     kind = p.schema["rep"].dataType.simpleString()
     many = by_cell(rows.filter("not few"), ["key", "ia", "ib"]).applyInPandas(compare, f"l_rep {kind}, r_rep {kind}, score double")
     return _in_few(rows.filter("few"), by, least, threshold, normalize, skip, equal).unionByName(many)
+
+
+def all_pairs(p: DataFrame, threshold: float, normalize: bool, equal: bool, cell: int = CELL) -> DataFrame:
+    """(l_rep, r_rep, score): pairs of profiles with unequal phones whose score reaches the threshold; unless ``equal``,
+    without those equal in all three texts of less than ``ROUNDS_UP_FROM`` characters.
+
+    Every two profiles are compared once, in bounded cells: whole bags first, then true ratios of what these leave.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        first, second = pdf["part_a"].iloc[0], pdf["part_b"].iloc[0]
+        left, right = (_Side(pdf[pdf["part_no"] == n], {}) for n in (first, second))
+        order = {t: _order([*left.texts[t], *right.texts[t]]) for t in TEXTS}
+        left.fill_bags(order)
+        right.fill_bags(order)
+        rows, columns = np.arange(len(left.rep)), np.arange(len(right.rep))
+
+        def most(t: str, part: slice) -> np.ndarray:
+            """What the ratios of a strip can be at most, by their bags."""
+            common = (left.bags[t][part] @ right.bags[t].T).astype(float)
+            if left.later[t][part].any() and right.later[t].any():
+                common += np.minimum(left.later[t][part, None], right.later[t][None, :])
+            return np.floor(200.0 * common / np.maximum(1, left.size[t][part, None] + right.size[t][None, :]) + 0.5)
+
+        def rated(i: np.ndarray, j: np.ndarray, parts: dict[str, np.ndarray]) -> pd.DataFrame:
+            both = {t: (left.size[t][i] > 0) & (right.size[t][j] > 0) for t in TEXTS}
+            phones = (left.phone[i] != "") & (right.phone[j] != "") if normalize else np.zeros(len(i), dtype=bool)
+            # texts that many records have in common come first, names last
+            for t in reversed(TEXTS):
+                keep = combine(parts, both, phones, normalize) >= threshold
+                i, j, phones = i[keep], j[keep], phones[keep]
+                both, parts = {k: v[keep] for k, v in both.items()}, {k: v[keep] for k, v in parts.items()}
+                parts[t] = ratios_of(left.texts[t].tolist(), right.texts[t].tolist(), i, j).astype(float)
+            score = combine(parts, both, phones, normalize)
+            good = score >= threshold
+            if not equal:
+                same = [both[t] & (parts[t] == 100) & (left.texts[t][i] == right.texts[t][j]) & (left.size[t][i] < ROUNDS_UP_FROM) for t in TEXTS]
+                good &= ~np.logical_and.reduce(same)
+            x, y = left.rep[i[good]], right.rep[j[good]]
+            return pd.DataFrame({"l_rep": np.minimum(x, y), "r_rep": np.maximum(x, y), "score": score[good]})
+
+        codes, _ = pd.factorize(np.concatenate((left.phone, right.phone)))
+        mine, theirs = codes[: len(rows)], np.where(right.phone == "", -1, codes[len(rows) :])
+        waiting, held = [], 0
+        for lo in range(0, len(rows), _STRIP):
+            part = slice(lo, lo + _STRIP)
+            bounds = {t: most(t, part) for t in TEXTS}
+            both = {t: (left.size[t][part, None] > 0) & (right.size[t][None, :] > 0) for t in TEXTS}
+            phones = (left.phone[part, None] != "") & (right.phone[None, :] != "") if normalize else np.False_
+            likely = (combine(bounds, both, phones, normalize) >= threshold) & (mine[part, None] != theirs[None, :])
+            if first == second:
+                likely &= rows[part, None] < columns[None, :]
+            i, j = np.nonzero(likely)
+            waiting.append((i + lo, j, *[bounds[t][i, j] for t in TEXTS]))
+            held += len(i)
+            if held >= _RATED or lo + _STRIP >= len(rows):
+                i, j, *of = (np.concatenate(x) for x in zip(*waiting))
+                waiting, held = [], 0
+                yield rated(i, j, dict(zip(TEXTS, of)))
+
+    kind = p.schema["rep"].dataType.simpleString()
+    parted = to_cells(p.select("rep", *[f"n_{t}" for t in TEXTS], "n_phone").withColumn("block_n", F.lit(p.count())), "rep", cell)
+    return by_cell(parted, ["part_a", "part_b"]).applyInPandas(compare, f"l_rep {kind}, r_rep {kind}, score double")

@@ -38,7 +38,7 @@ from ..functions.text import clean_phone, clean_string
 from ..session import cut
 from .blocks import by_cell, to_cells, with_block_size
 from .components import connected_components
-from .ratio_join import ROUNDS_UP_FROM, similar_by
+from .ratio_join import ROUNDS_UP_FROM, all_pairs, meetings, similar_by
 
 SMALL_BLOCK = 64
 CELL_PART = 2000
@@ -207,6 +207,11 @@ def _unequal_phones(p: DataFrame, threshold: float, normalize: bool) -> list[Dat
     routes = text_routes(threshold, normalize)
     if min(routes.values()) < 1:
         raise ValueError("at this threshold records match without any similar text")
+    n = p.count()
+    if sum(meetings(p, f"n_{t}", routes[t]) for t in ("name", "address")) > n * (n - 1) / 2:
+        # the keys would bring more pairs together than there are
+        every = all_pairs(p, threshold, normalize, equal=normalize)
+        return [_links(every, F.col("l_rep"), F.col("r_rep"), F.col("score"), "pair")]
     out, skip = [], {}
     for t, least in routes.items():
         out.append(similar_by(p, t, least, threshold, normalize, dict(skip), equal=normalize))

@@ -328,6 +328,30 @@ def test_similar_pairs_at_any_threshold(spark, monkeypatch, threshold, normalize
     assert {(r.a, r.b): r.score for r in got} == pytest.approx({k: v for k, v in want.items() if v >= threshold})
 
 
+@pytest.mark.parametrize(("threshold", "normalize", "cell"), [(60, False, 7), (75, False, 2000), (85, True, 30)])
+def test_all_pairs_give_the_same_as_the_keys(spark, monkeypatch, threshold, normalize, cell):
+    pairs = ratio_join.all_pairs
+    monkeypatch.setattr(similar, "all_pairs", lambda *a, **k: pairs(*a, **k, cell=cell))
+    monkeypatch.setattr(ratio_join, "_RATED", 500)
+    rows = loose_records(90)
+    df = spark.createDataFrame(rows, "seq bigint, name string, address string, primary_phone string, category string")
+    got = {}
+    for met in (0, 10**9):
+        monkeypatch.setattr(similar, "meetings", lambda *_: met)
+        links = similar.expand_links(similar.similar_links(df, threshold, normalize=normalize)).collect()
+        got[met] = sorted((r.a, r.b, r.score) for r in links)
+    assert got[0] == got[10**9] and len(got[0]) > 20
+
+
+def test_records_that_all_resemble_each_other_meet_once(spark, monkeypatch):
+    """Numbered names share most of their keys: comparing every pair once is less work than meeting under each of them."""
+    rows = [(i, f"Supplier#{i * 7919 % 10**9:09d} ASIA", f"{i % 40} Main St.", None, "asia") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq bigint, name string, address string, primary_phone string, category string")
+    monkeypatch.setattr(similar, "similar_by", lambda *_, **__: pytest.fail("by keys"))
+    got = similar.similar_links(df, 65.0)
+    assert got.count() == sum(score_by_hand(x, y) >= 65 for i, x in enumerate(rows) for y in rows[i + 1 :])
+
+
 def test_texts_with_a_ratio_meet_under_one_first_key():
     rnd = random.Random(2)
     texts = {"".join(rnd.choice("aabcdeé ") for _ in range(rnd.randrange(1, 30))) for _ in range(160)}
