@@ -191,13 +191,19 @@ class Index:
         line = np.repeat(lo - (upto - n), n) + np.arange(upto[-1])
         return np.bincount(self.owner[line], weights=self.weight[line], minlength=self.n)
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drops the postings of used pieces; the scores of the others stay as they are."""
+        kept = ~used[self.owner]
+        self.at = np.concatenate(([0], np.cumsum(kept)))[self.at]
+        self.owner, self.weight = self.owner[kept], self.weight[kept]
+
 
 def fill(pieces: list[np.ndarray], starts: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of a shard, each a list of (piece, from, to)."""
     index = Index(pieces, starts)
     begin = np.zeros(len(pieces), dtype=np.int64)
     left = np.array([len(p) for p in pieces])
-    seeds = np.argsort(-left, kind="stable")
+    seeds, listed = np.argsort(-left, kind="stable"), len(pieces)
     out = []
     for seed in seeds.tolist():
         if not left[seed]:
@@ -205,8 +211,11 @@ def fill(pieces: list[np.ndarray], starts: np.ndarray, window: int) -> list[list
         row = [(seed, int(begin[seed]), int(begin[seed] + left[seed]))]
         room, left[seed] = window - int(left[seed]), 0
         if room:
-            ranked = np.argsort(-index.scores(seed), kind="stable")
-            ranked = ranked[left[ranked] > 0]
+            unused = np.flatnonzero(left)
+            if len(unused) < 0.8 * listed:
+                index.forget(left == 0)
+                listed = len(unused)
+            ranked = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
             size, pos = left[ranked], 0
             while room and len(fits := np.flatnonzero(size[pos:] <= room)):
                 pos += int(fits[0])

@@ -387,6 +387,20 @@ def test_a_repeated_row_is_spread_over_packing_shards(spark):
     assert len({r.shard for r in dealt if r.doc_id == 8}) == 1
 
 
+def test_used_pieces_leave_the_index_and_ranks_stay():
+    rng = np.random.default_rng(6)
+    pieces = [rng.integers(2, 400, size=rng.integers(1, 300)).astype(np.uint32) for _ in range(120)]
+    starts = np.arange(400) % 3 > 0
+    index, whole = packing.Index(pieces, starts), packing.Index(pieces, starts)
+    used = np.arange(120) % 4 > 0
+    index.forget(used)
+    assert len(index.owner) < 0.4 * len(whole.owner)
+    for piece in range(120):
+        assert (index.scores(piece)[~used] == whole.scores(piece)[~used]).all()
+    taken = sorted((p, lo, hi) for row in packing.fill(pieces, starts, 500) for p, lo, hi in row)
+    assert sum(hi - lo for _, lo, hi in taken) == sum(map(len, pieces))
+
+
 def test_neighbours_fill_a_seed_window():
     starts = np.ones(1000, dtype=bool)
     seed = np.arange(100, 160, dtype=np.uint32)
