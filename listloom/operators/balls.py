@@ -42,7 +42,7 @@ def _met(rows: DataFrame, nodes: DataFrame, pivots: DataFrame, task_rows: int):
     """The rows and the pivots of each ball, side by side, in tasks of about ``task_rows`` rows."""
     tasks = F.ceil(F.col("held") / task_rows).cast("int")
     of = nodes.select("node", tasks.alias("tasks"))
-    left = rows.join(of, "node").withColumn("task", F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")).drop("tasks")
+    left = rows.join(of, "node").withColumn("task", F.pmod(F.xxhash64("v"), F.col("tasks")).cast("int")).drop("tasks")
     right = pivots.join(of, "node").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     keys = ["node", "task"]
     return spread(left, keys).groupBy(*keys).cogroup(spread(right, keys).groupBy(*keys))
@@ -132,7 +132,7 @@ def cells(rows: DataFrame, balls: DataFrame, part: int, sure: float | None = Non
         "node", F.ceil(F.col("n0") / part).cast("int").alias("p0"), F.ceil(F.col("n1") / part).cast("int").alias("p1"),
         (F.col("radius") <= (sure if sure is not None else -1.0)).alias("sure"),
     )
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("p0")).otherwise(F.col("p1"))).cast("int")
+    own = F.pmod(F.xxhash64("v"), F.when(F.col("home"), F.col("p0")).otherwise(F.col("p1"))).cast("int")
     placed = rows.join(known, "node").withColumn("own", own)
 
     def numbers(n):

@@ -45,9 +45,10 @@ def with_direction(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One row per distinct vector: its lowest id (``rep``) and number of copies."""
+    """One row per distinct vector that has an id: its lowest id (``rep``) and number of copies."""
     vectors = with_direction(vectors, vector)
-    return vectors.groupBy(F.col(vector).alias("v")).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
+    found = vectors.groupBy(F.col(vector).alias("v")).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
+    return found.filter("rep IS NOT NULL")
 
 
 def copy_links(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -167,7 +168,7 @@ def _cells(d: DataFrame, balls: _Balls, eps: float, part: int, skip: set[tuple[i
     """
     rep_type = d.schema["rep"].dataType.simpleString()
     vec_type = d.schema["v"].dataType.simpleString()
-    marked = d.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(2**31 - 1)).alias("mark"))
+    marked = d.select("rep", "v", F.pmod(F.xxhash64("v"), F.lit(2**31 - 1)).alias("mark"))
     return marked.mapInPandas(_sender(balls, eps, part, skip), f"ca long, cb long, ia int, ib int, side int, rep {rep_type}, v {vec_type}")
 
 
@@ -195,7 +196,9 @@ def _compare(cells: DataFrame, eps: float, forest: bool) -> DataFrame:
             if forest:
                 kept = parts.join(i, j)
                 i, j, s = i[kept], j[kept], s[kept]
-            a, b = ids[i], ids[j]
+            # vectors may share an id
+            apart = ids[i] != ids[j]
+            a, b, s = ids[i[apart]], ids[j[apart]], s[apart]
             found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(s, 6)}))
             given += len(a)
             if given >= GIVEN:

@@ -492,6 +492,38 @@ def test_neighbours_do_not_depend_on_the_strips(vectors, monkeypatch, held):
     test_clusters(vectors, 200)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Vectors of which many have one id, and a third none; and the pairs of unequal ids within 0.3."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(8, 12))
+    x = np.array([centers[i % 8] + rng.normal(size=12) * 0.5 for i in range(400)])
+    ids = [None if i % 3 == 0 else i % 5 if i % 3 == 1 else i for i in range(400)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.7, 1)))]
+    return df, ids, sorted((min(p), max(p)) for p in near if None not in p and p[0] != p[1])
+
+
+@pytest.mark.parametrize("part", [40, 10_000])
+def test_neighbour_pairs_of_shared_and_missing_ids(shared_ids, part):
+    df, _, want = shared_ids
+    assert values(cluster.neighbour_pairs(df, part=part), "a", "b") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("tree", [False, True])
+def test_cells_are_bounded_whatever_the_ids(spark, monkeypatch, tree):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(7, v.tolist()) for v in rng.normal(size=(800, 8))], "vec_id bigint, embedding array<double>")
+    d = cluster.distinct_vectors(df)
+    monkeypatch.setattr(cluster, "MAX_PIVOTS", 1)
+    if tree:
+        cells = balls.cells(*balls.leaves(d, 0.3, 40, close=2.0), 40)
+    else:
+        cells = cluster._cells(d, cluster._balls(d, 40), 0.3, 40, set())
+    assert cells.groupBy("ca", "cb", "ia", "ib").count().agg(F.max("count")).first()[0] < 4 * 40
+
+
 def test_cluster_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert cluster.cluster(empty).count() == 0
