@@ -511,6 +511,13 @@ def test_neighbour_pairs_of_shared_and_missing_ids(shared_ids, part):
     assert values(cluster.neighbour_pairs(df, part=part), "a", "b") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("part", [40, 10_000])
+def test_clusters_of_shared_and_missing_ids(shared_ids, part):
+    df, ids, pairs = shared_ids
+    want = union_find(pairs)
+    assert {r.vec_id: r.cluster for r in cluster.cluster(df, part=part).collect()} == {i: want.get(i, -1) for i in ids}
+
+
 @pytest.mark.parametrize("tree", [False, True])
 def test_cells_are_bounded_whatever_the_ids(spark, monkeypatch, tree):
     rng = np.random.default_rng(4)
