@@ -9,15 +9,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, work_path
 from . import balls as ball_tree
 from .balls import SLACK as _SLACK
 from .balls import distances, unit
-from .blocks import by_cell
+from .blocks import by_cell, spread
 from .components import connected_components
 
 # Fixed values -------------------------------------------------------------------
@@ -31,6 +33,9 @@ PART = 8192
 MAX_PIVOTS = 256
 #: Rows a task of ``_cells`` makes at a time, cosines ``_compare`` holds at a time, and links it gives back at a time.
 SENT, HELD, GIVEN = 16_384, 1 << 20, 1 << 16
+#: Bytes of vectors a task of ``_meet`` holds to compare them with blocks read one at a time; blocks it reads in all;
+#: pairs whose cosine it takes one by one at a time.
+TILE_BYTES, READ, SETTLED = 32 << 20, 16, 1 << 14
 
 
 def feature_text(name, category, description) -> Column:
@@ -248,6 +253,120 @@ class _Parts:
         return np.array(kept, dtype=np.int64)
 
 
+@dataclass
+class _Blocks:
+    """Vectors as files of about ``part`` rows (rep, unit) each, below a folder all tasks can read."""
+
+    path: str
+    ball: np.ndarray
+    part: np.ndarray
+    radius: np.ndarray  # about the pivot of the ball, of the vectors of the block
+
+    def read(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block, and its unit vectors in double and single precision."""
+        files, root = fs.FileSystem.from_uri(self.path)
+        at = f"{root}/ball={self.ball[k]}/part={self.part[k]}"
+        rows = pq.read_table(at, columns=["rep", "unit"], filesystem=files, partitioning=None, use_threads=False)
+        x = np.frombuffer(b"".join(rows["unit"].to_pylist()), dtype=np.float64).reshape(rows.num_rows, -1)
+        return rows["rep"].to_pandas().to_numpy(), x, x.astype(np.float32)
+
+
+def _blocks(d: DataFrame, balls: _Balls, part: int) -> _Blocks:
+    """Each vector written once, to a block of the ball of its nearest pivot."""
+    pivots, kind = balls.pivots, d.schema["rep"].dataType.simpleString()
+    parts = np.ones(len(pivots.value), dtype=np.int64)
+    for ball, n in balls.size.items():
+        parts[ball] = max(1, math.ceil(n / part))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = unit(pdf["v"])
+            dist = distances(x, pivots.value)
+            ball = dist.argmin(axis=1)
+            own = {"ball": ball, "part": pdf["mark"].to_numpy() % parts[ball], "dist": dist[np.arange(len(ball)), ball]}
+            yield pd.DataFrame(own | {"rep": pdf["rep"], "unit": [row.tobytes() for row in x]})
+
+    marked = d.select("rep", "v", F.pmod(F.xxhash64("v"), F.lit(2**31 - 1)).alias("mark"))
+    placed = marked.mapInPandas(place, f"ball int, part int, dist double, rep {kind}, unit binary")
+    path = work_path(d.sparkSession, "blocks")
+    spread(placed, ["ball", "part"]).write.partitionBy("ball", "part").parquet(path)
+    written = d.sparkSession.read.schema("dist double, ball int, part int").parquet(path)
+    found = written.groupBy("ball", "part").agg(F.max("dist").alias("radius")).orderBy("ball", "part").collect()
+    return _Blocks(path, *(np.array([r[c] for r in found]) for c in ("ball", "part", "radius")))
+
+
+def _matches(left: tuple, right: tuple, eps: float, among: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine) of the vectors within ``eps``, a strip at a time; ``among``: of one block, every two once.
+
+    Cosines are taken in single precision and, if they reach the bound within its error, again in double.
+    """
+    (_, xl, fl), (_, xr, fr) = left, right
+    least, slack = 1.0 - eps, (xl.shape[1] + 8) * 2.0**-23
+    step = max(1, HELD // max(1, len(xr)))
+    for lo in range(0, len(xl), step):
+        skip = lo if among else 0
+        at = np.flatnonzero(fl[lo : lo + step] @ fr[skip:].T >= least - slack)
+        many = len(at) > step * (len(xr) - skip) // 8
+        every = (xl[lo : lo + step] @ xr[skip:].T).ravel() if many else None
+        for part in range(0, len(at), len(at) if many else SETTLED):
+            i, j = np.divmod(at[part : part + (len(at) if many else SETTLED)], len(xr) - skip)
+            s = every[at] if many else np.einsum("ij,ij->i", xl[lo + i], xr[skip + j])
+            good = (s >= least) & (i < j if among else True)
+            if good.any():
+                yield lo + i[good], skip + j[good], s[good]
+
+
+def _meet(d: DataFrame, balls: _Balls, eps: float, part: int) -> DataFrame:
+    """(a, b, cosine) of all vectors within ``eps``: every two blocks that the triangle inequality does not keep apart meet.
+
+    Vectors are not sent to where they are compared: a task holds a tile of some blocks and reads those it is
+    to be compared with one after the other, so that what is written is in proportion to the vectors.
+    """
+    blocks, pivots, reach = _blocks(d, balls, part), balls.pivots, math.sqrt(2.0 * eps) + _SLACK
+    n, ball, radius = len(blocks.ball), blocks.ball, blocks.radius
+    apart = distances(pivots.value, pivots.value)[np.ix_(ball, ball)]
+    meets = np.triu((apart <= radius[:, None] + radius[None, :] + reach) | (ball[:, None] == ball[None, :]))
+    wide = max(1, TILE_BYTES // (12 * part * pivots.value.shape[1]))
+    turns = [(tile, k) for tile in range(0, n, wide) for k in range(n) if meets[tile : tile + wide, k].any()]
+
+    def facing(own: tuple, k: int, other: int) -> tuple:
+        """The vectors of block ``k`` that may have a neighbour in the block ``other``."""
+        near = distances(own[1], pivots.value[ball[other]][None, :])[:, 0] <= radius[other] + reach
+        return own if ball[k] == ball[other] or near.all() else tuple(of[near] for of in own)
+
+    def found(no: Iterator[int]) -> Iterator[pd.DataFrame]:
+        held, tile = {}, None
+        for start, k in (turns[t] for t in no):
+            if start != tile:
+                held.clear()
+                held, tile = {i: blocks.read(i) for i in range(start, min(n, start + wide))}, start
+            met = held[k] if k in held else blocks.read(k)
+            for i, own in held.items():
+                if meets[i, k]:
+                    left, right = facing(own, i, k), facing(met, k, i)
+                    for x, y, cosine in _matches(left, right, eps, i == k):
+                        a, b = left[0][x], right[0][y]
+                        # vectors may share an id
+                        other = a != b
+                        a, b = a[other], b[other]
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.round(cosine[other], 6)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, rows = [], 0
+        for pdf in found(t for batch in batches for t in batch["id"]):
+            waiting.append(pdf)
+            rows += len(pdf)
+            if rows >= GIVEN:
+                yield pd.concat(waiting, ignore_index=True)
+                waiting, rows = [], 0
+        if waiting:
+            yield pd.concat(waiting, ignore_index=True)
+
+    spark, kind = d.sparkSession, d.schema["rep"].dataType.simpleString()
+    tasks = min(len(turns), max(4 * spark.sparkContext.defaultParallelism, math.ceil(len(turns) / READ)))
+    return spark.range(0, len(turns), 1, tasks).mapInPandas(run, f"a {kind}, b {kind}, cosine double")
+
+
 def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_col="vec_id", vector="embedding") -> DataFrame:
     """(a, b, cosine), a < b, for distinct vectors within cosine distance ``eps``.
 
@@ -260,7 +379,7 @@ def neighbour_pairs(vectors: DataFrame, eps: float = EPS, part: int = PART, id_c
             cells = ball_tree.cells(*ball_tree.leaves(d, eps, part), part)
             found = found.unionByName(_compare(cells, eps, forest=False))
         elif (balls := _balls(d, part)) is not None:
-            found = found.unionByName(_compare(_cells(d, balls, eps, part, set()), eps, forest=False))
+            found = found.unionByName(_meet(d, balls, eps, part))
     return found
 
 

@@ -531,6 +531,34 @@ def test_cells_are_bounded_whatever_the_ids(spark, monkeypatch, tree):
     assert cells.groupBy("ca", "cb", "ia", "ib").count().agg(F.max("count")).first()[0] < 4 * 40
 
 
+@pytest.mark.parametrize(("tile", "read", "settled"), [(1, 1, 1 << 14), (1 << 15, 3, 7)])
+def test_vectors_are_written_once_however_many_blocks_meet(spark, monkeypatch, tile, read, settled):
+    """What is written grows with the vectors: no shuffle sends them to where they are compared."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(800, 8))
+    # cosines that single precision does not tell from the bound
+    x[1::4] = x[0::4] + rng.normal(size=(200, 8)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(2, 800, 4):
+        off = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        x[k + 1] = (0.4 + rng.choice([-1e-9, 1e-9])) * x[k] + np.sqrt(0.84) * off / np.linalg.norm(off)
+        x[k + 1] /= np.linalg.norm(x[k + 1])
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>")
+    monkeypatch.setattr(cluster, "TILE_BYTES", tile)
+    monkeypatch.setattr(cluster, "READ", read)
+    monkeypatch.setattr(cluster, "SETTLED", settled)
+    paths, fresh = [], cluster.work_path
+    monkeypatch.setattr(cluster, "work_path", lambda *a: paths.append(fresh(*a)) or paths[-1])
+    pairs = cluster.neighbour_pairs(df, eps=0.6, part=40)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    blocks = spark.read.parquet(*paths)
+    assert blocks.count() == 800 and blocks.groupBy("ball", "part").count().agg(F.max("count")).first()[0] < 4 * 40
+    want = {(f"v{i:03d}", f"v{j:03d}"): round(float(x[i] @ x[j]), 5) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.4, 1)))}
+    got = pairs.collect()
+    assert len(got) == len(want) > 1000 and {(r.a, r.b): round(r.cosine, 5) for r in got}.keys() == want.keys()
+    assert all(abs(r.cosine - want[r.a, r.b]) < 2e-5 for r in got)
+
+
 def test_cluster_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert cluster.cluster(empty).count() == 0
