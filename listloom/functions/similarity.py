@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 WEIGHTS = {"name": 0.4, "address": 0.3, "phone": 0.2, "category": 0.1}
 MATCH_THRESHOLD = 80.0
 # --------------------------------------------------------------------------------
+#: Pairs ``ratios_of`` compares side by side: few enough for the nearest caches.
+_HELD = 1 << 14
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -76,18 +78,22 @@ def ratios_of(a: list, b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if len(t) <= 64:
             for pos, ch in enumerate(t):
                 where[n, letters[ch]] |= np.uint64(1 << pos)
-    spelled = np.zeros((len(texts_b), int(len_b.max(initial=0))), dtype=np.int32)
+    # a line for each place in a text
+    spelled = np.zeros((int(len_b.max(initial=0)), len(texts_b)), dtype=np.int32)
     for n, t in enumerate(texts_b):
-        spelled[n, : len(t)] = [letters.get(ch, 0) for ch in t]
-    chosen = np.flatnonzero(fits)
-    for start in range(0, len(chosen), 1 << 18):
-        part = chosen[start : start + (1 << 18)]
+        spelled[: len(t), n] = [letters.get(ch, 0) for ch in t]
+    chosen, wide = np.flatnonzero(fits), len(letters) + 1
+    places = where.ravel()
+    for start in range(0, len(chosen), _HELD):
+        part = chosen[start : start + _HELD]
         x, y = left[part], right[part]
         row = np.full(len(part), np.iinfo(np.uint64).max, dtype=np.uint64)
+        first, at, hit = x * wide, np.empty(len(part), dtype=np.int64), np.empty(len(part), dtype=np.uint64)
         for step in range(int(len_b[y].max())):
-            mask = where[x, spelled[y, step]]
-            hit = row & mask
-            row = (row + hit) | (row & ~mask)
+            np.add(first, spelled[step].take(y), out=at)
+            np.take(places, at, out=hit, mode="clip")
+            hit &= row
+            row = (row + hit) | (row ^ hit)
         unused = np.uint64(64) - len_a[x].astype(np.uint64)
         lcs = np.bitwise_count((~row << unused) >> unused).astype(np.int64)
         out[part] = np.floor(200.0 * lcs / (len_a[x] + len_b[y]) + 0.5).astype(np.int64)

@@ -123,7 +123,8 @@ def meeting_keys(text: str, least: int, ranks: dict[str, list[int]]) -> list[tup
 
 def meetings(p: DataFrame, column: str, least: int) -> int:
     """About how many pairs meet under the keys of a text, by every ``_COUNTED``th key."""
-    texts = p.filter(F.length(column) > 0).select(column)
+    # a stated number of tasks: the texts are few bytes, often one file, and their keys much work
+    texts = p.filter(F.length(column) > 0).select(column).repartition(4 * p.sparkSession.sparkContext.defaultParallelism)
     ranks = token_ranks(texts, column)
 
     def count(batches):
@@ -214,19 +215,23 @@ class _Side:
     def fill_bags(self, order: dict[str, dict]) -> None:
         """One row a text, 1 for each (character, occurrence) it has."""
         for t in TEXTS:
-            self.bags[t] = np.zeros((len(self.rep), len(order[t])), dtype=np.float32)
-            for row, text in zip(self.bags[t], self.texts[t]):
-                for ch in set(text):
+            # many records may have one text
+            codes, texts = pd.factorize(self.texts[t])
+            bags = np.zeros((len(texts), len(order[t])), dtype=np.float32)
+            for row, text in zip(bags, texts):
+                for ch, n in Counter(text).items():
                     first = order[t][ch, 0]
-                    row[first : first + min(_APART, text.count(ch))] = 1
+                    row[first : first + min(_APART, n)] = 1
+            self.bags[t] = bags[codes]
             self.later[t] = self.size[t] - self.bags[t].sum(axis=1)
 
 
 def _order(texts) -> dict[tuple[str, int], int]:
     most: dict[str, int] = {}
     for text in set(texts):
-        for ch in set(text):
-            most[ch] = max(most.get(ch, 0), text.count(ch))
+        for ch, n in Counter(text).items():
+            if n > most.get(ch, 0):
+                most[ch] = n
     return {token: i for i, token in enumerate((ch, n) for ch, m in most.items() for n in range(min(m, _APART)))}
 
 

@@ -80,12 +80,13 @@ def member_links(n: DataFrame, p: DataFrame, threshold: float = MATCH_THRESHOLD,
     joined = n.withColumn("k", F.xxhash64(*_COMPARED)).join(first, cond).filter("seq > rep")
     own = _self_score(joined)
     score = F.when(own > 0, F.lit(100.0)).otherwise(own) if normalize else own
-    return _links(joined, F.col("rep"), F.col("seq"), score, "same_profile").filter(F.col("score") >= threshold)
+    return _links(joined, F.col("rep"), F.col("seq"), F.round(score, 4), "same_profile").filter(F.col("score") >= threshold)
 
 
 def _links(df: DataFrame, a: Column, b: Column, score: Column, kind: str) -> DataFrame:
+    """Links by a score that is rounded already; Spark rounds by way of decimals, which tells where there are very many."""
     return df.select(
-        F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.round(score, 4).alias("score"), F.lit(kind).alias("kind")
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), score.alias("score"), F.lit(kind).alias("kind")
     )
 
 
@@ -264,14 +265,12 @@ def expand_links(links: DataFrame) -> DataFrame:
     As many rows as there are matching pairs, which for large groups of copies is their
     square; use the links themselves for grouping.
     """
-    links = cut(links, "links")
-    members = links.filter("kind = 'same_profile'")
-    heads = links.filter("kind <> 'same_profile'")
+    members = cut(links.filter("kind = 'same_profile'"), "members")
     of_profile = members.select(F.col("a").alias("rep"), F.col("b").alias("seq"))
-    reps = heads.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(members.select(F.col("a").alias("rep"))).distinct()
-    belongs = of_profile.unionByName(reps.withColumn("seq", F.col("rep")))
+    # written, so that its size is known and the pairs, which are many more, need not be shuffled to meet it
+    belongs = cut(of_profile.unionByName(members.select(F.col("a").alias("rep")).distinct().withColumn("seq", F.col("rep"))), "belongs")
     # profile pairs: explicit ones, and all pairs inside a same_text group
-    text = links.filter("kind = 'same_text'")
+    text = cut(links.filter("kind = 'same_text'"), "texts")
     group = text.select(F.col("a").alias("head"), F.col("b").alias("rep")).unionByName(text.select(F.col("a").alias("head"), F.col("a").alias("rep")).distinct())
     inner = (
         group.join(group.withColumnRenamed("rep", "rep2"), "head")
@@ -280,8 +279,10 @@ def expand_links(links: DataFrame) -> DataFrame:
     )
     profile_pairs = links.filter("kind = 'pair'").select("a", "b", "score").unionByName(inner)
     across = (
-        profile_pairs.join(belongs.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), "a")
-        .join(belongs.select(F.col("rep").alias("b"), F.col("seq").alias("sb")), "b")
+        profile_pairs.filter("a IS NOT NULL AND b IS NOT NULL")
+        .join(belongs.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), "a", "left")
+        .join(belongs.select(F.col("rep").alias("b"), F.col("seq").alias("sb")), "b", "left")
+        .withColumns({"sa": F.coalesce("sa", "a"), "sb": F.coalesce("sb", "b")})
         .select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "score")
     )
     own = belongs.join(members.select(F.col("a").alias("rep"), "score").distinct(), "rep")

@@ -372,6 +372,31 @@ def test_texts_with_a_ratio_meet_under_one_first_key():
         assert met or least == 100
 
 
+def test_pairs_are_listed_without_writing_or_shuffling_them(spark, monkeypatch):
+    """Only the members of profiles are written; the pairs, which grow with the square, meet them where they are made."""
+    n = 120
+    pairs = [(a, b, 90.0, "pair") for a in range(n) for b in range(a + 1, n) if (a + b) % 3]
+    members = [(a, a + 1000 * k, 100.0, "same_profile") for a in range(0, n, 40) for k in (1, 2)]
+    texts = [(200, 201, 80.0, "same_text"), (200, 202, 80.0, "same_text"), (202, 1202, 100.0, "same_profile")]
+    links = spark.createDataFrame(pairs + members + texts, "a bigint, b bigint, score double, kind string").repartition(4)
+    written, write = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df, *a: written.append(write(df, *a)) or written[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        listed = similar.expand_links(links)
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, listed.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and max(d.count() for d in written) < 20
+    of = {a: [a, a + 1000, a + 2000] for a in range(0, n, 40)} | {202: [202, 1202]}
+    every = [*pairs, (200, 201, 80.0, ""), (200, 202, 80.0, ""), (201, 202, 80.0, "")]
+    want = [(min(x, y), max(x, y), s) for a, b, s, _ in every for x in of.get(a, [a]) for y in of.get(b, [b])]
+    want += [(x, y, 100.0) for group in of.values() for x in group for y in group if x < y]
+    assert got == sorted(want)
+
+
 def test_few_of_all_pairs_are_looked_at(spark):
     """Keys of the prefixes: what meets grows far below the square of the records."""
     def met(n):
